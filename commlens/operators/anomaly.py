@@ -26,6 +26,10 @@ ALL = "all"
 
 KEYS = {"day": "sent_date", "segment": "segment", "campaign_id": "campaign_id"}
 
+# Scores have four decimals; their sums are kept as whole millionths. Integer sums do not depend on the order of
+# tasks, so a retry cannot move a mean, and equal scores have exactly equal means. A BIGINT holds nine trillion rows.
+SCORE_SCALE = 1e6
+
 
 # --- measures --------------------------------------------------------------------------------------------------
 
@@ -37,7 +41,7 @@ def measure_rows(df: DataFrame) -> DataFrame:
         "opened_known": ("opened", lambda c: c.isNotNull().cast("bigint")),
         "opened_sum": ("opened", lambda c: F.coalesce(c, F.lit(0)).cast("bigint")),
         "score_known": ("engagement_score", lambda c: c.isNotNull().cast("bigint")),
-        "score_sum": ("engagement_score", lambda c: F.coalesce(c, F.lit(0.0))),
+        "score_sum": ("engagement_score", lambda c: F.coalesce(F.rint(c * SCORE_SCALE).cast("bigint"), F.lit(0))),
     }
     keys = [
         (F.col(c).cast("date") if name == "day" else F.col(c)).alias(name)
@@ -59,6 +63,10 @@ def _whole() -> Window:
     return Window.partitionBy()
 
 
+def _mean_score(total: Column, known: Column) -> Column:
+    return F.try_divide(total, known) / F.lit(SCORE_SCALE)
+
+
 # --- detector 1: weekly engagement drop per segment ------------------------------------------------------------
 
 
@@ -83,8 +91,8 @@ def _segment_weeks(measures: DataFrame, threshold: float) -> DataFrame:
         .agg(
             total("rows", current).alias("current_rows"),
             total("rows", previous).alias("previous_rows"),
-            F.try_divide(total("score_sum", current), total("score_known", current)).alias("current_avg"),
-            F.try_divide(total("score_sum", previous), total("score_known", previous)).alias("previous_avg"),
+            _mean_score(total("score_sum", current), total("score_known", current)).alias("current_avg"),
+            _mean_score(total("score_sum", previous), total("score_known", previous)).alias("previous_avg"),
         )
     )
     drop = F.try_divide(F.col("previous_avg") - F.col("current_avg"), F.col("previous_avg"))
@@ -178,7 +186,7 @@ def _campaigns(measures: DataFrame, ratio: float) -> DataFrame:
             F.sum("opened_known").alias("total_sent"),
             F.sum("opened_sum").alias("total_opened"),
             F.sum("complaints").alias("complaint_count"),
-            F.try_divide(F.sum("score_sum"), F.sum("score_known")).alias("mean_score"),
+            _mean_score(F.sum("score_sum"), F.sum("score_known")).alias("mean_score"),
         )
         # rounded before median and cutoff; a campaign with nothing sent counts as 0.0
         .withColumn(

@@ -105,7 +105,7 @@ def raw_feed(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataF
                 .when(every(89), "Gold")
                 .when(every(13), F.concat(F.lit("  "), F.col("segment"), F.lit(" ")))
                 .otherwise(F.col("segment")),
-                "channel": F.when(every(17), F.concat(F.col("channel"), F.lit("\t "))).otherwise(
+                "channel": F.when(every(17), F.concat(F.col("channel"), F.lit("\t\u00a0"))).otherwise(
                     F.col("channel")
                 ),
                 "sent_date": sent,
