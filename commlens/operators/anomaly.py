@@ -70,23 +70,26 @@ def _mean_score(total: Column, known: Column) -> Column:
 # --- detector 1: weekly engagement drop per segment ------------------------------------------------------------
 
 
-def _weeks(measures: DataFrame) -> tuple[Column, Column, Column]:
-    """First day of the current week, first and last day of the previous one; "today" is the last day on file."""
-    today = measures.agg(F.max("day")).scalar()
-    return F.date_sub(today, 6), F.date_sub(today, 13), F.date_sub(today, 7)
+def _last_day(measures: DataFrame) -> Column:
+    """The last day on file stands for today; a scalar subquery over the day column alone."""
+    return measures.agg(F.max("day")).scalar()
 
 
 def _segment_weeks(measures: DataFrame, threshold: float) -> DataFrame:
-    week_start, previous_start, previous_end = _weeks(measures)
-    day = F.col("day")
-    current, previous = day >= week_start, day <= previous_end
+    # the filter reaches the scan, so a table partitioned by day reads fourteen days
+    daily = (
+        measures.where(F.col("day") >= F.date_sub(_last_day(measures), 13))
+        .groupBy("day", "segment")
+        .agg(*[F.sum(c).alias(c) for c in ("rows", "score_sum", "score_known")])
+        .withColumn("today", F.max("day").over(_whole()))
+    )
+    current, previous = F.col("day") >= F.date_sub("today", 6), F.col("day") <= F.date_sub("today", 7)
 
     def total(name: str, week: Column) -> Column:
         return F.sum(F.when(week, F.col(name)))
 
-    # the filter reaches the scan, so a table partitioned by day reads fourteen days
     per_segment = (
-        measures.where((day >= previous_start) & F.col("segment").isNotNull())
+        daily.where(F.col("segment").isNotNull())
         .groupBy("segment")
         .agg(
             total("rows", current).alias("current_rows"),
@@ -263,7 +266,7 @@ def _status(
 
 def _segment_status(measures: DataFrame, settings: Settings) -> DataFrame:
     threshold = settings.engagement_drop_threshold
-    week_start, previous_start, _ = _weeks(measures)
+    today = _last_day(measures)
     worst = F.min_by(
         F.struct("segment", "drop_pct_label"),
         F.when(F.col("flagged"), F.struct((-F.col("drop_pct")).alias("d"), "segment")),
@@ -294,8 +297,8 @@ def _segment_status(measures: DataFrame, settings: Settings) -> DataFrame:
     metadata = _metadata(
         threshold=F.lit(threshold),
         segments_compared=F.array_join("compared", ", "),
-        current_week_start=week_start,
-        previous_week_start=previous_start,
+        current_week_start=F.date_sub(today, 6),
+        previous_week_start=F.date_sub(today, 13),
     )
     return _status(totals, 0, SEGMENT_DROP, F.when(flagged, found).otherwise(clean), metadata, flagged)
 

@@ -42,20 +42,23 @@ def kpis(df: DataFrame) -> DataFrame:
 
 
 def engagement_histogram(df: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """bin, lower, upper, n for equal bins on [0, 1]; the last bin includes 1, empty bins count 0."""
+    """bin, lower, upper, n for equal bins on [0, 1]; the last bin includes 1, empty bins count 0.
+
+    One zero row per bin joins the count as ordinary input, so empty bins need no join.
+    """
     slot = F.least(F.floor(F.col("engagement_score") * bins), F.lit(bins - 1)).cast("bigint")
-    counted = (
-        df.where(F.col("engagement_score").between(0, 1)).groupBy(slot.alias("bin")).agg(F.count("*").alias("n"))
-    )
+    one, zero = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    slots = df.where(F.col("engagement_score").between(0, 1)).select(slot.alias("bin"), one.alias("n"))
+    empty = df.sparkSession.range(0, bins, 1, 1).select(F.col("id").alias("bin"), zero.alias("n"))
     return (
-        df.sparkSession.range(bins)
-        .withColumnRenamed("id", "bin")
-        .join(counted, "bin", "left")
+        slots.unionByName(empty)
+        .groupBy("bin")
+        .agg(F.sum("n").alias("n"))
         .select(
             "bin",
             (F.col("bin") / F.lit(float(bins))).alias("lower"),
             ((F.col("bin") + 1) / F.lit(float(bins))).alias("upper"),
-            F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
+            "n",
         )
     )
 

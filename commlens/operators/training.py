@@ -59,13 +59,12 @@ def prepare(df: DataFrame, settings: Settings = DEFAULTS) -> TrainingSet:
     repeating the feature job. The layout (a partition count that follows the row count, rows sorted by id) makes
     the bootstrap, and so the forest, independent of how the input was laid out.
     """
-    labelled = df.where(F.col(TARGET).isin(0, 1))
-    levels = fit_levels(labelled)
-    classes = cut_points(labelled, settings)
-    # two rows: read once, used as constants below
-    found = classes.collect()
-    if len(found) != 2:
-        raise ValueError("Training needs rows of both classes.")
+    levels = fit_levels(df)
+    classes = cut_points(df, settings)
+    # one row per class, used as constants below; a third class shows that the table was not validated
+    found = classes.limit(3).collect()
+    if {r["label"] for r in found} != {0, 1}:
+        raise ValueError("Training needs rows of both classes, 0 and 1, and no others.")
     kept = {r["label"]: r["rows"] - r["test_rows"] for r in found}
     if min(kept.values()) == 0:
         raise ValueError("Training needs more than one row of each class.")
@@ -73,7 +72,7 @@ def prepare(df: DataFrame, settings: Settings = DEFAULTS) -> TrainingSet:
     weight = F.when(F.col("label") == 1, train_rows / (2 * kept[1])).otherwise(train_rows / (2 * kept[0]))
 
     cuts = df.sparkSession.createDataFrame(found, classes.schema)
-    featured = build_features(labelled, levels)
+    featured = build_features(df, levels)
     slotted = assign_slots(featured, cuts, settings)
     vectors = _assembler(feature_names(levels)).transform(slotted)
     partitions = max(settings.min_fit_partitions, -(-train_rows // settings.rows_per_fit_partition))

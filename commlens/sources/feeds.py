@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from commlens.functions.business import engagement_score, id_label, needs_intervention, sentiment_band
+from commlens.functions.business import (
+    engagement_score,
+    id_label,
+    needs_intervention,
+    sentiment_band,
+    true_only,
+)
 from commlens.schema import REQUIRED_COLUMNS
 
+# the columns used, declared, so that opening the tables starts no job
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, props string"
+CUSTOMER = "c_custkey bigint, c_acctbal double, c_mktsegment string"
+
 
 def _pick(key: Column, *labels: str) -> Column:
     """labels[key]"""
@@ -22,17 +32,21 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
     No broadcast hint: the customer side grows with the data, so Catalyst and AQE choose by size, and AQE
     splits the partition of a user who owns a large share of the events.
     """
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
+    customers = spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet")
     joined = events.join(customers, events["user_id"] == customers["c_custkey"])
 
     event, user, k = F.col("event_id"), F.col("user_id"), F.col("k")
     kind, market, sent = F.col("event_type"), F.col("c_mktsegment"), F.col("sent_date")
     slot = event % 20
 
+    def flag(condition: Column) -> Column:
+        return true_only(condition).cast("int")
+
     based = joined.withColumns(
         {
-            "k": F.regexp_extract("props", "([0-9]+)", 1).cast("int"),
+            # the number in {"k": n}
+            "k": F.substring_index(F.substring_index("props", ": ", -1), "}", 1).cast("int"),
             "sent_date": F.col("ts").cast("date"),
         }
     )
@@ -54,15 +68,13 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(1)
         .alias("opened"),
         kind.isin("click", "purchase").alias("follows_link"),
-        ((event * 7 + k) % 4 == 0).cast("int").alias("response_flag"),
-        (
+        flag((event * 7 + k) % 4 == 0).alias("response_flag"),
+        flag(
             ((event * 11 + user * 3 + k) % 20 == 0)
             | ((kind == "error") & (sent == F.lit("2024-01-15").cast("date")))
-        )
-        .cast("int")
-        .alias("complaint_flag"),
-        ((event * 17 + k) % 33 == 0).cast("int").alias("escalation_flag"),
-        ((event * 13 + k) % 25 < 2).cast("int").alias("opt_out_flag"),
+        ).alias("complaint_flag"),
+        flag((event * 17 + k) % 33 == 0).alias("escalation_flag"),
+        flag((event * 13 + k) % 25 < 2).alias("opt_out_flag"),
         F.when(F.col("c_acctbal") < 2500, "Low").when(F.col("c_acctbal") < 7000, "Mid").otherwise("High").alias(
             "premium_bucket"
         ),
@@ -84,8 +96,8 @@ def raw_feed(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataF
     Every row of the clean table is here once. Each fault hits the rows whose number a prime divides, so all
     faults occur alone and together.
     """
-    number = F.regexp_extract("customer_id", "([0-9]+)", 1).cast("bigint")
-    user = F.col("tenure_months") * 10 + number % 7
+    number = F.substring("customer_id", len("CUST_") + 1, 20).cast("bigint")
+    user = F.col("tenure_months") * 10 + F.col("n") % 7
 
     def every(prime: int) -> Column:
         return F.col("n") % prime == 0

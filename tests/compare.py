@@ -1,4 +1,4 @@
-"""Run a query and its SQL side by side and compare rows, names and values."""
+"""Run a query and its SQL side by side and compare rows, names, types and values."""
 
 from __future__ import annotations
 
@@ -7,6 +7,15 @@ from pathlib import Path
 
 import duckdb
 
+TYPES = {
+    "string": "VARCHAR",
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+}
+
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     connection = duckdb.connect()
@@ -27,10 +36,11 @@ def _sorted_rows(names, rows):
 
 
 def spark_result(df):
-    return sorted(df.columns), _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
+    types = {f.name: TYPES[f.dataType.simpleString()] for f in df.schema}
+    return dict(sorted(types.items())), _sorted_rows(df.columns, [tuple(r) for r in df.collect()])
 
 
 def duckdb_result(connection, sql):
     cursor = connection.execute(sql)
-    names = [d[0] for d in cursor.description]
-    return sorted(names), _sorted_rows(names, cursor.fetchall())
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    return dict(sorted(types.items())), _sorted_rows(list(types), cursor.fetchall())

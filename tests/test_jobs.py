@@ -79,3 +79,25 @@ def test_settings(tmp_path):
         Settings.from_mapping({"nonsense": 1})
     (tmp_path / "s.json").write_text('{"trees": 7}')
     assert Settings.load(str(tmp_path / "s.json")).trees == 7
+
+
+def test_requests(spark, cases, forest):
+    from commlens.plans.requests import detect, score_requests, summarise_requests
+    from frames import RISKY, SAFE
+
+    feed = files.from_records(spark, [RISKY, SAFE, {**SAFE, "customer_id": "BAD", "engagement_score": 1.5}])
+    answers = score_requests(feed, forest)
+    scored = {r["customer_id"]: r for r in answers.answered.collect()}
+    assert set(scored) == {"CUST_RISKY", "CUST_SAFE"}
+    assert scored["CUST_RISKY"]["needs_intervention"] == 1 and scored["CUST_SAFE"]["needs_intervention"] == 0
+    assert [r["reasons"] for r in answers.quarantined.collect()] == [["engagement_score: above 1"]]
+
+    texts = {r["customer_id"]: r["summary"] for r in summarise_requests(feed, forest).answered.collect()}
+    assert "elevated intervention risk" in texts["CUST_RISKY"] and "has declined to 0.95" in texts["CUST_SAFE"]
+    unscored = {r["customer_id"]: r["summary"] for r in summarise_requests(feed).answered.collect()}
+    assert "(score: 0.00)" in unscored["CUST_RISKY"]
+
+    status, totals = detect(cases, "complaint_spike")
+    assert status.count() == 1 and totals.first()["total_flagged"] == 1
+    with pytest.raises(ValueError):
+        detect(cases, "other")
