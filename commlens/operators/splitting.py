@@ -3,8 +3,9 @@
 Rows of a class are ordered by the MD5 of their id; the first ``ceil(fraction * n)`` are the test set, and the rest
 falls into equal consecutive folds. A window per class would sort half the table in one task. Here the cut points
 are found instead: a histogram over the first four hex digits (65,536 buckets) tells in which bucket each cut falls,
-and only the rows of those buckets, about n / 65,536 each, are ranked. The cut points are then compared with each
-row's hash in a plain projection. Ids must be unique, as they are after cleaning.
+and only the hashes of those buckets, about n / 65,536 each, are ranked. The cut points are then compared with each
+row's hash in a plain projection. Both passes count before they shuffle, so an id that is repeated (cleaning removes
+repeats) costs one partial count per task; all its rows land on the same side.
 """
 
 from __future__ import annotations
@@ -54,15 +55,19 @@ def cut_points(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
         .agg(F.collect_list("place").alias("places"))
     )
     # edges: at most folds rows per class, a fixed bound
-    ranked = (
+    hashes = (
         keyed.withColumn("bucket", _bucket())
         .join(F.broadcast(edges), ["label", "bucket"])
-        .withColumn("place", F.row_number().over(Window.partitionBy("label", "bucket").orderBy("key")))
+        .groupBy("label", "bucket", "rows", "test_rows", "places", "key")
+        .agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("label", "bucket").orderBy("key")))
+    )
+    # several cuts may fall on one hash; each counts
+    hits = F.size(
+        F.filter("places", lambda place: (F.col("upto") - F.col("n") < place) & (place <= F.col("upto")))
     )
-    # several cuts may fall on one row of a tiny class; each counts
-    hits = F.size(F.filter("places", lambda p: p == F.col("place")))
     return (
-        ranked.withColumn("hits", hits)
+        hashes.withColumn("hits", hits)
         .where(F.col("hits") > 0)
         .groupBy("label", "rows", "test_rows")
         .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("key", F.col("hits"))))).alias("cuts"))

@@ -117,7 +117,7 @@ def r4(value: str, digits: int = 4) -> str:
 
 
 def fixed(value: str, digits: int) -> str:
-    return f"printf('%.{digits}f', {r4(value, digits)})"
+    return f"printf('%.{digits}f', {value})"
 
 
 def percent(value: str, digits: int = 1) -> str:

@@ -27,6 +27,7 @@ from commlens.operators import (
     splitting,
     training,
 )
+from commlens.plans import requests
 from commlens.schema import ID, TARGET
 from commlens.sources import tables
 from commlens.sources.feeds import communications, raw_feed
@@ -256,6 +257,12 @@ def scored_cases(spark: SparkSession, folder: str) -> DataFrame:
     return reports.case_list(scoring.score_batch(chosen, _forest(spark, folder)))
 
 
+@register
+def score_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Scores of the admitted rows of the untidy feed."""
+    return requests.score_requests(raw_feed(spark, folder, bad_dates=True), _forest(spark, folder)).answered
+
+
 @register
 def scored_summaries(spark: SparkSession, folder: str) -> DataFrame:
     """A text for every case from the forest's score and the detectors' text."""

@@ -17,9 +17,22 @@ def test_rounding_is_half_even(spark, value, expected):
     assert one(spark, rounding.round_even(F.col("v")), v=("double", value)) == expected
 
 
-def test_fixed_text_is_half_even(spark):
-    assert one(spark, rounding.fixed_text(F.col("v"), 2), v=("double", 0.125)) == "0.12"
-    assert one(spark, rounding.percent_text(F.col("v")), v=("double", 0.3654)) == "36.5%"
+def test_fixed_text_equals_printf(spark):
+    values = [k / 10_000 for k in range(10_001)] + [2.675, 1.005, -0.125, 1e6 + 0.125, 19.43333]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = df.select(
+        "v",
+        rounding.fixed_text(F.col("v"), 2).alias("fixed"),
+        rounding.percent_text(F.col("v")).alias("percent"),
+        rounding.percent_text(F.col("v"), 0).alias("whole"),
+    ).collect()
+    assert len(rows) == len(values)
+    for row in rows:
+        assert (row["fixed"], row["percent"], row["whole"]) == (
+            f"{row['v']:.2f}",
+            f"{row['v']:.1%}",
+            f"{row['v']:.0%}",
+        )
 
 
 FLAGS = ["opened", "clicked", "response_flag", "complaint_flag", "opt_out_flag"]

@@ -20,6 +20,7 @@ def test_every_oracle_has_a_query():
         "cross_validation",
         "feature_importance",
         "score_batch",
+        "score_requests",
         "scored_cases",
         "scored_summaries",
         "train_metrics",
