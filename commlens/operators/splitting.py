@@ -19,7 +19,7 @@ BUCKET_DIGITS = 4
 
 
 def hash_key() -> Column:
-    return F.md5(F.col(ID))
+    return F.md5(F.coalesce(F.col(ID), F.lit("")))
 
 
 def _bucket() -> Column:

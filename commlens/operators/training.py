@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from commlens.functions.business import threshold_flag
 from commlens.operators.evaluation import classification_report, roc_auc
-from commlens.operators.features import Levels, build_features, feature_names, fit_levels
+from commlens.operators.features import Levels, build_features, feature_names, feature_vector, fit_levels
 from commlens.operators.scoring import VECTOR, Forest
 from commlens.operators.splitting import assign_slots, cut_points
 from commlens.schema import ID, TARGET
@@ -48,10 +48,6 @@ class Training:
     metrics: dict[str, Any]
 
 
-def _assembler(names: list[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=names, outputCol=VECTOR, handleInvalid="keep")
-
-
 def prepare(df: DataFrame, settings: Settings = DEFAULTS) -> TrainingSet:
     """Features, split and balanced weights, laid out by id and checkpointed.
 
@@ -74,10 +70,14 @@ def prepare(df: DataFrame, settings: Settings = DEFAULTS) -> TrainingSet:
     cuts = df.sparkSession.createDataFrame(found, classes.schema)
     featured = build_features(df, levels)
     slotted = assign_slots(featured, cuts, settings)
-    vectors = _assembler(feature_names(levels)).transform(slotted)
     partitions = max(settings.min_fit_partitions, -(-train_rows // settings.rows_per_fit_partition))
     rows = (
-        vectors.select(ID, F.col(TARGET).cast("double").alias("label"), "slot", VECTOR)
+        slotted.select(
+            ID,
+            F.col(TARGET).cast("double").alias("label"),
+            "slot",
+            feature_vector(feature_names(levels)).alias(VECTOR),
+        )
         .withColumn("weight", weight)
         .repartition(partitions, ID)
         .sortWithinPartitions(ID)
@@ -134,7 +134,9 @@ def evaluate(
 
 def fit_forest(training_set: TrainingSet, settings: Settings = DEFAULTS) -> Forest:
     model = fit(training_set.train, settings)
-    assembler = _assembler(feature_names(training_set.levels))
+    assembler = VectorAssembler(
+        inputCols=feature_names(training_set.levels), outputCol=VECTOR, handleInvalid="keep"
+    )
     return Forest(PipelineModel([assembler, model]), training_set.levels)
 
 
