@@ -27,10 +27,16 @@ def _pick(key: Column, *labels: str) -> Column:
 
 
 def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The clean table. Integer arithmetic only, so that any engine derives the same rows.
+    """The clean table."""
+    return _numbered(spark, sf_dir).select(*REQUIRED_COLUMNS)
 
-    No broadcast hint: the customer side grows with the data, so Catalyst and AQE choose by size, and AQE
-    splits the partition of a user who owns a large share of the events.
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean table and the number ``n`` of each case.
+
+    Integer arithmetic only, so that any engine derives the same rows. No broadcast hint: the customer side grows
+    with the data, so Catalyst and AQE choose by size, and AQE splits the partition of a user who owns a large share
+    of the events.
     """
     events = spark.read.schema(EVENTS).parquet(f"{sf_dir}/events.parquet")
     customers = spark.read.schema(CUSTOMER).parquet(f"{sf_dir}/customer.parquet")
@@ -51,6 +57,7 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     flagged = based.select(
+        event.alias("n"),
         id_label("CUST", event, 9).alias("customer_id"),
         F.when(market == "AUTOMOBILE", "Premium")
         .when(market.isin("BUILDING", "MACHINERY"), "Standard")
@@ -86,7 +93,7 @@ def communications(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("engagement_score", engagement_score())
         .withColumn("sentiment_text", sentiment_band(F.col("engagement_score")))
         .withColumn("needs_intervention", needs_intervention())
-        .select(*REQUIRED_COLUMNS)
+        .select("n", *REQUIRED_COLUMNS)
     )
 
 
@@ -96,7 +103,6 @@ def raw_feed(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataF
     Every row of the clean table is here once. Each fault hits the rows whose number a prime divides, so all
     faults occur alone and together.
     """
-    number = F.substring("customer_id", len("CUST_") + 1, 20).cast("bigint")
     user = F.col("tenure_months") * 10 + F.col("n") % 7
 
     def every(prime: int) -> Column:
@@ -108,8 +114,7 @@ def raw_feed(spark: SparkSession, sf_dir: str, bad_dates: bool = False) -> DataF
         sent = F.when(every(103), F.lit("not a date")).otherwise(sent)
 
     return (
-        communications(spark, sf_dir)
-        .withColumn("n", number)
+        _numbered(spark, sf_dir)
         .withColumns(
             {
                 "customer_id": F.when(every(101), F.lit(None)).otherwise(id_label("CUST", user, 6)),
