@@ -91,6 +91,10 @@ def feature_names(levels: Levels) -> list[str]:
     return [*PASSTHROUGH, *INTERACTIONS, *one_hot_columns(levels)]
 
 
+def get_feature_names(df: DataFrame) -> list[str]:
+    return feature_names(fit_levels(df))
+
+
 def add_interactions(df: DataFrame) -> DataFrame:
     return df.withColumns(interaction_columns())
 

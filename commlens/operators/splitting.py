@@ -16,6 +16,8 @@ from commlens.schema import ID, TARGET
 from commlens.settings import DEFAULTS, Settings
 
 BUCKET_DIGITS = 4
+# the class of rows whose label is neither 0 nor 1
+UNLABELLED = -1
 
 
 def hash_key() -> Column:
@@ -27,8 +29,12 @@ def _bucket() -> Column:
 
 
 def cut_points(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per class: label, rows, test_rows, cuts (hashes of the last test row and of each fold's last row)."""
-    keyed = df.where(F.col(TARGET).isNotNull()).select(F.col(TARGET).alias("label"), hash_key().alias("key"))
+    """label, rows, test_rows, cuts (hashes of the last test row and of each fold's last row).
+
+    Three rows at most: one per class, one for rows without a valid label if there are any.
+    """
+    label = F.when(F.col(TARGET).isin(0, 1), F.col(TARGET)).otherwise(UNLABELLED)
+    keyed = df.select(label.cast("int").alias("label"), hash_key().alias("key"))
     in_class = Window.partitionBy("label")
     # at most 65,536 rows per class
     histogram = (
@@ -75,12 +81,12 @@ def cut_points(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 
 def assign_slots(df: DataFrame, cuts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Add ``slot``: 0 is the test set, 1..folds the training folds. Rows without a label are left out."""
+    """Add ``slot``: 0 is the test set, 1..folds the training folds. Only rows labelled 0 or 1 have a slot."""
     key = hash_key()
     slot = F.lit(0)
     for position in range(settings.folds):
         slot = slot + (key > F.col("cuts")[position]).cast("int")
-    # one row per class
+    # at most three rows
     joined = df.join(F.broadcast(cuts.select(F.col("label").alias("_label"), "cuts")), F.col(TARGET) == F.col("_label"))
     return joined.withColumn("slot", slot).drop("_label", "cuts")
 

@@ -57,10 +57,10 @@ def prepare(df: DataFrame, settings: Settings = DEFAULTS) -> TrainingSet:
     """
     levels = fit_levels(df)
     classes = cut_points(df, settings)
-    # one row per class, used as constants below; a third class shows that the table was not validated
-    found = classes.limit(3).collect()
+    # at most three rows, used as constants below
+    found = classes.collect()
     if {r["label"] for r in found} != {0, 1}:
-        raise ValueError("Training needs rows of both classes, 0 and 1, and no others.")
+        raise ValueError("Training needs rows of both classes, 0 and 1, and no rows without a label.")
     kept = {r["label"]: r["rows"] - r["test_rows"] for r in found}
     if min(kept.values()) == 0:
         raise ValueError("Training needs more than one row of each class.")

@@ -11,7 +11,7 @@ from frames import RISKY, SAFE, SAMPLE, case, frame, records
 
 
 def test_feature_names(cases):
-    names = features.feature_names(features.fit_levels(cases))
+    names = features.get_feature_names(cases)
     assert len(names) == 26
     assert names[:9] == features.PASSTHROUGH and names[9:13] == features.INTERACTIONS
     assert names[13:] == [
@@ -170,6 +170,11 @@ def test_one_class_cannot_be_trained(spark):
         training.prepare(df)
 
 
+def test_unlabelled_rows_cannot_be_trained(cases):
+    with pytest.raises(ValueError, match="without a label"):
+        training.prepare(cases.withColumn("needs_intervention", F.expr("nullif(needs_intervention, 1)")))
+
+
 def test_importances(cases, forest):
     top = records(training.top_features(forest, cases))
     values = [r["importance"] for r in top]

@@ -115,3 +115,19 @@ def test_a_hot_user_joins_without_a_hint(spark, small):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert found[1] == usual[1] and found[0] == pytest.approx(usual[0])
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, hot, tmp_path):
+    from pathlib import Path
+
+    from commlens.sources.tables import write_table
+
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8k")
+    try:
+        write_table(hot, "hot_days", partition_by="sent_date")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    paths = [Path(f) for f in spark.table("hot_days").inputFiles()]
+    files = Counter(p.parent.name for p in paths)
+    assert files.pop("sent_date=2024-01-15") > 1
+    assert spark.table("hot_days").count() == hot.count()
