@@ -234,6 +234,7 @@ def campaign_underperformance(
 
 
 # --- one status row per detector -------------------------------------------------------------------------------
+# The summary sentences below.
 
 
 def _items(order: list[Column], fields: list[str]) -> Column:

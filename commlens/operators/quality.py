@@ -88,6 +88,9 @@ def _count_finding(check: str, prefix: str, name: str, severity: str, before: st
     return F.when(failures > 0, _finding(check, name, severity, failures, detail))
 
 
+# The message texts below.
+
+
 def _findings(settings: Settings) -> list[Column]:
     """Findings over the profile row, in check order; NULL where the check passes."""
     others = [c for c in REQUIRED_COLUMNS if c not in CRITICAL_COLUMNS]

@@ -128,6 +128,19 @@ def test_duplicates_do_not_depend_on_the_layout(spark, small):
     assert one.exceptAll(other).count() == 0 and one.count() == other.count()
 
 
+@pytest.mark.parametrize("limit", [0, 10, 100_000])
+def test_few_repeats_give_the_same_rows(spark, limit):
+    df = frame(
+        spark,
+        *[case(customer_id=f"C{i % 40:02d}" if i < 45 else f"D{i}", tenure_months=1 + i % 7) for i in range(200)],
+        *[case(customer_id=None, tenure_months=t) for t in (3, 2)],
+    )
+    general, few = cleaning.keep_first(df), cleaning.keep_first_of_few(df, limit=limit)
+    assert few.columns == general.columns
+    assert few.count() == general.count() == 40 + 155 + 1
+    assert few.exceptAll(general).count() == 0
+
+
 def test_bad_date_raises_when_strict_and_is_null_when_lenient(spark):
     df = spark.createDataFrame([("2024-01-01",), ("nope",)], "sent_date string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
