@@ -29,6 +29,7 @@ KEYS = {"day": "sent_date", "segment": "segment", "campaign_id": "campaign_id"}
 # Scores have four decimals; their sums are kept as whole millionths. Integer sums do not depend on the order of
 # tasks, so a retry cannot move a mean, and equal scores have exactly equal means. A BIGINT holds nine trillion rows.
 SCORE_SCALE = 1e6
+ROLLUP_PARTITIONS = 8
 
 
 # --- measures --------------------------------------------------------------------------------------------------
@@ -431,10 +432,11 @@ def detector_status(df: DataFrame, detector: str | None = ALL, settings: Setting
     """detector, flagged, summary, metadata, anomalies: one row per selected detector.
 
     For several detectors the rollup is persisted, so the table is read once. Only the rollup is held: a few rows
-    per day, rebuilt from the table if an executor is lost.
+    per day, rebuilt from the table if an executor is lost. Cached plans keep all their shuffle partitions, so the
+    small result is gathered into a few first.
     """
     names = selected(detector)
-    measures = measure_rows(df) if len(names) == 1 else rollup(df).persist()
+    measures = measure_rows(df) if len(names) == 1 else rollup(df).repartition(ROLLUP_PARTITIONS).persist()
     rows = reduce(DataFrame.unionByName, [_STATUS[name](measures, settings) for name in names])
     return rows.orderBy("position").drop("position")
 

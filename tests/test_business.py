@@ -117,3 +117,46 @@ def test_lenient_numbers(spark, value, as_double, as_int):
 def test_strip_removes_all_python_whitespace(spark):
     assert set(text.WHITESPACE) == {chr(i) for i in range(0x110000) if chr(i).isspace()}
     assert one(spark, text.strip(F.col("v")), v=("string", " \t Direct Mail \n")) == "Direct Mail"
+
+
+def test_every_combination_of_flags(spark):
+    """Score, sentiment and rule over all flag values and the days around each bound, against plain Python."""
+    from itertools import product
+
+    import numpy as np
+
+    days = [0, 29, 44, 45, 120, 121, 180]
+    rows = [
+        case(
+            customer_id=f"C{i}",
+            opened=o,
+            clicked=c,
+            response_flag=r,
+            complaint_flag=p,
+            escalation_flag=e,
+            opt_out_flag=u,
+            days_since_last_contact=d,
+        )
+        for i, (o, c, r, p, e, u, d) in enumerate(product(*[(0, 1)] * 6, days))
+    ]
+    df = (
+        frame(spark, *rows)
+        .withColumn("engagement_score", business.engagement_score())
+        .withColumn("sentiment_text", business.sentiment_band(F.col("engagement_score")))
+        .withColumn("needs_intervention", business.needs_intervention())
+    )
+    found = df.collect()
+    assert len(found) == 64 * len(days)
+    for x in found:
+        raw = 0.35 * x.opened + 0.30 * x.clicked + 0.25 * x.response_flag
+        raw += -0.15 * x.complaint_flag - 0.10 * x.opt_out_flag
+        score = float(np.round(min(max(raw, 0.0), 1.0), 4))
+        silent = x.response_flag == 0 and x.opt_out_flag == 0
+        rule = (
+            (score < 0.25 and not x.opened and x.days_since_last_contact < 45)
+            or x.complaint_flag
+            or x.escalation_flag
+            or (x.days_since_last_contact > 120 and silent and score < 0.5)
+        )
+        sentiment = next((s for b, s in ((0.7, "positive"), (0.45, "neutral"), (0.25, "mixed")) if score >= b), "negative")
+        assert (x.engagement_score, x.sentiment_text, x.needs_intervention) == (score, sentiment, int(bool(rule)))
