@@ -41,8 +41,8 @@ def from_records(spark: SparkSession, records: Iterable[Mapping[str, Any]]) -> D
             for f in schema_of(names)
         ]
     )
-    frame = spark.createDataFrame([[_text_dates(row.get(n)) for n in names] for row in rows], loose)
-    return nan_to_null(frame)
+    values = [[_plain(row.get(f.name), f.dataType) for f in loose] for row in rows]
+    return spark.createDataFrame(values, loose)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -54,5 +54,15 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(spark.read.parquet(path))
 
 
-def _text_dates(value: Any) -> Any:
-    return value.isoformat() if hasattr(value, "isoformat") else value
+def _plain(value: Any, kind: T.DataType) -> Any:
+    """The value in the column's Python type; NaN is missing, a number that does not fit raises ValueError."""
+    if value is None or value != value:
+        return None
+    if isinstance(kind, T.StringType):
+        return value.isoformat() if hasattr(value, "isoformat") else str(value)
+    number = float(value)
+    if isinstance(kind, T.IntegerType):
+        if not number.is_integer():
+            raise ValueError(f"{value!r} is not an integer")
+        return int(number)
+    return number

@@ -26,7 +26,7 @@ def table_exists(spark: SparkSession, name: str) -> bool:
 
 
 def write_table(df: DataFrame, name: str, if_exists: str = "replace", partition_by: str | None = None) -> None:
-    """Replace or append to a table.
+    """Replace or append to a table. An append keeps the partitioning the table has.
 
     With ``partition_by`` the rows are rebalanced on that column first: AQE merges small partitions and splits
     large ones, so a day that holds a third of all rows is written by many tasks, and a quiet day as one file.
@@ -34,6 +34,9 @@ def write_table(df: DataFrame, name: str, if_exists: str = "replace", partition_
     modes = {"replace": "overwrite", "append": "append"}
     if if_exists not in modes:
         raise ValueError(f"if_exists must be one of {sorted(modes)}, not {if_exists!r}")
+    catalog = df.sparkSession.catalog
+    if if_exists == "append" and catalog.tableExists(name):
+        partition_by = next((c.name for c in catalog.listColumns(name) if c.isPartition), None)
     if partition_by is not None:
         df = df.hint("rebalance", partition_by)
     writer = df.write.mode(modes[if_exists]).format("parquet")

@@ -24,6 +24,15 @@ def test_table_round_trip(spark):
     assert not tables.table_exists(spark, "trip")
 
 
+def test_append_keeps_the_partitioning(spark, cases):
+    tables.write_table(cases, "grown", partition_by="sent_date")
+    tables.write_table(cases.limit(10), "grown", if_exists="append")
+    assert tables.row_count(spark, "grown") == cases.count() + 10
+    assert [c.name for c in spark.catalog.listColumns("grown") if c.isPartition] == ["sent_date"]
+    grown = tables.read_table(spark, "grown").select(cases.columns)
+    assert grown.exceptAll(cases).count() == 10
+
+
 def test_query_with_parameters(spark, cases):
     found = tables.query(spark, "SELECT count(*) AS n FROM {c} WHERE segment = ?", ["Basic"], c=cases).first()["n"]
     assert found == cases.where(F.col("segment") == "Basic").count()

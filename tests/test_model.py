@@ -240,3 +240,7 @@ def test_records_frame(spark):
     rows = {r["customer_id"]: r for r in df.collect()}
     assert rows["X"]["engagement_score"] is None and rows["X"]["opened"] is None
     assert "needs_intervention" not in df.columns
+    mixed = from_records(spark, [{"engagement_score": 1, "opened": 1.0, "tenure_months": float("nan")}]).first()
+    assert (mixed["engagement_score"], mixed["opened"], mixed["tenure_months"]) == (1.0, 1, None)
+    with pytest.raises(ValueError, match="not an integer"):
+        from_records(spark, [{"opened": 0.5}])
