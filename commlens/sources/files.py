@@ -29,15 +29,20 @@ def schema_of(names: Iterable[str]) -> T.StructType:
     return T.StructType([known.get(name, T.StructField(name, T.StringType())) for name in names])
 
 
-def from_records(spark: SparkSession, records: Iterable[Mapping[str, Any]]) -> DataFrame:
-    """Frame of dict records. Columns no record carries stay absent, so defaults can tell absent from NULL."""
+def from_records(spark: SparkSession, records: Iterable[Mapping[str, Any]], typed: bool = True) -> DataFrame:
+    """Frame of dict records. Columns no record carries stay absent, so defaults can tell absent from NULL.
+
+    Untyped, every column is text: for admission and case texts, which parse leniently.
+    """
     rows = [dict(r) for r in records]
     present = {key for row in rows for key in row}
     names = [n for n in COMMUNICATIONS.fieldNames() if n in present]
     names += sorted(present - set(names))
     loose = T.StructType(
         [
-            T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DateType) else f.dataType)
+            T.StructField(
+                f.name, T.StringType() if not typed or isinstance(f.dataType, T.DateType) else f.dataType
+            )
             for f in schema_of(names)
         ]
     )

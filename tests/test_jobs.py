@@ -95,6 +95,8 @@ def test_requests(spark, cases, forest):
     from frames import RISKY, SAFE
 
     feed = files.from_records(spark, [RISKY, SAFE, {**SAFE, "customer_id": "BAD", "engagement_score": 1.5}])
+    untyped = files.from_records(spark, [{**SAFE, "opened": "maybe"}, RISKY], typed=False)
+    assert [r["reasons"] for r in score_requests(untyped, forest).quarantined.collect()] == [["opened: not an integer"]]
     answers = score_requests(feed, forest)
     scored = {r["customer_id"]: r for r in answers.answered.collect()}
     assert set(scored) == {"CUST_RISKY", "CUST_SAFE"}
