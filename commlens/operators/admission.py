@@ -49,12 +49,15 @@ def _numeric_reason(name: str, low: float, high: float | None, whole: bool) -> C
 
 def admit(df: DataFrame) -> DataFrame:
     """The typed request columns, defaults filled in, plus ``reasons`` (empty: admitted)."""
-    filled = df.select(
-        *[
-            F.coalesce(F.col(c), F.lit(v).cast(df.schema[c].dataType)).alias(c) if c in df.columns else F.lit(v).alias(c)
-            for c, v in REQUEST_DEFAULTS.items()
-        ]
-    )
+    schema = df.schema
+
+    def filled_in(name: str, default: object) -> Column:
+        value = F.lit(default)
+        if name in schema.fieldNames():
+            value = F.coalesce(F.col(name), value.cast(schema[name].dataType))
+        return value.alias(name)
+
+    filled = df.select(*[filled_in(name, default) for name, default in REQUEST_DEFAULTS.items()])
     day = F.col("sent_date").try_cast("date")
     reasons = [_numeric_reason(c, low, high, whole=True) for c, (low, high) in INTEGER_BOUNDS.items()]
     reasons.append(_numeric_reason("engagement_score", 0, 1, whole=False))

@@ -12,11 +12,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from commlens.functions.business import true_only
 from commlens.functions.rounding import fixed_text, percent_text, round_even
 from commlens.settings import DEFAULTS, Settings
+from commlens.sources.files import nan_to_null
 
 SEGMENT_DROP = "segment_engagement_drop"
 COMPLAINT_SPIKE = "complaint_spike"
@@ -36,7 +37,7 @@ ROLLUP_PARTITIONS = 8
 
 
 def measure_rows(df: DataFrame) -> DataFrame:
-    """Keys and additive measures of the detector columns that the frame has."""
+    """Keys and additive measures of the detector columns that the frame has; NaN counts as missing."""
     sources = {
         "complaints": ("complaint_flag", lambda c: F.coalesce(c, F.lit(0)).cast("bigint")),
         "opened_known": ("opened", lambda c: c.isNotNull().cast("bigint")),
@@ -44,6 +45,8 @@ def measure_rows(df: DataFrame) -> DataFrame:
         "score_known": ("engagement_score", lambda c: c.isNotNull().cast("bigint")),
         "score_sum": ("engagement_score", lambda c: F.coalesce(F.rint(c * SCORE_SCALE).cast("bigint"), F.lit(0))),
     }
+    used = {*KEYS.values(), *(c for c, _ in sources.values())}
+    df = nan_to_null(df.select(*[c for c in df.columns if c in used]))
     keys = [
         (F.col(c).cast("date") if name == "day" else F.col(c)).alias(name)
         for name, c in KEYS.items()
@@ -60,7 +63,7 @@ def rollup(df: DataFrame) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in rows.columns if c not in keys])
 
 
-def _whole() -> Window:
+def _whole() -> WindowSpec:
     return Window.partitionBy()
 
 

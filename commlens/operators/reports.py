@@ -8,6 +8,7 @@ from commlens.functions.rounding import round_even
 from commlens.functions.text import yes_no
 from commlens.operators.cleaning import lenient_date
 from commlens.schema import DOMAINS, ID, TARGET
+from commlens.sources.files import nan_to_null
 
 # Columns and lengths of the case list.
 CASE_COLUMNS = [
@@ -31,7 +32,7 @@ def _mean(name: str) -> Column:
 
 
 def kpis(df: DataFrame) -> DataFrame:
-    return df.agg(
+    return nan_to_null(df).agg(
         F.count("*").alias("total_records"),
         _mean(TARGET).alias("intervention_rate"),
         _mean("engagement_score").alias("avg_engagement"),

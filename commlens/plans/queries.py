@@ -201,7 +201,10 @@ def _anomalies(cases: DataFrame):
 
 
 over_raw("case_context", lambda feed: narrative.case_context(feed, "none"))
-over_cases("case_prompts", lambda c: narrative.case_prompts(with_stand_in_score(c), _anomalies(c)).drop("system_prompt"))
+over_cases(
+    "case_prompts",
+    lambda c: narrative.case_prompts(with_stand_in_score(c), _anomalies(c)).drop("system_prompt"),
+)
 over_cases("case_summaries", lambda c: narrative.case_summaries(with_stand_in_score(c), _anomalies(c)))
 
 # --- the forest ------------------------------------------------------------------------------------------------

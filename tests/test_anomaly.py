@@ -253,3 +253,14 @@ def test_missing_keys_and_dates_are_left_out(spark):
     df = dated(spark, spike_day=5).unionByName(frame(spark, case(segment=None, campaign_id=None, sent_date=None)))
     assert len(records(anomaly.complaint_days(df))) == 20
     assert len(records(anomaly.campaign_scorecard(df))) == 3
+
+
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame(
+        [("A", 1.0, 0.0, 0.5), ("A", nan, nan, nan), ("B", 0.0, 1.0, nan)],
+        "campaign_id string, opened double, complaint_flag double, engagement_score double",
+    )
+    rows = {r["campaign_id"]: r for r in anomaly.campaign_scorecard(df).collect()}
+    assert (rows["A"]["total_sent"], rows["A"]["open_rate"], rows["A"]["avg_engagement"]) == (1, 1.0, 0.5)
+    assert (rows["B"]["complaint_count"], rows["B"]["avg_engagement"]) == (1, None)
