@@ -24,6 +24,10 @@ def hash_key() -> Column:
     return F.md5(F.coalesce(F.col(ID), F.lit("")))
 
 
+def _label() -> Column:
+    return F.when(F.col(TARGET).isin(0, 1), F.col(TARGET).cast("int")).otherwise(UNLABELLED)
+
+
 def _bucket() -> Column:
     return F.substring("key", 1, BUCKET_DIGITS)
 
@@ -33,8 +37,7 @@ def cut_points(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
     Three rows at most: one per class, one for rows without a valid label if there are any.
     """
-    label = F.when(F.col(TARGET).isin(0, 1), F.col(TARGET)).otherwise(UNLABELLED)
-    keyed = df.select(label.cast("int").alias("label"), hash_key().alias("key"))
+    keyed = df.select(_label().alias("label"), hash_key().alias("key"))
     in_class = Window.partitionBy("label")
     # at most 65,536 rows per class
     histogram = (
@@ -99,13 +102,9 @@ def stratified_split(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
 def class_weights(df: DataFrame) -> DataFrame:
     """label, rows, weight: rows / (classes * rows of the class), the balanced weights."""
-    everything = Window.partitionBy()
-    return (
-        df.where(F.col(TARGET).isNotNull())
-        .groupBy(F.col(TARGET).alias("label"))
-        .agg(F.count("*").alias("rows"))
-        .withColumn(
-            "weight",
-            F.sum("rows").over(everything).cast("double") / (F.count("*").over(everything) * F.col("rows")),
-        )
+    classes = df.groupBy(_label().alias("label")).agg(F.count("*").alias("rows")).where(F.col("label") != UNLABELLED)
+    # at most two rows
+    both = Window.partitionBy()
+    return classes.withColumn(
+        "weight", F.sum("rows").over(both).cast("double") / (F.count("*").over(both) * F.col("rows"))
     )
