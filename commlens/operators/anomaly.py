@@ -81,15 +81,16 @@ def _last_day(measures: DataFrame) -> Column:
 
 
 def _segment_weeks(measures: DataFrame, threshold: float) -> DataFrame:
-    today, day = _last_day(measures), F.col("day")
-    current, previous = day >= F.date_sub(today, 6), day <= F.date_sub(today, 7)
+    today, age = _last_day(measures), F.col("age")
+    current, previous = age <= 6, age >= 7
 
     def total(name: str, week: Column) -> Column:
         return F.sum(F.when(week, F.col(name)))
 
     # the filter reaches the scan, so a table partitioned by day reads fourteen days
     per_segment = (
-        measures.where((day >= F.date_sub(today, 13)) & F.col("segment").isNotNull())
+        measures.where((F.col("day") >= F.date_sub(today, 13)) & F.col("segment").isNotNull())
+        .withColumn("age", F.date_diff(today, "day"))
         .groupBy("segment")
         .agg(
             total("rows", current).alias("current_rows"),

@@ -188,3 +188,20 @@ def test_admission_of_text_fields(spark):
     assert rows["A"]["opened"] == 1 and rows["A"]["reasons"] == [] and rows["A"]["sent_date"] == date(2024, 5, 6)
     assert rows["B"]["reasons"] == ["opened: not an integer"]
     assert rows["C"]["reasons"] == ["opened: not an integer", "sent_date: not a date"]
+
+
+def test_empty_table(spark):
+    from commlens.schema import COMMUNICATIONS
+
+    empty = spark.createDataFrame([], COMMUNICATIONS)
+    report = quality.validate(empty)
+    assert report.passed and report.warnings == ["Dataset has only 0 rows (expected >= 100)"]
+    assert report.stats["row_count"] == 0 and report.stats["engagement_mean"] is None
+    assert cleaning.clean(empty).count() == cleaning.keep_first_of_few(empty).count() == 0
+    assert admission.admit(empty).count() == 0
+
+
+def test_extra_columns_are_counted(spark):
+    df = healthy(spark).withColumn("notes", F.lit(None).cast("array<string>"))
+    report = quality.validate(df)
+    assert report.passed and report.stats["column_count"] == 19 and report.stats["null_total"] == 120
