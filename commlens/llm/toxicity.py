@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, stored
 
-BUCKETS = 1 << 20
+BUCKETS = 1 << 19
 PREFIX = 4
 FOLDS = 4
 MAX_LABELLED = 200_000
@@ -190,15 +190,17 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     spark = documents.sparkSession
     rows = _labelled(documents, labels, max_labelled)
     counted = rows.mapInArrow(_counts, "bucket long, " + ", ".join(f"{c} long" for c in COUNTS))
-    sums = counted.groupBy("bucket").agg(*(F.sum(c).cast("int").alias(c) for c in COUNTS)).toPandas()  # at most BUCKETS rows
-    n_texts = sums[sums.bucket < 0][COUNTS].sum().to_numpy()
+    sums = counted.groupBy("bucket").agg(*(F.sum(c).cast("int").alias(c) for c in COUNTS))
+    sums = sums.withColumn("bucket", F.col("bucket").cast("int")).toArrow()  # at most BUCKETS rows
+    place = sums["bucket"].to_numpy()
+    counts = np.zeros((2 * FOLDS, BUCKETS + 1), np.int32)
+    for g, c in enumerate(COUNTS):
+        counts[g][place] = sums[c].to_numpy()
+    del sums, place
+    n_texts, counts = counts[:, -1].astype(float), counts[:, :-1]
     n_clean, n_toxic = n_texts[0::2].sum(), n_texts[1::2].sum()
     if not n_clean or not n_toxic:
         return Model(None, share=float(n_toxic / max(n_clean + n_toxic, 1)))
-    counts = np.zeros((2 * FOLDS, BUCKETS), np.int32)
-    sums = sums[sums.bucket >= 0]
-    for g, c in enumerate(COUNTS):
-        counts[g][sums.bucket.to_numpy()] = sums[c].to_numpy()
     clean, toxic = counts[0::2].sum(axis=0), counts[1::2].sum(axis=0)
     table = log_odds(toxic, clean)
     # each fold is scored with what the others have taught
