@@ -8,10 +8,11 @@ Signature: the hashes of a set, in order, fall into BANDS * ROWS bins of equal w
 takes the value of another one, chosen by a fixed random order of its own (optimal densification). ROWS values make a band. At the
 threshold, a pair shares no band with a probability of (1 - 0.75^5)^40, about 2 in 100,000; above it, less.
 
-Documents with equal sets are one node. In the bucket of a band, nodes are not paired with each other but with hubs (stars). After the
-first round a bucket keeps only the nodes that could have a link to another component that was not tested: a hub is done; a node linked
-to a hub is done if no unlinked node of the bucket is within half of that hub, because the Jaccard distance is a metric. What is left
-gets twice as many hubs in the next round, until nothing is left. So a bucket of n copies costs n pairs and no link is given up.
+Documents with equal sets are one node. In the bucket of a band, nodes are not paired with each other but with a hub (a star): the node
+that meets most others in all its buckets. After a round a bucket keeps only the nodes that could have an untested link to another
+component: a hub is done, and so is a node if all nodes whose distance to the hub differs from its own by at most the distance of a
+link are in its component, because the Jaccard distance is a metric. What is left gets twice as many hubs in the next round, until
+nothing is left. So a bucket of n copies costs n pairs and no link is given up.
 
 Rows without doc_id link with nothing: component null, kept. Rows that share a doc_id are separate nodes. Repeated rows are linked by equal
 sets. An empty table gives an empty result.
@@ -33,6 +34,8 @@ from .graph import components
 SHINGLE, NEED = 5, 75
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
+#: Classes of distance, as wide as the distance of a link.
+QUARTERS = 100 // (100 - NEED)
 _EDGES = (np.arange(1, BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
 #: For each bin the other bins in a random order.
 _ORDER = np.stack([np.random.default_rng(i).permutation(BINS) for i in range(BINS)])
@@ -113,11 +116,12 @@ def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     them both / either is the ratio of the sizes, an upper bound."""
     small, large = F.least("n_hub", "n_node"), F.greatest("n_hub", "n_node")
     possible = 100 * small >= NEED * large
-    ruled_out = pairs.where(~possible).select("hub", "node", small.alias("both"), large.alias("either"))
+    ruled_out = pairs.where(~possible).select("hub", "node", small.alias("both"), large.alias("either"), F.lit(False).alias("known"))
     of_hub = sets.select(F.col("node").alias("hub"), F.col("set").alias("x"))
     of_node = sets.select("node", F.col("set").alias("y"))
     found = pairs.where(possible).select("hub", "node").join(of_node, "node").join(of_hub, "hub").select("hub", "node", "x", "y")
-    return stored(found.mapInArrow(_compared, "hub long, node long, both long, either long").unionByName(ruled_out), "tested")
+    found = found.mapInArrow(_compared, "hub long, node long, both long, either long").withColumn("known", F.lit(True))
+    return stored(found.unionByName(ruled_out), "tested")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -134,22 +138,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         "nodes",
     )
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    mask = F.when(F.col("key") % 2 == 0, F.lit(0)).otherwise(F.lit((1 << 62) - 1)).cast("long")  # smallest or largest node
-    shared = (
-        members.groupBy("key")
-        .agg(F.count(F.lit(1)).alias("c"), F.min(F.col("node").bitwiseXOR(mask)).alias("m"))
-        .where("c > 1")
-        .select(F.col("key"), F.col("m").bitwiseXOR(mask).alias("hub"))
-    )
-    pending = stored(members.join(shared, "key").select("key", "node", "n", "hub"), "buckets")
-    wanted = nodes.join(pending.select("node").distinct(), "node").select("node", "digest", "doc_id")
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    pending = stored(members.join(shared, "key").select("key", "node", "n", "met"), "buckets")
+    weight = pending.groupBy("node").agg(F.sum("met").alias("weight"), F.first("n").alias("n"))
+    weight = stored(weight, "weights")
+    wanted = nodes.join(weight.select("node"), "node").select("node", "digest", "doc_id")
     texts = documents.select("doc_id", "text").where("doc_id is not null")
     sets = texts.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, set binary")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
-    size = pending.select(F.col("node").alias("hub"), F.col("n").alias("n_hub")).distinct()
+    size = weight.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
+
+    def chosen(pending: DataFrame, slots: int) -> DataFrame:
+        """Of each bucket, the heaviest node of each of so many slots."""
+        slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
+        heavy = pending.join(weight.select("node", "weight"), "node")
+        heavy = heavy.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node")).alias("top"))
+        return stored(heavy.select("key", F.col("top.node").alias("hub")), "hubs")
 
-    hubs = pending.select("key", "hub").distinct()
     pending = pending.select("key", "node", "n")
+    hubs = chosen(pending, 1)
     tested, linked, slots = None, None, 1
     while True:
         rows = pending.join(hubs, "key")
@@ -166,8 +173,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         if pending.isEmpty():
             break
         slots *= 2
-        slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-        hubs = pending.groupBy("key", slot.alias("slot")).agg(F.min("node").alias("hub")).select("key", "hub")
+        hubs = chosen(pending, slots)
     found = nodes.select("node", "digest", "doc_id").join(linked, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -188,18 +194,25 @@ def _left(pending: DataFrame, hubs: DataFrame, tested: DataFrame, linked: DataFr
         .withColumn("component", F.coalesce("component", "node"))
         .withColumn("of_hub", F.coalesce("of_hub", "hub"))
     )
-    # pairs tested in an earlier round the other way round are not in `tested`: they count as near and not linked, which keeps them
-    near = F.col("both").isNull() | (2 * F.col("both") >= F.col("either"))
     own = F.col("node") == F.col("hub")
-    near = ~own & near & (F.col("component") != F.col("of_hub"))
-    joined = F.coalesce(100 * F.col("both") >= NEED * F.col("either"), F.lit(False))
-    rows = rows.select("key", "hub", "node", "n", "component", near.alias("near"), joined.alias("joined"), own.alias("own"))
-    risk = rows.groupBy("key", "hub").agg(F.max("near").alias("near_hub"))
-    done = F.col("own") | (F.col("joined") & ~F.col("near_hub"))
+    # distances to the hub in quarters; where only an upper bound of the similarity is known, any larger distance is possible
+    low = F.least(F.lit(QUARTERS - 1), F.floor(QUARTERS * (F.col("either") - F.col("both")) / F.col("either")))
+    low = F.when(own, F.lit(0)).otherwise(F.coalesce(low, F.lit(0)))
+    high = F.when(own | F.coalesce("known", F.lit(False)), low).otherwise(F.lit(QUARTERS - 1))
+    rows = rows.select("key", "hub", "node", "n", "component", low.alias("low"), high.alias("high"), own.alias("own"))
+    inside = [F.when((F.col("low") <= q) & (F.col("high") >= q), F.col("component")) for q in range(QUARTERS)]
+    ranges = rows.groupBy("key", "hub").agg(
+        *(F.min(c).alias(f"min{q}") for q, c in enumerate(inside)), *(F.max(c).alias(f"max{q}") for q, c in enumerate(inside))
+    )
+    settled = F.lit(True)
+    for q in range(QUARTERS):
+        alike = (F.col(f"min{q}") == F.col("component")) & (F.col(f"max{q}") == F.col("component"))
+        beyond = (F.col("low") - 1 > q) | (F.col("high") + 1 < q)
+        settled = settled & (beyond | F.coalesce(alike, F.lit(True)))
     rest = (
-        rows.drop("near").join(risk, ["key", "hub"])
+        rows.join(ranges, ["key", "hub"])
         .groupBy("key", "node")
-        .agg(F.max(done).alias("done"), F.first("n").alias("n"), F.first("component").alias("component"))
+        .agg(F.max(F.col("own") | settled).alias("done"), F.first("n").alias("n"), F.first("component").alias("component"))
         .where("not done")
     )
     several = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")

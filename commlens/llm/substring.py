@@ -6,8 +6,8 @@ of what they stand for, so they agree in all documents and rounds without a tabl
 
 Equal passages are parsed alike except near their ends: a round changes at most one symbol at each end, of at most 2^round words, and
 the run step one word; so all symbols of a window of SIZE words that lie MARGIN words or more inside it are the same wherever the
-window occurs (runs apart). Of these, a window's anchor is the longest one, the largest name deciding ties. Windows that
-are equal have equal anchors; a window whose anchor occurs in one document only is not repeated. The others, and those without a
+window occurs (runs apart). A window's anchor is the longest pair of neighbours among these, or else the longest of them, the largest
+name deciding ties. Windows that are equal have equal anchors; a window whose anchor occurs in one document only is not repeated. The others, and those without a
 symbol inside, are verified: their hashes are compared, and only these few windows are shuffled.
 
 A window is removed if its words also start in a document with a smaller doc_id. Of documents with equal word sequences, the one with
@@ -57,8 +57,20 @@ def parse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def anchors(hashes: np.ndarray) -> np.ndarray:
     """The anchor of each window; 0 for a window without one."""
-    n = len(hashes) - SIZE + 1
     start, end, name, run = parse(hashes)
+    pairs = mix(name[:-1] * GOLDEN + name[1:])
+    best = _longest(len(hashes), start[:-1], end[1:], pairs, run[:-1] | run[1:])
+    none = best == 0
+    if none.any():
+        best[none] = _longest(len(hashes), start, end, name, run)[none]
+    return best
+
+
+def _longest(n_words: int, start: np.ndarray, end: np.ndarray, name: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """For each window the length and name of the longest stretch well inside it; 0 without one."""
+    n = n_words - SIZE + 1
+    if not len(start):
+        return np.zeros(n, np.uint64)
     rank = ((end - start).astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
     rank[run] = 0
     first = np.arange(n)
