@@ -21,14 +21,26 @@ def or_default(value: Column, default: str) -> Column:
     return F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit(default))
 
 
+# decimal numbers with single underscores between digits, as in Python; no suffixes
+NUMBER = r"^\s*[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
+INFINITE = r"^\s*[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?\s*$"
+
+
+def number(value: Column) -> Column:
+    """The number that a text or numeric column holds; NULL for NaN and for anything else."""
+    text = value.cast("string")
+    plain = F.regexp_replace(strip(text), "_", "")
+    return F.when(text.rlike(NUMBER) | text.rlike(INFINITE), plain.try_cast("double"))
+
+
 def lenient_double(value: Column) -> Column:
     """Missing, NaN or unparsable becomes 0.0."""
-    return F.coalesce(F.nanvl(value.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(number(value), F.lit(0.0))
 
 
 def lenient_int(value: Column) -> Column:
     """As lenient_double, then cut towards zero; out of range becomes 0."""
-    return F.coalesce(value.try_cast("double").try_cast("int"), F.lit(0))
+    return F.coalesce(number(value).try_cast("int"), F.lit(0))
 
 
 def yes_no(flag: Column) -> Column:

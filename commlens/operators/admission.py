@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from commlens.functions.text import number
 
 # Defaults for absent fields.
 REQUEST_DEFAULTS = {
@@ -37,18 +39,34 @@ INTEGER_BOUNDS: dict[str, tuple[int, int | None]] = {
 }
 
 
-def _numeric_reason(name: str, low: float, high: float | None, whole: bool) -> Column:
-    number = F.col(name).try_cast("double")
-    malformed = number.isNull() | F.isnan(number)
-    if whole:
-        malformed = malformed | (number != F.floor(number))
-    reason = F.when(malformed, f"{name}: not {'an integer' if whole else 'a number'}")
-    reason = reason.when(number < low, f"{name}: below {low}")
-    return reason if high is None else reason.when(number > high, f"{name}: above {high}")
+# a day, alone or with midnight
+DAY = r"^\d{4}-\d{2}-\d{2}([T ]00:00(:00(\.0+)?)?Z?)?$"
+# whole numbers: digits with single underscores, zeros after the point
+WHOLE = r"^\s*[+-]?\d+(_\d+)*(\.0*)?\s*$"
+
+
+def _parsed(df: DataFrame, name: str, whole: bool) -> Column:
+    """NULL for what is no number. Text must be written as one; a numeric column is taken as it is."""
+    value = F.col(name)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        parsed = number(value)
+        return F.when(value.rlike(WHOLE), parsed) if whole else parsed
+    parsed = F.nullif(value.cast("double"), F.lit(float("nan")))
+    return F.when(parsed == F.floor(parsed), parsed) if whole else parsed
+
+
+def _reason(name: str, low: float, high: float | None, whole: bool) -> Column:
+    value = F.col(f"_{name}")
+    reason = F.when(value.isNull(), f"{name}: not {'an integer' if whole else 'a number'}")
+    reason = reason.when(value < low, f"{name}: below {low}")
+    return reason if high is None else reason.when(value > high, f"{name}: above {high}")
 
 
 def admit(df: DataFrame) -> DataFrame:
-    """The typed request columns, defaults filled in, plus ``reasons`` (empty: admitted)."""
+    """The typed request columns, defaults filled in, plus ``reasons`` (empty: admitted).
+
+    A table cannot tell an absent field from NULL: NULL takes the default.
+    """
     schema = df.schema
 
     def filled_in(name: str, default: object) -> Column:
@@ -58,18 +76,24 @@ def admit(df: DataFrame) -> DataFrame:
         return value.alias(name)
 
     filled = df.select(*[filled_in(name, default) for name, default in REQUEST_DEFAULTS.items()])
-    day = F.col("sent_date").try_cast("date")
-    reasons = [_numeric_reason(c, low, high, whole=True) for c, (low, high) in INTEGER_BOUNDS.items()]
-    reasons.append(_numeric_reason("engagement_score", 0, 1, whole=False))
-    reasons.append(F.when(day.isNull(), "sent_date: not a date"))
-    checked = filled.withColumn("reasons", F.array_compact(F.array(*reasons)))
-    return checked.withColumns(
+    day = F.col("sent_date")
+    if isinstance(filled.schema["sent_date"].dataType, T.StringType):
+        day = F.when(day.rlike(DAY), F.substring(day, 1, 10).try_cast("date"))
+    typed = filled.withColumns(
         {
-            "sent_date": day,
-            "engagement_score": F.col("engagement_score").try_cast("double"),
-            **{c: F.col(c).try_cast("double").try_cast("int") for c in INTEGER_BOUNDS},
+            "_sent_date": day.cast("date"),
+            "_engagement_score": _parsed(filled, "engagement_score", whole=False),
+            **{f"_{c}": _parsed(filled, c, whole=True) for c in INTEGER_BOUNDS},
         }
     )
+    reasons = [_reason(c, low, high, whole=True) for c, (low, high) in INTEGER_BOUNDS.items()]
+    reasons.append(_reason("engagement_score", 0, 1, whole=False))
+    reasons.append(F.when(F.col("_sent_date").isNull(), "sent_date: not a date"))
+    own = {"sent_date": F.col("_sent_date"), "engagement_score": F.col("_engagement_score")}
+    own |= {c: F.col(f"_{c}").try_cast("int") for c in INTEGER_BOUNDS}
+    return typed.select(
+        *[own.get(c, F.col(c)).alias(c) for c in REQUEST_DEFAULTS], F.array_compact(F.array(*reasons)).alias("reasons")
+    )
 
 
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:

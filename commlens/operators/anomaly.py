@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from commlens.functions.business import true_only
 from commlens.functions.rounding import fixed_text, percent_text, round_even
+from commlens.session import durable
 from commlens.settings import DEFAULTS, Settings
 from commlens.sources.files import nan_to_null
 
@@ -190,18 +191,17 @@ def _open_rate() -> Column:
 def _campaigns(measures: DataFrame, ratio: float) -> DataFrame:
     rate = F.col("open_rate")
     named = measures.where(F.col("campaign_id").isNotNull())
-    rates = named.groupBy("campaign_id").agg(_open_rate())
-    stats = (
-        named.groupBy("campaign_id")
-        .agg(
+    # one row per campaign, read twice: by the median and by the result
+    stats = durable(
+        named.groupBy("campaign_id").agg(
             _open_rate(),
             F.sum("opened_known").alias("total_sent"),
             F.sum("complaints").alias("complaint_count"),
             _mean_score(F.sum("score_sum"), F.sum("score_known")).alias("mean_score"),
         )
-        .withColumn("median_raw", rates.agg(F.median("open_rate")).scalar())
-        .withColumn("cutoff", F.col("median_raw") * ratio)
     )
+    stats = stats.withColumn("median_raw", stats.agg(F.median("open_rate")).scalar())
+    stats = stats.withColumn("cutoff", F.col("median_raw") * ratio)
     share = F.when(F.col("median_raw") > 0, round_even(F.try_divide(rate, F.col("median_raw")))).otherwise(0.0)
     return stats.select(
         "campaign_id",
@@ -433,12 +433,11 @@ def selected(detector: str | None) -> list[str]:
 def detector_status(df: DataFrame, detector: str | None = ALL, settings: Settings = DEFAULTS) -> DataFrame:
     """detector, flagged, summary, metadata, anomalies: one row per selected detector.
 
-    For several detectors the rollup is persisted, so the table is read once. Only the rollup is held: a few rows
-    per day, rebuilt from the table if an executor is lost. Cached plans keep all their shuffle partitions, so the
-    small result is gathered into a few first.
+    For several detectors the rollup, a few rows per day, is checkpointed in the shared folder, so the table is read
+    once, every call reads it anew, and nothing is left in memory.
     """
     names = selected(detector)
-    measures = measure_rows(df) if len(names) == 1 else rollup(df).repartition(ROLLUP_PARTITIONS).persist()
+    measures = measure_rows(df) if len(names) == 1 else durable(rollup(df).repartition(ROLLUP_PARTITIONS))
     rows = reduce(DataFrame.unionByName, [_STATUS[name](measures, settings) for name in names])
     return rows.orderBy("position").drop("position")
 

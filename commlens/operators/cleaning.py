@@ -7,10 +7,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from commlens.functions.text import strip
 from commlens.schema import BINARY_COLUMNS, ID, REQUIRED_COLUMNS
 
-# repeated keys that are broadcast at most: a few megabytes
-MAX_REPEATED = 100_000
-
-
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
@@ -35,25 +31,6 @@ def keep_first(df: DataFrame, key: str = ID) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1).drop("_rank")
 
 
-def keep_first_of_few(df: DataFrame, key: str = ID, limit: int = MAX_REPEATED) -> DataFrame:
-    """keep_first for a key that is meant to be unique: only rows with a repeated key are shuffled.
-
-    Runs one job that counts the keys alone. Up to ``limit`` repeated keys are broadcast and the other rows pass
-    through as they are; beyond it all rows take the general way. Both ways give the same rows.
-    """
-    repeated = df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(key)
-    found = repeated.limit(limit + 1).collect()
-    if len(found) > limit:
-        return keep_first(df, key)
-    few = df.sparkSession.createDataFrame(found, repeated.schema).select(
-        F.col(key).alias("_key"), F.lit(True).alias("_repeated")
-    )
-    marked = df.join(F.broadcast(few), F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key")
-    single = marked.where(F.col("_repeated").isNull()).drop("_repeated")
-    several = marked.where(F.col("_repeated")).drop("_repeated")
-    return single.unionByName(keep_first(several, key))
-
-
 def clean(df: DataFrame) -> DataFrame:
     return keep_first(normalise_rows(df))
 

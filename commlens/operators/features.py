@@ -44,25 +44,22 @@ CATEGORICAL_DEFAULTS = {
 
 Levels = dict[str, list[str]]
 DECLARED_LEVELS: Levels = {c: sorted(DOMAINS[c]) for c in CATEGORICALS}
-# a column with more levels than this is an identifier, not a category
-MAX_LEVELS = 1000
 
 
 def fit_levels(df: DataFrame) -> Levels:
-    """Sorted levels of each categorical. The first level is the baseline and gets no column."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("level")) for c in CATEGORICALS])
-    found = (
-        df.select(*CATEGORICALS)
-        .distinct()
-        .select(F.inline(pairs))
-        .where(F.col("level").isNotNull())
-        .distinct()
-        .limit(MAX_LEVELS + 1)
-        .collect()
-    )
-    if len(found) > MAX_LEVELS:
-        raise ValueError(f"More than {MAX_LEVELS} category levels; validate the table before training.")
-    return {c: sorted(r["level"] for r in found if r["name"] == c) for c in CATEGORICALS}
+    """Sorted levels that occur of each categorical. The first level is the baseline and gets no column.
+
+    One aggregate row over the declared domains. A value outside them raises; pass ``levels`` where a table has its own.
+    """
+    present = [(c, level) for c in CATEGORICALS for level in DECLARED_LEVELS[c]]
+    found = df.agg(
+        *[F.bool_or(F.col(c) == level).alias(f"has{i}") for i, (c, level) in enumerate(present)],
+        *[F.bool_or(~F.col(c).isin(DECLARED_LEVELS[c])).alias(f"other_{c}") for c in CATEGORICALS],
+    ).first()
+    undeclared = [c for c in CATEGORICALS if found[f"other_{c}"]]
+    if undeclared:
+        raise ValueError(f"Undeclared category levels in {undeclared}; validate the table or pass its levels.")
+    return {c: [level for i, (name, level) in enumerate(present) if name == c and found[f"has{i}"]] for c in CATEGORICALS}
 
 
 def interaction_columns() -> dict[str, Column]:

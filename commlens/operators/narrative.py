@@ -7,17 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from commlens.functions.rounding import fixed_text
 from commlens.functions.text import lenient_double, lenient_int, or_default, yes_no
 
-# The system prompt that accompanies every case prompt.
-SYSTEM_PROMPT = """You are a customer communications analyst at a financial services company.
-Your job is to produce concise, actionable next-best-action summaries for customer cases.
-
-Rules:
-- Maximum 3 sentences
-- Use plain business language — no jargon
-- Always include one specific recommended action
-- Never invent data not provided in the context
-- Never mention that you are an AI"""
-
 STUB = "stub"
 FLAG_WORD = "FLAGGED"
 
@@ -158,7 +147,7 @@ def stub_summary() -> Column:
 
 def case_prompts(df: DataFrame, anomaly_text: str | Column = "") -> DataFrame:
     return case_context(df, anomaly_text).select(
-        "customer_id", F.lit(SYSTEM_PROMPT).alias("system_prompt"), user_prompt().alias("user_prompt")
+        "customer_id", user_prompt().alias("user_prompt")
     )
 
 

@@ -138,6 +138,11 @@ def filter_cases(
     return df.where(chosen)
 
 
+def first_cases(df: DataFrame, limit: int = CASE_LIMIT) -> DataFrame:
+    """The first cases in id order, all columns: what a list shows is chosen before it is scored."""
+    return df.orderBy(ID).limit(limit)
+
+
 def case_list(df: DataFrame, limit: int = CASE_LIMIT) -> DataFrame:
     """The display columns of the first cases in id order."""
     shown = CASE_COLUMNS + [c for c in SCORE_COLUMNS if c in df.columns]
@@ -150,8 +155,9 @@ def candidate_cases(df: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def case_lookup(df: DataFrame, customer_id: str | Column) -> DataFrame:
-    """All columns of one case; among duplicates the earliest."""
-    return df.where(F.col(ID) == customer_id).orderBy("sent_date").limit(1)
+    """All columns of one case; among duplicates the earliest, then the first by the other columns."""
+    rest = [c for c in df.columns if c not in ("sent_date", ID)]
+    return df.where(F.col(ID) == customer_id).orderBy("sent_date", *[F.col(f"`{c}`") for c in rest]).limit(1)
 
 
 def sample_case(df: DataFrame, needs_intervention: int = 1) -> DataFrame:

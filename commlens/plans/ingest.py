@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from commlens.operators.cleaning import keep_first_of_few, normalise_rows
+from commlens.operators.cleaning import keep_first, normalise_rows
 from commlens.operators.quality import validate
 from commlens.schema import REQUIRED_COLUMNS
 from commlens.settings import DEFAULTS, Settings
@@ -23,7 +23,7 @@ def ingest(
     """Write the clean table, replacing it, and return it. Raises ValueError when a quality check fails.
 
     The checks see the rows as they arrive, before stripping: padded values are errors, not repaired. One pass for
-    the checks, one over the ids alone, one for cleaning and writing; the CSV copies are optional extra outputs.
+    the checks, one for cleaning and writing; the CSV copies are optional extra outputs.
     """
     spark = raw.sparkSession
     raw = nan_to_null(raw)
@@ -33,7 +33,7 @@ def ingest(
         report = validate(raw, settings)
         if not report.passed:
             raise ValueError(f"Validation failed:\n{report.summary()}")
-    write_table(keep_first_of_few(normalise_rows(raw)), settings.table_name, partition_by=partition_by)
+    write_table(keep_first(normalise_rows(raw)), settings.table_name, partition_by=partition_by)
     table = spark.table(settings.table_name)
     ordered = [c for c in REQUIRED_COLUMNS if c in table.columns]
     table = table.select(*ordered, *[c for c in table.columns if c not in ordered])

@@ -246,7 +246,7 @@ def _admission() -> str:
     for c, (low, high) in bounds.items():
         above = "" if high is None else f" WHEN {c} > {high} THEN '{c}: above {high}'"
         rules.append(f"CASE WHEN {c} < {low} THEN '{c}: below {low}'{above} END")
-    rules.append("CASE WHEN sent_date = 'not a date' THEN 'sent_date: not a date' END")
+    rules.append("CASE WHEN NOT regexp_full_match(sent_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'sent_date: not a date' END")
     return (
         "WITH "
         + RAW_BAD_DATES
@@ -256,7 +256,7 @@ filled AS (
                     coalesce(engagement_score, 0.5e0) AS engagement_score)
   FROM raw
 )
-SELECT customer_id, TRY_CAST(substr(sent_date, 1, 10) AS DATE) AS sent_date, opened, engagement_score,
+SELECT customer_id, CASE WHEN length(sent_date) = 10 THEN TRY_CAST(sent_date AS DATE) END AS sent_date, opened, engagement_score,
        concat_ws('; ', {', '.join(rules)}) = '' AS admitted, concat_ws('; ', {', '.join(rules)}) AS reasons
 FROM filled"""
     )

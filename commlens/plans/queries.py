@@ -203,7 +203,7 @@ def _anomalies(cases: DataFrame):
 over_raw("case_context", lambda feed: narrative.case_context(feed, "none"))
 over_cases(
     "case_prompts",
-    lambda c: narrative.case_prompts(with_stand_in_score(c), _anomalies(c)).drop("system_prompt"),
+    lambda c: narrative.case_prompts(with_stand_in_score(c), _anomalies(c)),
 )
 over_cases("case_summaries", lambda c: narrative.case_summaries(with_stand_in_score(c), _anomalies(c)))
 
@@ -255,9 +255,9 @@ def score_batch(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def scored_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """The case list with the forest's scores: filtered first, then scored."""
+    """The case list with the forest's scores: filtered and limited first, then scored."""
     chosen = reports.filter_cases(communications(spark, folder), ["Premium", "Basic"], ["Email", "Phone"])
-    return reports.case_list(scoring.score_batch(chosen, _forest(spark, folder)))
+    return reports.case_list(scoring.score_batch(reports.first_cases(chosen), _forest(spark, folder)))
 
 
 @register

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SESSION_CONF = {
@@ -33,10 +31,7 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("Set spark.checkpoint.dir to a folder all executors share.")
-            folder = tempfile.mkdtemp(prefix="commlens-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        folder = spark.conf.get("spark.checkpoint.dir", None) or shared
         context.setCheckpointDir(folder)
     return df.checkpoint()

@@ -264,3 +264,24 @@ def test_nan_counts_as_missing(spark):
     rows = {r["campaign_id"]: r for r in anomaly.campaign_scorecard(df).collect()}
     assert (rows["A"]["total_sent"], rows["A"]["open_rate"], rows["A"]["avg_engagement"]) == (1, 1.0, 0.5)
     assert (rows["B"]["complaint_count"], rows["B"]["avg_engagement"]) == (1, None)
+
+
+def test_rows_added_from_outside_are_seen(spark, tmp_path):
+    import shutil
+
+    from datetime import date
+
+    folder, other = str(tmp_path / "table"), str(tmp_path / "other")
+    frame(spark, *[case(customer_id=f"A{i}", sent_date=date(2022, 5, 1 + i % 20)) for i in range(40)]).write.parquet(folder)
+
+    def week(df):
+        rows = anomaly.detector_status(df).collect()
+        return next(r["metadata"]["current_week_start"] for r in rows if "current_week_start" in r["metadata"])
+
+    before = week(spark.read.parquet(folder))
+    frame(spark, *[case(customer_id=f"B{i}", sent_date=date(2022, 9, 9)) for i in range(40)]).coalesce(1).write.parquet(other)
+    for part in (tmp_path / "other").glob("part-*"):
+        shutil.copy(part, tmp_path / "table" / f"late-{part.name}")
+    spark.catalog.clearCache()
+    assert week(spark.read.parquet(folder)) > before
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()

@@ -107,7 +107,7 @@ def test_id_label_never_cuts(spark):
 
 @pytest.mark.parametrize(
     "value, as_double, as_int",
-    [(None, 0.0, 0), ("NaN", 0.0, 0), ("bad", 0.0, 0), ("1.0", 1.0, 1), ("", 0.0, 0), ("-1.9", -1.9, -1), (" 2 ", 2.0, 2)],
+    [(None, 0.0, 0), ("NaN", 0.0, 0), ("bad", 0.0, 0), ("1.0", 1.0, 1), ("", 0.0, 0), ("-1.9", -1.9, -1), (" 2 ", 2.0, 2), ("1d", 0.0, 0), ("2.5f", 0.0, 0), ("1_000", 1000.0, 1000)],
 )
 def test_lenient_numbers(spark, value, as_double, as_int):
     assert one(spark, text.lenient_double(F.col("v")), v=("string", value)) == as_double

@@ -128,19 +128,6 @@ def test_duplicates_do_not_depend_on_the_layout(spark, small):
     assert one.exceptAll(other).count() == 0 and one.count() == other.count()
 
 
-@pytest.mark.parametrize("limit", [0, 10, 100_000])
-def test_few_repeats_give_the_same_rows(spark, limit):
-    df = frame(
-        spark,
-        *[case(customer_id=f"C{i % 40:02d}" if i < 45 else f"D{i}", tenure_months=1 + i % 7) for i in range(200)],
-        *[case(customer_id=None, tenure_months=t) for t in (3, 2)],
-    )
-    general, few = cleaning.keep_first(df), cleaning.keep_first_of_few(df, limit=limit)
-    assert few.columns == general.columns
-    assert few.count() == general.count() == 40 + 155 + 1
-    assert few.exceptAll(general).count() == 0
-
-
 def test_bad_date_raises_when_strict_and_is_null_when_lenient(spark):
     df = spark.createDataFrame([("2024-01-01",), ("nope",)], "sent_date string")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
@@ -190,6 +177,19 @@ def test_admission_of_text_fields(spark):
     assert rows["C"]["reasons"] == ["opened: not an integer", "sent_date: not a date"]
 
 
+@pytest.mark.parametrize(
+    "opened, day, good",
+    [
+        ("1", "2023-02-11", True), (" 1 ", "2023-02-11T00:00:00", True), ("1.0", "2023-02-11 00:00", True),
+        ("1e0", "2023-02-11", False), ("1d", "2023-02-11", False), ("1", "2023-02-11Tjunk", False), ("1", "2023", False),
+        ("1", "2023-02", False), ("1", " 2023-2-11 ", False), ("1", "2023-02-11 09:30:00", False), ("1", "2023-02-30", False),
+    ],
+)
+def test_admission_reads_strictly(spark, opened, day, good):
+    df = spark.createDataFrame([(opened, day)], "opened string, sent_date string")
+    assert (admission.admit(df).first()["reasons"] == []) == good
+
+
 def test_empty_table(spark):
     from commlens.schema import COMMUNICATIONS
 
@@ -197,7 +197,7 @@ def test_empty_table(spark):
     report = quality.validate(empty)
     assert report.passed and report.warnings == ["Dataset has only 0 rows (expected >= 100)"]
     assert report.stats["row_count"] == 0 and report.stats["engagement_mean"] is None
-    assert cleaning.clean(empty).count() == cleaning.keep_first_of_few(empty).count() == 0
+    assert cleaning.clean(empty).count() == 0
     assert admission.admit(empty).count() == 0
 
 
