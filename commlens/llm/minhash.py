@@ -9,10 +9,16 @@ takes the value of another one, chosen by a fixed random order of its own (optim
 threshold, a pair shares no band with a probability of (1 - 0.75^5)^40, about 2 in 100,000; above it, less.
 
 Documents with equal sets are one node. In the bucket of a band, nodes are not paired with each other but with a hub (a star): the node
-that meets most others in all its buckets. After a round a bucket keeps only the nodes that could have an untested link to another
-component: a hub is done, and so is a node if all nodes whose distance to the hub differs from its own by at most the distance of a
-link are in its component, because the Jaccard distance is a metric. What is left gets twice as many hubs in the next round, until
-nothing is left. So a bucket of n copies costs n pairs and no link is given up.
+that meets most others in all its buckets. After the first round a bucket keeps only
+the nodes that could have an untested link to another component: a hub is done, and so is a node if all nodes whose distance to the hub
+differs from its own by at most the distance of a link are in its component, because the Jaccard distance is a metric.
+
+What is left is dealt anew. Let a node x have no link with its hub h. If x has a link with m, and m is not smaller than h, then x and m
+share a shingle that h lacks: otherwise x and m would have no more in common than x and h, which is too little. So nodes meet in buckets
+named by a hub and a shingle beyond it; x leaves out all but one of the shingles that such a link must share at least. The few nodes
+that a smaller m could link without such a shingle stay in their old bucket. From then on the hubs of a bucket are the nodes of its
+rarest components, are tested against the other components only, and leave the bucket, until each bucket has one component. So a
+bucket of n copies costs n pairs and no link is given up.
 
 Rows without doc_id link with nothing: component null, kept. Rows that share a doc_id are separate nodes. Repeated rows are linked by equal
 sets. An empty table gives an empty result.
@@ -124,6 +130,77 @@ def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(found.unionByName(ruled_out), "tested")
 
 
+def _links(tested: DataFrame) -> DataFrame:
+    return tested.where(f"100 * both >= {NEED} * either").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+
+def _ordered(tested: DataFrame) -> DataFrame:
+    """The tested pairs, smaller node first."""
+    return tested.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+
+
+def _several(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """key, node, n, component of rows(key, node, n) in buckets of several components; one bucket of those with the same nodes."""
+    rows = rows.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    buckets = rows.groupBy("key").agg(
+        F.min("component").alias("x"),
+        F.max("component").alias("y"),
+        F.count(F.lit(1)).alias("nodes"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("names"),
+    )
+    single = buckets.where("x <> y").groupBy("nodes", "names").agg(F.min("key").alias("key"))
+    return rows.join(single, "key", "left_semi")
+
+
+def _rarest(pending: DataFrame, weight: DataFrame, slots: int) -> DataFrame:
+    """key, hub, n_hub, of_hub: of each of so many slots of a bucket, a node of the component with the fewest nodes in the bucket."""
+    counted = pending.groupBy("key", "component").agg(F.count(F.lit(1)).alias("peers"))
+    rows = pending.join(counted, ["key", "component"]).join(weight.select("node", "weight"), "node")
+    slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
+    best = F.max(F.struct(-F.col("peers"), "weight", "node", "n", "component")).alias("top")
+    rows = rows.groupBy("key", slot.alias("slot")).agg(best)
+    return rows.select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("n_hub"), F.col("top.component").alias("of_hub"))
+
+
+def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What hub and node have in common, and the node's shingles beyond the hub, as many as a link of the node must meet."""
+    for batch in batches:
+        common, beyond = [], []
+        for least, x, y in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            rest = np.setdiff1d(y, x, assume_unique=True)  # in order, as y
+            shared = len(y) - len(rest)
+            # a linked set has at least `least` shingles, and NEED per cent of the node's
+            smallest = max(least, -(-NEED * len(y) // 100))
+            must = max(1, -(-NEED * (len(y) + smallest) // (100 + NEED)) - shared)
+            common.append(shared)
+            beyond.append(rest[: max(0, len(rest) - must + 1)].view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(i) for i in range(3)), pa.array(common, pa.int64()), pa.array(beyond, pa.list_(pa.int64()))],
+            names=["hub", "node", "n", "common", "beyond"],
+        )
+
+
+def _beyond_hubs(rows: DataFrame, sets: DataFrame, size: DataFrame) -> DataFrame:
+    """key, node, n of the new buckets for rows(key, hub, node, n), where no node is its bucket's hub."""
+    least = rows.groupBy("hub").agg(F.min("n").alias("least"))
+    pairs = rows.groupBy("hub", "node").agg(F.first("n").alias("n")).join(least, "hub")
+    of_hub = sets.select(F.col("node").alias("hub"), F.col("set").alias("x"))
+    of_node = sets.select("node", F.col("set").alias("y"))
+    pairs = pairs.join(of_node, "node").join(of_hub, "hub").select("hub", "node", "n", "least", "x", "y")
+    pairs = stored(pairs.mapInArrow(_beyond, "hub long, node long, n long, common long, beyond array<long>"), "beyond")
+    dealt = pairs.select("hub", "node", "n", F.explode("beyond").alias("shingle"))
+    dealt = dealt.select(F.xxhash64("hub", "shingle").alias("key"), "node", "n").distinct()
+    # the largest set that could be linked with the node without a shingle beyond the hub: smaller than the hub
+    reach = F.floor(((100 + NEED) * F.col("common") - NEED * F.col("n")) / NEED)
+    apart = (100 + NEED) * F.col("common") < NEED * (F.col("n") + F.col("n_hub"))
+    known = rows.join(pairs.select("hub", "node", "common"), ["hub", "node"]).join(size, "hub")
+    known = known.select("key", "node", "n", F.when(apart, reach).alias("reach"))
+    bound = known.groupBy("key").agg(F.max("reach").alias("largest"), F.min("n").alias("smallest")).where("largest >= smallest")
+    old = known.join(bound, "key").where("n <= largest or reach >= smallest").select("key", "node", "n")
+    return dealt.unionByName(old)
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -148,32 +225,37 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = stored(sets.dropDuplicates(["node"]), "sets")
     size = weight.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
 
-    def chosen(pending: DataFrame, slots: int) -> DataFrame:
-        """Of each bucket, the heaviest node of each of so many slots."""
-        slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-        heavy = pending.join(weight.select("node", "weight"), "node")
-        heavy = heavy.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node")).alias("top"))
-        return stored(heavy.select("key", F.col("top.node").alias("hub")), "hubs")
-
     pending = pending.select("key", "node", "n")
-    hubs = chosen(pending, 1)
-    tested, linked, slots = None, None, 1
-    while True:
-        rows = pending.join(hubs, "key")
-        pairs = rows.where("node <> hub").groupBy("hub", "node").agg(F.first("n").alias("n_node")).join(size, "hub")
-        if tested is not None:
-            pairs = pairs.join(tested.select("hub", "node"), ["hub", "node"], "left_anti")
+    heaviest = pending.join(weight.select("node", "weight"), "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
+    hubs = stored(heaviest.select("key", F.col("top.node").alias("hub")), "hubs")
+    rows = pending.join(hubs, "key")
+    pairs = rows.where("node <> hub").groupBy("hub", "node").agg(F.first("n").alias("n_node")).join(size, "hub")
+    now = _tested(pairs, sets)
+    tested = _ordered(now)
+    linked = stored(components(_links(now)), "components")
+    left = stored(_left(pending, hubs, now, linked), "buckets")
+    pending = stored(_several(_beyond_hubs(left.join(hubs, "key"), sets, size), linked), "buckets")
+    slots = 1
+    while not pending.isEmpty():
+        hubs = stored(_rarest(pending, weight, slots), "hubs")
+        rows = pending.join(hubs, "key").where("component <> of_hub").select("hub", "node", F.col("n").alias("n_node"), "n_hub")
+        hub_first = F.col("hub") < F.col("node")
+        rows = rows.select(
+            F.least("hub", "node").alias("hub"),
+            F.greatest("hub", "node").alias("node"),
+            F.when(hub_first, F.col("n_hub")).otherwise(F.col("n_node")).alias("n_hub"),
+            F.when(hub_first, F.col("n_node")).otherwise(F.col("n_hub")).alias("n_node"),
+        )
+        pairs = rows.distinct().join(tested, ["hub", "node"], "left_anti")
         now = _tested(pairs, sets)
-        tested = now if tested is None else tested.unionByName(now)
-        links = now.where(f"100 * both >= {NEED} * either").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        if linked is not None:
-            links = links.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        linked = stored(components(links), "components")
-        pending = stored(_left(pending, hubs, tested, linked), "buckets")
-        if pending.isEmpty():
-            break
-        slots *= 2
-        hubs = chosen(pending, slots)
+        tested = tested.unionByName(_ordered(now))
+        links = _links(now)
+        if not links.isEmpty():
+            joined = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            linked = stored(components(links.unionByName(joined)), "components")
+        done = hubs.select("key", F.col("hub").alias("node"))
+        pending = stored(_several(pending.drop("component").join(done, ["key", "node"], "left_anti"), linked), "buckets")
+        slots *= 4
     found = nodes.select("node", "digest", "doc_id").join(linked, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
