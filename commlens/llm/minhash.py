@@ -16,8 +16,9 @@ differs from its own by at most the distance of a link are in its component, bec
 What is left is dealt anew. Let a node x have no link with its hub h. If x has a link with m, and m is not smaller than h, then x and m
 share a shingle that h lacks: otherwise x and m would have no more in common than x and h, which is too little. So nodes meet in buckets
 named by a hub and a shingle beyond it; x leaves out all but one of the shingles that such a link must share at least. The few nodes
-that a smaller m could link without such a shingle stay in their old bucket. From then on the hubs of a bucket are the nodes of its
-rarest components, are tested against the other components only, and leave the bucket, until each bucket has one component. So a
+that a smaller m could link without such a shingle stay in their old bucket. From then on the hubs of a bucket, four at first and
+up to 16 times as many in each round, are nodes outside its most frequent component, are tested against other components only, and leave the
+bucket, until each bucket has one component. So a
 bucket of n copies costs n pairs and no link is given up.
 
 Rows without doc_id link with nothing: component null, kept. Rows that share a doc_id are separate nodes. Repeated rows are linked by equal
@@ -153,9 +154,12 @@ def _several(rows: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def _rarest(pending: DataFrame, weight: DataFrame, slots: int) -> DataFrame:
-    """key, hub, n_hub, of_hub: of each of so many slots of a bucket, a node of the component with the fewest nodes in the bucket."""
+    """key, hub, n_hub, of_hub: of each of so many slots of a bucket, a node of the component with the fewest nodes in the bucket, and
+    none of the component with the most."""
     counted = pending.groupBy("key", "component").agg(F.count(F.lit(1)).alias("peers"))
-    rows = pending.join(counted, ["key", "component"]).join(weight.select("node", "weight"), "node")
+    most = counted.groupBy("key").agg(F.max(F.struct("peers", "component")).alias("most"))
+    few = counted.join(most, "key").where("component <> most.component").select("key", "component", "peers")
+    rows = pending.join(few, ["key", "component"]).join(weight.select("node", "weight"), "node")
     slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
     best = F.max(F.struct(-F.col("peers"), "weight", "node", "n", "component")).alias("top")
     rows = rows.groupBy("key", slot.alias("slot")).agg(best)
@@ -235,7 +239,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     linked = stored(components(_links(now)), "components")
     left = stored(_left(pending, hubs, now, linked), "buckets")
     pending = stored(_several(_beyond_hubs(left.join(hubs, "key"), sets, size), linked), "buckets")
-    slots = 1
+    slots = 4
     while not pending.isEmpty():
         hubs = stored(_rarest(pending, weight, slots), "hubs")
         rows = pending.join(hubs, "key").where("component <> of_hub").select("hub", "node", F.col("n").alias("n_node"), "n_hub")
@@ -255,7 +259,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             linked = stored(components(links.unionByName(joined)), "components")
         done = hubs.select("key", F.col("hub").alias("node"))
         pending = stored(_several(pending.drop("component").join(done, ["key", "node"], "left_anti"), linked), "buckets")
-        slots *= 4
+        slots *= 16
     found = nodes.select("node", "digest", "doc_id").join(linked, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
