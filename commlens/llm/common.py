@@ -53,7 +53,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet to the shared folder and read again, so that a lost executor costs a read, not a lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

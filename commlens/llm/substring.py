@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,13 +126,31 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of texts with a window, the digest and the compressed words: this is what shuffles move."""
+    packer = zstandard.ZstdCompressor()
+    for batch in batches:
+        at, digest, packed = [], [], []
+        for i, text in enumerate(batch.column(1).to_pylist()):
+            own = words(text)
+            if len(own) >= SIZE:
+                flat = b" ".join(own)
+                at.append(i)
+                digest.append(hashlib.sha256(flat).hexdigest())
+                packed.append(packer.compress(flat))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.string()), pa.array(packed, pa.binary())],
+            names=["doc_id", "digest", "packed"],
+        )
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hash, row, doc_id and place of the windows whose anchor is shared, or that have none."""
-    hashes = WordHashes()
+    hashes, unpacker = WordHashes(), zstandard.ZstdDecompressor()
     for batch in batches:
         row, doc, shared, texts = (batch.column(i) for i in range(4))
-        for i, text in enumerate(texts.to_pylist()):
-            own = hashes.of(words(text))
+        for i, packed in enumerate(texts.to_pylist()):
+            own = hashes.of(unpacker.decompress(packed).split())
             marks = anchors(own).view(np.int64)
             known = np.array(shared[i].as_py() or [], np.int64)
             place = np.flatnonzero((marks == 0) | np.isin(marks, known))
@@ -148,10 +167,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of the kept words, their text, and the removed runs of words."""
+    unpacker = zstandard.ZstdDecompressor()
     for batch in batches:
         out = []
-        for text, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            own = words(text)
+        for packed, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            own = unpacker.decompress(packed).split()
             edge = np.zeros(len(own) + 1, np.int64)
             np.add.at(edge, np.array(places), 1)
             np.add.at(edge, np.array(places) + SIZE, -1)
@@ -182,7 +202,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     parsed = stored(
         documents.select("doc_id", "text").mapInArrow(
             _parsed, f"doc_id {kind}, n_words long, digest string, anchors array<long>, open_ended boolean"
-        ),
+        ).withColumn("entry", F.monotonically_increasing_id()),
         "parsed",
     )
     known = parsed.where(f"doc_id is not null and n_words >= {SIZE}")
@@ -191,23 +211,23 @@ def repeats(documents: DataFrame) -> DataFrame:
     copy = F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)) & (F.col("n_words") >= SIZE)
 
     # symbols of the first of each group of copies that occur in other documents too
-    single = known.join(first, (known["digest"] == first["digest"]) & (known["doc_id"] == first["least"]), "left_semi")
-    marks = single.select("doc_id", "digest", F.explode("anchors").alias("anchor"))
+    first = first.withColumnRenamed("digest", "of")
+    single = known.join(first, (known["digest"] == first["of"]) & (known["doc_id"] == first["least"]), "left_semi")
+    marks = single.select("entry", "doc_id", F.explode("anchors").alias("anchor"))
     shared = marks.groupBy("anchor").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("anchor")
-    found = marks.join(shared, "anchor", "left_semi").unionByName(
-        single.where("open_ended").select("doc_id", "digest", F.lit(None).cast("long").alias("anchor"))
-    )
-    found = found.groupBy("doc_id", "digest").agg(F.collect_set("anchor").alias("shared"))  # of one document's own symbols
+    found = marks.select("entry", "anchor").join(shared, "anchor", "left_semi").select("entry", "anchor")
+    found = found.unionByName(single.where("open_ended").select("entry", F.lit(None).cast("long").alias("anchor")))
+    found = found.groupBy("entry").agg(F.collect_set("anchor").alias("shared"))  # of one document's own symbols
+    found = known.select("entry", "doc_id", "digest").join(found, "entry").drop("entry")
+    found = found.dropDuplicates(["doc_id", "digest"])
     texts = documents.select("doc_id", "text").where("doc_id is not null")
-    joined = texts.join(found.withColumnRenamed("doc_id", "id"), texts["doc_id"] == F.col("id"))
+    texts = texts.mapInArrow(_packed, f"doc_id {kind}, digest string, packed binary")
+    joined = texts.join(found, ["doc_id", "digest"])
     suspects = stored(
-        joined.where(_digest("text") == F.col("digest")).select(
-            F.monotonically_increasing_id().alias("row"), "doc_id", "shared", "text", "digest"
-        ),
-        "suspects",
+        joined.select(F.monotonically_increasing_id().alias("row"), "doc_id", "shared", "packed", "digest"), "suspects"
     )
     windows = stored(
-        suspects.select("row", "doc_id", "shared", "text").mapInArrow(
+        suspects.select("row", "doc_id", "shared", "packed").mapInArrow(
             _windows, f"window long, row long, doc_id {kind}, place int"
         ),
         "windows",
@@ -217,7 +237,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     places = hits.groupBy("row").agg(F.collect_list("place").alias("places"))  # of one document's own windows
     cut = (
         suspects.join(places, "row")
-        .select("doc_id", "digest", "text", "places")
+        .select("doc_id", "digest", "packed", "places")
         .mapInArrow(
             _cut,
             f"doc_id {kind}, digest string, n_cut long, cut_sha256 string, cut_text string, "
@@ -236,9 +256,3 @@ def repeats(documents: DataFrame) -> DataFrame:
         F.when(copy, whole).otherwise(F.coalesce("cut_runs", F.expr("cast(array() as array<struct<first:int,end:int>>)"))).alias("removed"),
         F.when(~copy, F.col("cut_text")).alias("kept_text"),
     )
-
-
-def _digest(column: str):
-    """SHA-256 of the words joined by one space, as in _parsed."""
-    flat = F.trim(F.regexp_replace(F.coalesce(F.col(column), F.lit("")), r"[\x20\x09-\x0D]+", " "))
-    return F.sha2(flat, 256)
