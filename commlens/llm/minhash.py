@@ -135,6 +135,15 @@ def _links(tested: DataFrame) -> DataFrame:
     return tested.where(f"100 * both >= {NEED} * either").select(F.col("hub").alias("a"), F.col("node").alias("b"))
 
 
+def _joined(linked: DataFrame, links: DataFrame) -> DataFrame:
+    """linked(node, component) after links(a, b) between components: only the linked components' names are a graph, not all nodes."""
+    merged = stored(components(links), "merged")
+    to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    named = linked.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    alone = merged.join(linked, "node", "left_anti").select("node", "component")
+    return stored(named.unionByName(alone), "components")
+
+
 def _ordered(tested: DataFrame) -> DataFrame:
     """The tested pairs, smaller node first."""
     return tested.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
@@ -242,21 +251,23 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     slots = 4
     while not pending.isEmpty():
         hubs = stored(_rarest(pending, weight, slots), "hubs")
-        rows = pending.join(hubs, "key").where("component <> of_hub").select("hub", "node", F.col("n").alias("n_node"), "n_hub")
+        rows = pending.join(hubs, "key").where("component <> of_hub").withColumnRenamed("n", "n_node")
         hub_first = F.col("hub") < F.col("node")
         rows = rows.select(
             F.least("hub", "node").alias("hub"),
             F.greatest("hub", "node").alias("node"),
             F.when(hub_first, F.col("n_hub")).otherwise(F.col("n_node")).alias("n_hub"),
             F.when(hub_first, F.col("n_node")).otherwise(F.col("n_hub")).alias("n_node"),
+            F.when(hub_first, F.col("of_hub")).otherwise(F.col("component")).alias("x"),
+            F.when(hub_first, F.col("component")).otherwise(F.col("of_hub")).alias("y"),
         )
-        pairs = rows.distinct().join(tested, ["hub", "node"], "left_anti")
+        pairs = stored(rows.distinct().join(tested, ["hub", "node"], "left_anti"), "pairs")
         now = _tested(pairs, sets)
         tested = tested.unionByName(_ordered(now))
         links = _links(now)
         if not links.isEmpty():
-            joined = linked.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            linked = stored(components(links.unionByName(joined)), "components")
+            ends = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"), "x", "y")
+            linked = _joined(linked, links.join(ends, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
         done = hubs.select("key", F.col("hub").alias("node"))
         pending = stored(_several(pending.drop("component").join(done, ["key", "node"], "left_anti"), linked), "buckets")
         slots *= 16
