@@ -58,13 +58,10 @@ def test_weeks_are_counted_from_the_last_day_on_file(spark):
 
 
 def test_segment_timestamps_count_as_days(spark):
-    rows = []
-    for i in range(20):
-        for segment in ("Premium", "Standard"):
-            score = 0.3 if segment == "Premium" and i < 7 else 0.7
-            rows.append((f"{END - timedelta(days=i)} 09:00:00", segment, score))
+    weeks = [("Basic", range(7), 0.2), ("Basic", range(7, 14), 0.8), ("Standard", range(14), 0.6)]
+    rows = [(f"{END - timedelta(days=day)} 21:15:00", name, score) for name, days, score in weeks for day in days]
     df = spark.createDataFrame(rows, "sent_date string, segment string, engagement_score double")
-    assert [(r["segment"], r["drop_pct"]) for r in records(anomaly.segment_drop(df, 0.1))] == [("Premium", 0.5714)]
+    assert [(r["segment"], r["drop_pct"]) for r in records(anomaly.segment_drop(df, 0.1))] == [("Basic", 0.75)]
 
 
 def test_zero_previous_mean_and_one_week_segments_are_not_compared(spark):
@@ -127,17 +124,12 @@ def test_zero_zscore_threshold_is_kept(spark):
 
 
 def test_times_of_one_day_merge(spark):
-    df = spark.createDataFrame(
-        [
-            ("2026-01-01 09:00:00", 1),
-            ("2026-01-01 14:30:00", 1),
-            ("2026-01-02 10:00:00", 0),
-            ("2026-01-03 08:00:00", 0),
-        ],
-        "sent_date string, complaint_flag int",
-    )
+    times = [("2024-03-05 00:10:00", 1), ("2024-03-05 23:50:00", 1), ("2024-03-05 12:00:00", 1)]
+    quiet = [(f"2024-03-0{day} 06:45:00", 0) for day in (6, 7, 8)]
+    df = spark.createDataFrame(times + quiet, "sent_date string, complaint_flag int")
     rows = records(anomaly.complaint_spike(df, 0.5))
-    assert [(r["date"], r["complaints"], r["zscore"]) for r in rows] == [(date(2026, 1, 1), 2, 1.1547)]
+    # counts 3, 0, 0, 0: mean 0.75, deviation 1.5
+    assert [(r["date"], r["complaints"], r["zscore"]) for r in rows] == [(date(2024, 3, 5), 3, 1.5)]
 
 
 def test_missing_complaint_flags_count_as_sent(spark):
@@ -184,24 +176,21 @@ CAMPAIGN_SCHEMA = "campaign_id string, opened int, complaint_flag int, engagemen
 
 
 def test_null_opened_is_left_out_of_both_sides(spark):
-    df = spark.createDataFrame(
-        [("GOOD", o, 0, 0.5) for o in (1, 1, 0, 0)] + [("NULL", o, 0, 0.5) for o in (1, 1, None, None)],
-        CAMPAIGN_SCHEMA,
-    )
+    flags = {"FULL": (0, 1, 0, 0, 0), "PART": (None, 1, 0, None, 1, 1)}
+    df = spark.createDataFrame([(name, o, 0, 0.4) for name, opened in flags.items() for o in opened], CAMPAIGN_SCHEMA)
     rates = {r["campaign_id"]: (r["open_rate"], r["total_sent"]) for r in anomaly.campaign_scorecard(df).collect()}
-    assert rates == {"GOOD": (0.5, 4), "NULL": (1.0, 2)}
+    assert rates == {"FULL": (0.2, 5), "PART": (0.75, 4)}
 
 
 def test_campaign_without_any_known_opened(spark):
-    df = spark.createDataFrame(
-        [("NULL", None, None, 0.5)] * 3 + [("OK", o, 0, 0.5) for o in (1, 0, 1)] + [(None, 0, 0, 0.0)],
-        CAMPAIGN_SCHEMA,
-    )
+    unknown = [("BLANK", None, None, 0.4)] * 2
+    known = [("SIXTH", int(i == 0), 0, 0.4) for i in range(6)]
+    df = spark.createDataFrame(unknown + known + [(None, 1, 0, 0.0)], CAMPAIGN_SCHEMA)
     rows = {r["campaign_id"]: r for r in anomaly.campaign_scorecard(df).collect()}
-    assert set(rows) == {"NULL", "OK"}
-    assert rows["NULL"]["open_rate"] == 0.0 and rows["NULL"]["complaint_count"] == 0
-    # the median is taken over the rounded rates, the empty campaign included
-    assert rows["OK"]["median_open_rate"] == 0.3334 and rows["OK"]["cutoff_open_rate"] == 0.1667
+    assert set(rows) == {"BLANK", "SIXTH"}
+    assert rows["BLANK"]["open_rate"] == 0.0 and rows["BLANK"]["complaint_count"] == 0
+    # the median of 0 and the rounded 0.1667, the empty campaign included
+    assert abs(rows["SIXTH"]["median_open_rate"] - 0.08335) < 1e-4
 
 
 def test_ties_are_ordered_by_campaign(spark):

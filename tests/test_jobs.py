@@ -99,14 +99,14 @@ def test_requests(spark, cases, forest):
     assert [r["reasons"] for r in score_requests(untyped, forest).quarantined.collect()] == [["opened: not an integer"]]
     answers = score_requests(feed, forest)
     scored = {r["customer_id"]: r for r in answers.answered.collect()}
-    assert set(scored) == {"CUST_RISKY", "CUST_SAFE"}
-    assert scored["CUST_RISKY"]["needs_intervention"] == 1 and scored["CUST_SAFE"]["needs_intervention"] == 0
+    assert set(scored) == {"CASE_SEVERAL", "CASE_CALM"}
+    assert scored["CASE_SEVERAL"]["needs_intervention"] == 1 and scored["CASE_CALM"]["needs_intervention"] == 0
     assert [r["reasons"] for r in answers.quarantined.collect()] == [["engagement_score: above 1"]]
 
     texts = {r["customer_id"]: r["summary"] for r in summarise_requests(feed, forest).answered.collect()}
-    assert "elevated intervention risk" in texts["CUST_RISKY"] and "has declined to 0.95" in texts["CUST_SAFE"]
+    assert "elevated intervention risk" in texts["CASE_SEVERAL"] and "has declined to 0.90" in texts["CASE_CALM"]
     unscored = {r["customer_id"]: r["summary"] for r in summarise_requests(feed).answered.collect()}
-    assert "(score: 0.00)" in unscored["CUST_RISKY"]
+    assert "(score: 0.00)" in unscored["CASE_SEVERAL"]
 
     status, totals = detect(cases, "complaint_spike")
     assert status.count() == 1 and totals.first()["total_flagged"] == 1

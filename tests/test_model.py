@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from commlens.operators import evaluation, features, scoring, splitting, training
 from commlens.settings import Settings
 from commlens.sources.files import from_records
-from frames import RISKY, SAFE, SAMPLE, case, frame, records
+from frames import COMPLAINT, RISKY, SAFE, case, frame, records
 
 
 # --- features ---
@@ -202,11 +202,11 @@ def test_risky_scores_high_and_safe_scores_low(spark, forest):
     safe = scoring.score_customer(spark, SAFE, forest)
     assert risky.intervention_score > 0.5 and risky.needs_intervention == 1
     assert safe.intervention_score < 0.5 and safe.needs_intervention == 0
-    assert scoring.score_customer(spark, SAMPLE, forest).customer_id == "CUST_TEST_001"
+    assert scoring.score_customer(spark, COMPLAINT, forest).customer_id == "CASE_COMPLAINT"
 
 
 def test_partial_records_get_defaults(spark, forest):
-    partial = {k: v for k, v in SAMPLE.items() if k not in ("premium_bucket", "sentiment_text", "campaign_id")}
+    partial = {k: v for k, v in COMPLAINT.items() if k not in ("premium_bucket", "sentiment_text", "campaign_id")}
     full = {**partial, "premium_bucket": "Mid", "sentiment_text": "neutral"}
     assert scoring.score_customer(spark, partial, forest) == scoring.score_customer(spark, full, forest)
     nameless = {k: v for k, v in partial.items() if k not in ("customer_id", "sent_date")}
@@ -236,7 +236,7 @@ def test_feature_name_resolution(spark, cases, forest, tmp_path):
 
 
 def test_records_frame(spark):
-    df = from_records(spark, [SAMPLE, {"customer_id": "X", "engagement_score": float("nan")}])
+    df = from_records(spark, [COMPLAINT, {"customer_id": "X", "engagement_score": float("nan")}])
     rows = {r["customer_id"]: r for r in df.collect()}
     assert rows["X"]["engagement_score"] is None and rows["X"]["opened"] is None
     assert "needs_intervention" not in df.columns
