@@ -1,24 +1,30 @@
 """Soft-membership mixing.
 
 A classifier fitted on the labelled documents predicts each document's posterior over domains. Rates r >= lowest are then fitted so
-that the expected tokens of each domain, sum over documents of tokens * posterior * rate, meet the targets: projected gradient on
-least squares. Each step is one distributed sum of a vector of as many numbers as there are domains. A rate is a function of its
-document's posterior and of those vectors only, so no state per document is kept between steps, and nothing of a document's size
-reaches the driver.
+that the expected tokens of each domain, sum over documents of tokens * posterior * rate, meet the targets with the least change
+from a start rate (least squares, weighted by tokens). The rates of that optimum are max(lowest, start + posterior . slope) with one
+slope for each domain, found by damped Newton steps on the convex dual. Each step is one distributed sum of some k * k numbers for k
+domains. A rate is a function of its document's posterior and of the slopes only, so no state per document is kept between steps,
+and nothing of a document's size reaches the driver.
+
+Steps end when no domain misses its target by more than TOLERANCE of all tokens, or when the largest miss stops falling (by less than
+a hundredth in PATIENCE steps): no rates meet the targets then. `Mix.missing` has what each domain misses, and it is logged.
 
 Domain of a labelled document: "junk" if labels.quality is 0, else its lang if that is one of the targets; other labelled documents
 do not teach. Features of a text: square roots of the shares of its 256 byte values. The classifier learns from at most max_labelled
 labelled documents, the ones with the smallest hashes of doc_id. Tokens are white-space words.
 
 A null or empty text has no tokens and the classifier's posterior for no bytes; it keeps the rate of that posterior. With one domain
-taught, or none, the posterior is constant (all on that domain, or uniform). An empty table gives an empty result. Repeated rows and
-ties get equal rates.
+taught, or none, the posterior is constant (all on that domain, or uniform). A domain that is not taught has no tokens to repeat: the
+others keep their proportions, and its whole target is missing. An empty table gives an empty result. Repeated rows and ties get equal
+rates.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -31,9 +37,11 @@ from .common import stored
 
 TARGETS = {"en": 0.5, "fr": 0.15, "de": 0.15, "es": 0.15, "junk": 0.05}
 MAX_LABELLED = 50_000
-STEPS, TOLERANCE = 40, 1e-4
+TOLERANCE, PATIENCE = 1e-4, 20
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
+log = logging.getLogger(__name__)
+
 
 def describe(text: str | None) -> tuple[np.ndarray, int]:
     """Byte features and number of white-space words."""
@@ -47,15 +55,17 @@ def describe(text: str | None) -> tuple[np.ndarray, int]:
 
 @dataclass(frozen=True)
 class Mix:
-    """Domains, classifier, bounds of the rates, start rate and the steps taken so far."""
+    """Domains, classifier, lowest and start rate, slopes, and by how much each domain's share of the tokens falls short of its target
+    (below 0: exceeds it)."""
 
     domains: tuple[str, ...]
     weights: np.ndarray
     bias: np.ndarray
+    taught: tuple[bool, ...] = ()
     lowest: float = 0.0
     start: float = 1.0
-    steps: tuple[tuple[float, ...], ...] = field(default=())
-    targets: tuple[float, ...] = field(default=())
+    slopes: tuple[float, ...] = ()
+    missing: tuple[float, ...] = ()
 
     def posteriors(self, x: np.ndarray) -> np.ndarray:
         z = x @ self.weights.T + self.bias
@@ -63,11 +73,7 @@ class Mix:
         return z / z.sum(axis=1, keepdims=True)
 
     def rates(self, p: np.ndarray) -> np.ndarray:
-        """Rates after all steps: each adds a combination of the posteriors and is projected on r >= lowest."""
-        r = np.full(len(p), max(self.start, self.lowest))
-        for step in self.steps:
-            r = np.maximum(self.lowest, r + p @ np.array(step))
-        return r
+        return np.maximum(self.lowest, self.start + (p @ np.array(self.slopes) if self.slopes else np.zeros(len(p))))
 
 
 def classifier(documents: DataFrame, labels: DataFrame, domains: tuple[str, ...], max_labelled: int) -> Mix:
@@ -101,7 +107,7 @@ def classifier(documents: DataFrame, labels: DataFrame, domains: tuple[str, ...]
         weights[:n], bias[:n] = fitted.coefficientMatrix.toArray(), np.maximum(fitted.interceptVector.toArray(), -50.0)
         absent = [k for k in range(len(domains)) if k not in taught]
         weights[absent], bias[absent] = 0.0, -50.0
-    return Mix(domains, weights, bias)
+    return Mix(domains, weights, bias, tuple(k in taught for k in range(len(domains))))
 
 
 def fit(
@@ -112,8 +118,9 @@ def fit(
     lowest: float = 0.0,
     max_labelled: int = MAX_LABELLED,
 ) -> Mix:
-    """Rates that give each domain its share of `total` expected tokens (by default as many as the input has; with a lowest rate
-    above 0, the least number of tokens that leaves no target below what the lowest rate gives already)."""
+    """Rates that give each domain its share of `total` expected tokens, by default as many as the input has. With a lowest rate above
+    0 and no total, the total is free: domains get their shares with the least added to the lowest rate. Where posteriors are clear,
+    that is the least number of tokens with these shares."""
     targets = targets or TARGETS
     share = np.array(list(targets.values()), float)
     share = share / share.sum()
@@ -126,41 +133,69 @@ def fit(
         return pd.DataFrame({"p": list(p), "n": [n for _, n in found]})
 
     rows = stored(documents.select(posterior("text").alias("_")).select("_.p", "_.n"), "mixing-posteriors")
-    k = len(share)
+    n_tokens = float(rows.agg(F.sum("n")).first()[0] or 0)
+    if not n_tokens:
+        return replace(mix, lowest=lowest, start=max(1.0, lowest))
+    k, free = len(share), total is None and lowest > 0
+    wanted = share * np.array(mix.taught) if any(mix.taught) else share
+    wanted = wanted / (wanted.sum() or 1.0)
+    size = 1.0 if total is None else total / n_tokens
+    start = lowest if free else size
+    # a free total: tokens weigh by how far their posterior is from the targets, and the weighted sum is to be 0
+    centre, aim = (wanted, np.zeros(k)) if free else (np.zeros(k), size * wanted)
 
-    def summed(mix: Mix, moments: bool) -> np.ndarray:
-        """Over all documents: expected tokens by domain at the rates so far; with moments, sums of n p p' before it."""
+    def summed(slopes: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """At these slopes: value of the dual, what is missing (its negative gradient), its second derivative, shares of all tokens."""
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros(k + k * k * moments)
+            out = np.zeros(1 + k + k * k)
             for batch in batches:
                 if len(batch):
                     p, n = np.stack(batch.p.to_numpy()), batch.n.to_numpy(float)
-                    own = (mix.rates(p) * n) @ p
-                    total += np.concatenate([((p * n[:, None]).T @ p).ravel(), own]) if moments else own
-            yield pd.DataFrame({"place": range(len(total)), "value": total})
+                    q = p - centre
+                    z = q @ slopes
+                    above = z >= lowest - start
+                    dual = np.where(above, start * z + z * z / 2, lowest * z - (lowest - start) ** 2 / 2)
+                    own = (np.maximum(lowest, start + z) * n) @ p
+                    out += np.concatenate([[n @ dual], own, ((q * (n * above)[:, None]).T @ q).ravel()])
+            yield pd.DataFrame({"place": range(len(out)), "value": out})
 
         sums = rows.mapInPandas(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
-        out = np.zeros(k + k * k * moments)
-        for r in sums.collect():  # k or k + k * k rows
-            out[r.place] = r.value
-        return out
-
-    first = summed(replace(mix, lowest=0.0, start=1.0), True)
-    gram, present = first[: k * k].reshape(k, k), first[k * k :]
-    if not present.sum():
-        return replace(mix, lowest=lowest, start=max(1.0, lowest))
-    if total is None:
-        total = float(present.sum()) if lowest <= 0 else float((lowest * present / share).max())
-    wanted = total * share
-    metric = np.linalg.pinv(gram + 1e-9 * np.trace(gram) / k * np.eye(k))
-    mix = replace(mix, lowest=lowest, start=total / float(present.sum()), targets=tuple(wanted))
-    for _ in range(STEPS):
-        missing = wanted - summed(mix, False)
-        if np.abs(missing).max() <= TOLERANCE * total:
+        out = np.zeros(1 + k + k * k)
+        for r in sums.collect():  # 1 + k + k * k rows
+            out[r.place] = r.value / n_tokens
+        own = out[1 : 1 + k]
+        return out[0] - aim @ slopes, aim - (own - centre * own.sum()), out[1 + k :].reshape(k, k), own
+
+    slopes, damping = np.zeros(k), 1e-6
+    value, missing, second, own = summed(slopes)
+    best = marked = np.inf
+    steps = since = 0
+    while True:
+        # the wanted total where it is given, else the total that came out
+        miss = float(np.abs(missing).max() / (own.sum() if free else size or 1.0))
+        if miss < best:
+            best, found, reached = miss, slopes, own
+        since = 0 if best <= 0.99 * marked else since + 1
+        if not since:
+            marked = best
+        if best <= TOLERANCE or since >= PATIENCE:
             break
-        mix = replace(mix, steps=(*mix.steps, tuple(metric @ missing)))
-    return mix
+        steps += 1
+        move = np.linalg.lstsq(second + damping * np.eye(k), missing, rcond=None)[0]
+        next_value, *rest = summed(slopes + move)
+        gain, expected = value - next_value, missing @ move - move @ second @ move / 2
+        if gain > 0:
+            slopes, value, (missing, second, own) = slopes + move, next_value, rest
+        damping = max(damping / 10, 1e-12) if gain > expected / 2 else damping * (10 if gain < expected / 10 else 1)
+    left = tuple(map(float, share - reached / (reached.sum() if free else size or 1.0)))
+    text = ", ".join(f"{d} {x:+.5f}" for d, x in zip(mix.domains, left, strict=True))
+    log.log(
+        logging.INFO if max(map(abs, left)) <= TOLERANCE else logging.WARNING,
+        "mixing: %d steps, %.4g tokens for each of the input, shares missing: %s", steps, reached.sum(), text,
+    )
+    # posterior - centre, times the slopes: the centre's part is the same for all documents
+    return replace(mix, lowest=lowest, start=float(start - centre @ found), slopes=tuple(map(float, found)), missing=left)
 
 
 def mixed(documents: DataFrame, mix: Mix) -> DataFrame:

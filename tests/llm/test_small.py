@@ -324,6 +324,38 @@ def test_mixing(spark):
     assert again.columns == frame.columns and again.select("doc_id").distinct().count() == frame.count()
 
 
+@pytest.mark.parametrize("letters", [3, 12])
+def test_mixing_meets_far_targets(spark, letters):
+    """One domain at 90 %, one at 0.1 %, posteriors clear or not (few letters), no document lost."""
+    alphabet = {"en": "abcdef", "fr": "efghij", "de": "ijklmn", "es": "mnopqa", "junk": "#%&a"}
+    rng, rows, labels = random.Random(7), [], []
+    for i in range(4000):
+        place = i % 1000
+        lang = "en" if place < 900 else "fr" if place < 950 else "de" if place < 990 else "es" if place < 999 else "junk"
+        text = " ".join("".join(rng.choices(alphabet[lang], k=letters)) for _ in range(rng.randrange(1, 6)))
+        rows.append((i, text, "en" if lang == "junk" else lang))
+        labels.append((i, int(lang != "junk")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mix = mixing.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int"), lowest=1.0)
+    found = mixing.mixed(frame, mix).select("_mix.*").collect()
+    p, n, rate = (np.array([r[c] for r in found]) for c in ("posteriors", "n_tokens", "rate"))
+    expected = (p * (n * rate)[:, None]).sum(axis=0)
+    left = np.array(list(mixing.TARGETS.values())) - expected / expected.sum()
+    assert np.abs(left).max() <= mixing.TOLERANCE * 1.01 and rate.min() >= 1
+    assert np.allclose(left, mix.missing, atol=1e-6)
+
+
+def test_mixing_reports_what_it_cannot_meet(spark):
+    """Without a document in Spanish the others keep their proportions, and the share of Spanish is reported."""
+    rows = [(i, "abc abd " * 5 if i % 3 else "xyz xxy " * 5, "en" if i % 3 else "fr") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")
+    for lowest in (0.0, 1.0):
+        mix = mixing.fit(frame, known, {"en": 0.4, "fr": 0.4, "es": 0.2}, lowest=lowest)
+        assert np.allclose(mix.missing, [-0.1, -0.1, 0.2], atol=1e-3)
+    assert np.allclose(mixing.fit(frame, known.limit(0), {"en": 0.7, "fr": 0.3}).missing, [0.2, -0.2])
+
+
 def test_empty_tables(spark):
     none, labels = documents(spark, []), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     assert exact.groups(none).count() == 0 and exact.deduplicated(none).count() == 0
