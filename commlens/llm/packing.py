@@ -6,6 +6,9 @@ windows of `size` tokens. A document that crosses a window's edge gives several
 
 Order: by task, then by row as read; the written table fixes it, so retries and later reads agree. Repeated rows and repeated or null
 doc_ids are packed as they come. A null or empty text is just the separator. An empty table gives no pieces.
+
+A text may hold the vocabulary's markers, such as "<|endoftext|>". With special_tokens, each becomes its own id, as in the tokenizer's
+default; without, markers are text like any other.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ VOCABULARY = "word_bpe_49k.json"
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Words of these characters are split here; any other word goes through the tokenizer whole.
 SIMPLE = regex.compile(r"[\x21-\x7eÀ-ÿ]+")
+#: All markers of the vocabulary begin so; texts that hold it go through the tokenizer whole if markers are to be found.
+MARKER = "<|"
 #: Characters that str.split() takes for white space and the tokenizer does not.
 NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 
@@ -40,11 +45,12 @@ NOT_SPACE = regex.compile(r"[\x1c-\x1f]")
 class Encoder:
     """Ids of a text. A word's ids do not depend on its neighbours, so each is encoded once and remembered."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = not special_tokens
+        self.marker = MARKER if special_tokens else None
         self.model = self.whole.model
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -75,6 +81,8 @@ class Encoder:
 
     def ids(self, text: str) -> bytes:
         """The ids as little-endian 16-bit numbers (the vocabulary has fewer than 65,536)."""
+        if self.marker and self.marker in text:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         if NOT_SPACE.search(text):
@@ -83,22 +91,23 @@ class Encoder:
         return b"".join([x if (x := get(w)) is not None else make(w) for w in text.split()])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special_tokens: bool) -> Encoder:
     """One for each Python worker: its word cache serves all its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = path, special_tokens
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def tokenized(documents: DataFrame, path: str) -> DataFrame:
+def tokenized(documents: DataFrame, path: str, special_tokens: bool = False) -> DataFrame:
     """part, start (in the part), doc_id, doc_tokens, ids (16 bits each)."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, part, total = encoder(path), TaskContext.get().partitionId(), 0
+        known, part, total = encoder(path, special_tokens), TaskContext.get().partitionId(), 0
         end = np.array([SEPARATOR], "<u2").tobytes()
         for batch in batches:
             ids = [known.ids(text or "") + end for text in batch.column(1).to_pylist()]
@@ -115,10 +124,10 @@ def tokenized(documents: DataFrame, path: str) -> DataFrame:
 
 
 def packed(
-    documents: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = True
+    documents: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = True, special_tokens: bool = False
 ) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array) if asked for."""
-    tokens = tokenized(documents, path or public_tokenizers.path(VOCABULARY))
+    tokens = tokenized(documents, path or public_tokenizers.path(VOCABULARY), special_tokens)
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each task of pass one, and never more

@@ -19,7 +19,7 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), with_ids=False)
+    return packing.packed(table(spark, sf_dir, "documents"), with_ids=False, special_tokens=True)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -201,6 +201,26 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(own.ids(text), "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_markers_get_their_own_ids(spark, tmp_path):
+    """The registered query and the pipeline's last stage against the tokenizer as its file has it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import __spark_entry__ as contract
+    import corpus_pipeline
+
+    whole = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["a<|endoftext|>b", "<|startoftext|> Hi <|endoftext|>", "x <|ENDOFTEXT|> é", "<| endoftext|> <|", "e\u0301 <|endoftext|>\x1c a", "plain"]
+    documents(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    expected = {i: whole.encode(t, add_special_tokens=False).ids + [1] for i, t in enumerate(texts)}
+    assert expected[0].count(49407) == 1 and 49406 in expected[1]
+    crc = {i: zlib.crc32(np.array(x, "<u4").tobytes()) for i, x in expected.items()}
+    rows = contract.queries()["op3_packing"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: (r.ids_crc32, r.doc_tokens) for r in rows} == {i: (crc[i], len(x)) for i, x in expected.items()}
+    last = corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).collect()
+    assert {r.doc_id: list(r.ids) for r in last} == expected
+
+
 def test_archive_round_trip(spark, tmp_path):
     rows = [(1, "http://a/\r\nX: 1", "<p>é</p>"), (4, None, "<p>é</p>"), (2, "u", None), (3, "u", ""), (None, "u", "<p>é</p>"), (6, "v", "z")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
