@@ -93,10 +93,50 @@ select doc_id, len(words)::bigint as n_words, coalesce(len(places), 0)::bigint a
 from w left join gone using (doc_id)
 """
 
+_TRIE = """
+with recursive t as materialized (
+  select conv_id as c, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as i
+  from conversations where conv_id is not null),
+v as materialized (
+  select c, c - c % 100 as base,
+    xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda a, x: list_reduce(list_concat([xor(a, x)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+        lambda y, z: case when y % 2 = 1 then xor(y // 2, 3988292384::bigint) else y // 2 end)), 4294967295::bigint) % 6 as h
+  from (select distinct c from t)),
+o as (
+  select v.c, 0 as own, t.i, t.role, t.text from v join t on t.c = v.base and t.i <= v.h
+  union all
+  select v.c, 1, t.i, t.role, t.text from v join t on t.c = v.c and t.i > v.h),
+n as materialized (
+  select c, row_number() over (partition by c order by own, i) as d, length(text) as chars,
+    sha256(length(role) || ':' || role || text) as m
+  from o),
+p(c, d, k, up, chars) as (
+  select c, 0::bigint, '', null::varchar, 0::bigint from v
+  union all
+  select n.c, n.d, sha256(p.k || n.m), p.k, n.chars from p join n on n.c = p.c and n.d = p.d + 1),
+q as materialized (
+  select k, any_value(d) as d, any_value(up) as up, any_value(chars) as chars, min(c) as conv_id, count(*) as n_convs from p group by k),
+ch as (select up as k, count(*) as n_children from q where up is not null group by up),
+s as materialized (
+  select q.*, coalesce(n_children, 0) as n_children, up_q.conv_id as parent_conv_id
+  from q left join ch using (k) left join (select k as up, conv_id from q) up_q using (up)),
+b as (
+  select p.k, count(*) filter (s.n_children = 0) as n_leaves, sum((s.n_convs - 1) * s.chars)::bigint as saved_tokens
+  from s join p on p.c = s.conv_id and p.d <= s.d group by p.k),
+l as (select c, max(d) as d from p group by c),
+e as (select p.k, sha256(string_agg(c::varchar, ',' order by c)) as h from l join p using (c, d) group by p.k)
+select s.conv_id, s.d::bigint as depth, s.parent_conv_id, s.n_convs, s.n_children, b.n_leaves, b.saved_tokens,
+  coalesce(e.h, sha256('')) as ends_sha256
+from s join b using (k) left join e using (k)
+"""
+
 ORACLES = {
     "op1_warc": _WARC,
     "op2_chat": _CHAT,
     "op5_minhash": _NEAR,
     "op6_exact": _EXACT,
     "op8_substring": _REPEATS,
+    "op13_trie": _TRIE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, fingerprint, minhash, mixing, packing, pii, substring, toxicity, warc
+from . import bestfit, chat, exact, fingerprint, minhash, mixing, packing, pii, substring, toxicity, trie, warc, whitening
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -75,10 +75,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bestfit.packed(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.node_table(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_warc, op2_chat, op3_packing, op4_mixing, op5_minhash,
         op6_exact, op7_pii, op8_substring, op9_fingerprint, op10_toxicity,
+        op11_bestfit, op12_whitening, op13_trie,
     )
 }
