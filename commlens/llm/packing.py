@@ -26,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import CACHE_ENTRIES, stored
+from .common import in_slices, stored
 
 SIZE = 2048
 SEPARATOR = 1
+#: Words and pieces of words whose ids a worker remembers (about 120 and 15 MB), and bytes of text held at once. They bound
+#: memory and never change a result.
+KNOWN_WORDS, KNOWN_PIECES, HELD = 800_000, 100_000, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 #: How the tokenizer splits a text before its merges.
@@ -59,10 +62,14 @@ class Encoder:
         others = iter(range(256, 512))
         self.letters = [chr(b if b in plain else next(others)) for b in range(256)]
 
+    def forget(self) -> None:
+        """Free what a task remembered: an idle worker holds the vocabulary only."""
+        self.known, self.pieces = {}, {}
+
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= CACHE_ENTRIES:
+            if len(self.pieces) >= KNOWN_PIECES:
                 self.pieces.clear()
             letters = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
             ids = [t.id for t in self.model.tokenize(letters)]
@@ -70,7 +77,7 @@ class Encoder:
         return found
 
     def _word(self, word: str) -> bytes:
-        if len(self.known) >= 2 * CACHE_ENTRIES:
+        if len(self.known) >= KNOWN_WORDS:
             self.known.clear()
         if SIMPLE.fullmatch(word):
             word_ids = b"".join(map(self._piece, PIECES.findall(word.lower())))
@@ -95,7 +102,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
 def encoder(path: str, special_tokens: bool) -> Encoder:
-    """One for each Python worker: its word cache serves all its tasks."""
+    """One for each Python worker: the vocabulary is read once."""
     key = path, special_tokens
     if key not in _ENCODERS:
         _ENCODERS[key] = Encoder(*key)
@@ -109,8 +116,15 @@ def tokenized(documents: DataFrame, path: str, special_tokens: bool = False) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, total = encoder(path, special_tokens), TaskContext.get().partitionId(), 0
         end = np.array([SEPARATOR], "<u2").tobytes()
-        for batch in batches:
-            ids = [known.ids(text or "") + end for text in batch.column(1).to_pylist()]
+        last, last_ids = "", end
+        for batch in (some for whole in batches for some in in_slices(whole, 1, HELD)):
+            ids = []
+            for text in batch.column(1).to_pylist():
+                # a document that mixing repeats comes several times in a row
+                if (text or "") != last:
+                    last = text or ""
+                    last_ids = known.ids(last) + end
+                ids.append(last_ids)
             sizes = np.array([len(x) // 2 for x in ids], np.int64)
             starts = total + np.cumsum(sizes) - sizes
             total += int(sizes.sum())
@@ -118,6 +132,7 @@ def tokenized(documents: DataFrame, path: str, special_tokens: bool = False) ->
                 [pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), batch.column(0), pa.array(sizes), pa.array(ids, pa.binary())],
                 names=["part", "start", "doc_id", "doc_tokens", "ids"],
             )
+        known.forget()
 
     schema = f"part int, start long, doc_id {id_type}, doc_tokens long, ids binary"
     return stored(documents.select("doc_id", "text").mapInArrow(encode, schema), "tokens")
