@@ -22,18 +22,18 @@ empty result. Other columns of the input are not read, so their names cannot cla
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import in_slices, stored
 
 SIZE = 2048
 SEPARATOR = 0
@@ -41,11 +41,13 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Items a block should hold, groups merged into one, and the residual below which a bin is nearly full.
 BLOCK, FAN, NEAR = 1 << 17, 8, 16
-#: Characters on which both encoders agree; any other text goes through the tokenizer file itself.
-ORDINARY = regex.compile(r"[\t\n\r\x20-\x7e¡-ſ‐-‧€]*+")
+#: Both encoders agree on other characters than these; a text with one goes through the tokenizer file itself.
+UNUSUAL = re.compile(r"[^\t\n\r\x20-\x7e¡-ſ‐-‧€]")
 #: Long runs are slow to merge by ranks.
-LONG_RUN = regex.compile(r"\S{800}|\s{800}")
+LONG, SPACES = 800, re.compile(r"\s{800}")
 MARKER = "<|"
+#: Bytes of text a task holds as Python strings.
+HELD = 1 << 20
 
 
 class Encoder:
@@ -64,20 +66,31 @@ class Encoder:
             self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.quick and ORDINARY.fullmatch(text) and MARKER not in text and not LONG_RUN.search(text):
+        plain = self.quick and not UNUSUAL.search(text) and MARKER not in text
+        if plain and max(map(len, text.split()), default=0) < LONG and not SPACES.search(text):
             return np.array(self.quick.encode_ordinary(text), "<u2")
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u2")
 
 
+_ENCODERS: dict[tuple[str, str | None], Encoder] = {}
+
+
+def encoder_of(path: str, ranks: str | None) -> Encoder:
+    """One for each Python worker: reading a vocabulary takes as long as encoding a few MB."""
+    key = path, ranks
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
+
+
 def pieces(documents: DataFrame, size: int, path: str, ranks: str | None, with_ids: bool) -> DataFrame:
     """part, row (a piece's number in its task), doc_id, piece, start, length, ids_crc32, and ids if asked for."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, rows = Encoder(path, ranks), TaskContext.get().partitionId(), 0
+        encoder, part, rows = encoder_of(path, ranks), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                some = batch.slice(first, 256)
+            for some in in_slices(batch, 1, HELD):
                 owner, piece, start, length, crc, raw = [], [], [], [], [], []
                 for i, text in enumerate(some.column(1).to_pylist()):
                     ids = np.append(encoder.ids(text or ""), np.uint16(SEPARATOR))
