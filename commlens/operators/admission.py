@@ -99,5 +99,7 @@ def admit(df: DataFrame) -> DataFrame:
 def split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(admitted rows, quarantined rows with reasons)"""
     checked = admit(df)
+    # a generator is not merged with what follows, so each field is parsed once and not again by every filter and feature
+    checked = checked.select(F.inline(F.array(F.struct(*checked.columns))))
     good = F.size("reasons") == 0
     return checked.where(good).drop("reasons"), checked.where(~good)

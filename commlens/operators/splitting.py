@@ -2,24 +2,43 @@
 
 Rows of a class are ordered by the MD5 of their id; the first ``ceil(fraction * n)`` are the test set, and the rest
 falls into equal consecutive folds. A window per class would sort half the table in one task. Here the cut points
-are found instead: a histogram over the first four hex digits (65,536 buckets) tells in which bucket each cut falls,
-and only the hashes of those buckets, about n / 65,536 each, are ranked. The cut points are then compared with each
-row's hash in a plain projection. Both passes count before they shuffle, so an id that is repeated (cleaning removes
-repeats) costs one partial count per task; all its rows land on the same side.
+are found by radix selection: a histogram over the first four hex digits (65,536 buckets a class) tells in which bucket each cut
+falls. While such a bucket holds more than ``RANKED_ROWS`` rows, it is refined by the next four digits, with one more count over its
+rows; only what is left is ranked, one small group per cut. At 10**12 rows that takes two histograms; ids that crowd
+into one bucket take more, and the bound stays. The cut points are then compared with each row's hash in a plain projection.
+
+Every pass counts before it shuffles, so an id that is repeated (cleaning removes repeats) costs one partial count
+per task; all its rows land on the same side. The driver holds the cuts only: at most ``folds`` of each of three classes.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from commlens.schema import ID, TARGET
 from commlens.settings import DEFAULTS, Settings
 
-BUCKET_DIGITS = 4
+DIGITS, ALL_DIGITS = 4, 32
+RANKED_ROWS = 1 << 16
 # the class of rows whose label is neither 0 nor 1
 UNLABELLED = -1
 
 
+@dataclass(frozen=True)
+class Cut:
+    """The cut after ``place`` rows of the bucket ``prefix`` (``n`` rows) of a class."""
+
+    label: int
+    rows: int
+    test_rows: int
+    number: int
+    prefix: str
+    place: int
+    n: int
+
+
 def hash_key() -> Column:
     return F.md5(F.coalesce(F.col(ID), F.lit("")))
 
@@ -28,59 +47,68 @@ def _label() -> Column:
     return F.when(F.col(TARGET).isin(0, 1), F.col(TARGET).cast("int")).otherwise(UNLABELLED)
 
 
-def _bucket() -> Column:
-    return F.substring("key", 1, BUCKET_DIGITS)
-
-
-def cut_points(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """label, rows, test_rows, cuts (hashes of the last test row and of each fold's last row).
-
-    Three rows at most: one per class, one for rows without a valid label if there are any.
-    """
-    keyed = df.select(_label().alias("label"), hash_key().alias("key"))
+def _first_cuts(keyed: DataFrame, settings: Settings) -> list[Cut]:
     in_class = Window.partitionBy("label")
-    # at most 65,536 rows per class
     histogram = (
-        keyed.groupBy("label", _bucket().alias("bucket"))
+        keyed.groupBy("label", F.substring("key", 1, DIGITS).alias("prefix"))
         .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(in_class.orderBy("bucket")))
+        .withColumn("before", F.sum("n").over(in_class.orderBy("prefix")) - F.col("n"))
         .withColumn("rows", F.sum("n").over(in_class))
         .withColumn("test_rows", F.ceil(F.lit(settings.test_fraction) * F.col("rows")))
     )
     rest = F.col("rows") - F.col("test_rows")
-    ranks = F.array(
-        F.col("test_rows"),
-        *[
-            F.col("test_rows") + F.ceil(rest * fold / F.lit(float(settings.folds)))
-            for fold in range(1, settings.folds)
-        ],
+    ranks = [F.col("test_rows")]
+    ranks += [F.col("test_rows") + F.ceil(rest * fold / F.lit(float(settings.folds))) for fold in range(1, settings.folds)]
+    found = (
+        histogram.select("*", F.posexplode(F.array(*ranks)).alias("number", "rank"))
+        .where((F.col("before") < F.col("rank")) & (F.col("rank") <= F.col("before") + F.col("n")))
+        .withColumn("place", F.col("rank") - F.col("before"))
     )
-    before = F.col("upto") - F.col("n")
-    edges = (
-        histogram.withColumn("rank", F.explode(ranks))
-        .where((before < F.col("rank")) & (F.col("rank") <= F.col("upto")))
-        .select("label", "bucket", "rows", "test_rows", (F.col("rank") - before).alias("place"))
-        .groupBy("label", "bucket", "rows", "test_rows")
-        .agg(F.collect_list("place").alias("places"))
+    names = Cut.__dataclass_fields__
+    return [Cut(*[r[c] for c in names]) for r in found.select(*names).collect()]
+
+
+def _refined(keyed: DataFrame, cuts: list[Cut], digits: int) -> list[Cut]:
+    """The cuts in the buckets of ``digits`` more digits; with all digits a bucket is one hash."""
+    length = len(cuts[0].prefix)
+    buckets = keyed.sparkSession.createDataFrame(
+        sorted({(c.label, c.prefix) for c in cuts}), "label int, prefix string"
     )
-    # edges: at most folds rows per class, a fixed bound
-    hashes = (
-        keyed.withColumn("bucket", _bucket())
-        .join(F.broadcast(edges), ["label", "bucket"])
-        .groupBy("label", "bucket", "rows", "test_rows", "places", "key")
+    # at most folds rows of each of three classes
+    histogram = (
+        keyed.withColumn("prefix", F.substring("key", 1, length))
+        .join(F.broadcast(buckets), ["label", "prefix"])
+        .groupBy("label", "prefix", F.substring("key", 1, length + digits).alias("longer"))
         .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.partitionBy("label", "bucket").orderBy("key")))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("label", "prefix").orderBy("longer")))
     )
-    # several cuts may fall on one hash; each counts
-    hits = F.size(
-        F.filter("places", lambda place: (F.col("upto") - F.col("n") < place) & (place <= F.col("upto")))
-    )
-    return (
-        hashes.withColumn("hits", hits)
-        .where(F.col("hits") > 0)
-        .groupBy("label", "rows", "test_rows")
-        .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("key", F.col("hits"))))).alias("cuts"))
+    wanted = keyed.sparkSession.createDataFrame(
+        [(c.label, c.prefix, c.number, c.place) for c in cuts], "label int, prefix string, number int, place long"
     )
+    inside = (F.col("upto") - F.col("n") < F.col("place")) & (F.col("place") <= F.col("upto"))
+    found = histogram.join(F.broadcast(wanted), ["label", "prefix"]).where(inside)
+    by_number = {(c.label, c.number): c for c in cuts}
+    return [
+        replace(by_number[r["label"], r["number"]], prefix=r["longer"], place=r["place"] - r["upto"] + r["n"], n=r["n"])
+        for r in found.collect()
+    ]
+
+
+def cut_points(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """label, rows, test_rows, cuts (hashes of the last test row and of each fold's last row).
+
+    Three rows at most: one per class, one for rows without a valid label if there are any.
+    """
+    keyed = df.select(_label().alias("label"), hash_key().alias("key"))
+    cuts = _first_cuts(keyed, settings)
+    length = DIGITS
+    while length < ALL_DIGITS and any(c.n > RANKED_ROWS for c in cuts):
+        cuts, length = _refined(keyed, cuts, DIGITS), length + DIGITS
+    if cuts and length < ALL_DIGITS:
+        cuts = _refined(keyed, cuts, ALL_DIGITS - length)
+    classes = {c.label: (c.label, c.rows, c.test_rows) for c in cuts}
+    rows = [(*own, sorted(c.prefix for c in cuts if c.label == label)) for label, own in sorted(classes.items())]
+    return df.sparkSession.createDataFrame(rows, "label int, rows long, test_rows long, cuts array<string>")
 
 
 def assign_slots(df: DataFrame, cuts: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:

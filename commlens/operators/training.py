@@ -14,7 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from commlens.functions.business import threshold_flag
-from commlens.operators.evaluation import classification_report, roc_auc
+from commlens.operators.evaluation import metrics as metrics_frame
+from commlens.operators.evaluation import ranking
 from commlens.operators.features import Levels, build_features, feature_names, feature_vector, fit_levels
 from commlens.operators.scoring import VECTOR, Forest
 from commlens.operators.splitting import assign_slots, cut_points
@@ -48,14 +49,15 @@ class Training:
     metrics: dict[str, Any]
 
 
-def prepare(df: DataFrame, settings: Settings = DEFAULTS) -> TrainingSet:
+def prepare(df: DataFrame, settings: Settings = DEFAULTS, levels: Levels | None = None) -> TrainingSet:
     """Features, split and balanced weights, laid out by id and checkpointed.
 
     The fits and evaluations read these narrow rows about twenty times; the checkpoint keeps each read from
     repeating the feature job. The layout (a partition count that follows the row count, rows sorted by id) makes
-    the bootstrap, and so the forest, independent of how the input was laid out.
+    the bootstrap, and so the forest, independent of how the input was laid out. ``levels`` are the table's own category
+    levels where it has others than the declared ones.
     """
-    levels = fit_levels(df)
+    levels = fit_levels(df) if levels is None else levels
     classes = cut_points(df, settings)
     # at most three rows, used as constants below
     found = classes.collect()
@@ -93,7 +95,8 @@ def fit(rows: DataFrame, settings: Settings = DEFAULTS) -> RandomForestClassific
         numTrees=settings.trees,
         maxDepth=settings.depth,
         maxBins=settings.max_bins,
-        featureSubsetStrategy="sqrt",
+        featureSubsetStrategy=settings.feature_subset,
+        bootstrap=settings.bootstrap,
         seed=settings.seed,
     ).fit(rows)
 
@@ -107,10 +110,17 @@ def cross_validate(
     training_set: TrainingSet, settings: Settings = DEFAULTS, parallelism: int = 1
 ) -> list[float]:
     """AUC of each fold, fitted on the other folds of the training part."""
+    areas = [r.first()["roc_auc"] for r in fold_metrics(training_set, settings, parallelism)]
+    return [float("nan") if area is None else area for area in areas]
 
-    def one(fold: int) -> float:
+
+def fold_metrics(training_set: TrainingSet, settings: Settings = DEFAULTS, parallelism: int = 1) -> list[DataFrame]:
+    """One lazy row per fold: fold, rows, positives, roc_auc. The fits run at once, the scoring and ranking when a row is read."""
+
+    def one(fold: int) -> DataFrame:
         model = fit(training_set.train.where(F.col("slot") != fold), settings)
-        return roc_auc(_scored(model, training_set.train.where(F.col("slot") == fold)), "score", "label")
+        found = ranking(_scored(model, training_set.train.where(F.col("slot") == fold)), "score", "label")
+        return found.select(F.lit(fold).alias("fold"), "*")
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         return list(pool.map(one, range(1, settings.folds + 1)))
@@ -120,20 +130,22 @@ def evaluate(
     model: RandomForestClassificationModel, rows: DataFrame, settings: Settings = DEFAULTS
 ) -> dict[str, float]:
     """roc_auc, accuracy, and precision, recall, f1 of the positive class at the threshold."""
+    found = evaluation_frame(model, rows, settings).drop("rows", "positives").first().asDict()
+    area = found.pop("roc_auc")
+    return {"roc_auc": float("nan") if area is None else area, **found, "threshold": settings.probability_threshold}
+
+
+def evaluation_frame(
+    model: RandomForestClassificationModel, rows: DataFrame, settings: Settings = DEFAULTS
+) -> DataFrame:
+    """The same as one lazy row, with the number of rows and of positives."""
     scored = _scored(model, rows).withColumn("predicted", threshold_flag(F.col("score"), settings))
-    positive = classification_report(scored, "predicted", "label").where(F.col("label") == 1).first()
-    return {
-        "roc_auc": round(roc_auc(scored, "score", "label"), 4),
-        "accuracy": positive["accuracy"],
-        "precision": positive["precision"],
-        "recall": positive["recall"],
-        "f1": positive["f1"],
-        "threshold": settings.probability_threshold,
-    }
-
-
-def fit_forest(training_set: TrainingSet, settings: Settings = DEFAULTS) -> Forest:
-    model = fit(training_set.train, settings)
+    return metrics_frame(scored, "score", "predicted", "label")
+
+
+def fit_forest(training_set: TrainingSet, settings: Settings = DEFAULTS, all_rows: bool = False) -> Forest:
+    """The forest of the training part, or of all rows: for use after the settings are evaluated."""
+    model = fit(training_set.rows if all_rows else training_set.train, settings)
     assembler = VectorAssembler(
         inputCols=feature_names(training_set.levels), outputCol=VECTOR, handleInvalid="keep"
     )

@@ -236,7 +236,7 @@ def _dq_report() -> str:
     return raw(" UNION ALL ".join(parts))
 
 
-def _admission() -> str:
+def _rules() -> str:
     rules = []
     bounds = {
         "opened": (0, 1), "clicked": (0, 1), "response_flag": (0, 1), "complaint_flag": (0, 1),
@@ -247,19 +247,36 @@ def _admission() -> str:
         above = "" if high is None else f" WHEN {c} > {high} THEN '{c}: above {high}'"
         rules.append(f"CASE WHEN {c} < {low} THEN '{c}: below {low}'{above} END")
     rules.append("CASE WHEN NOT regexp_full_match(sent_date, '[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'sent_date: not a date' END")
-    return (
-        "WITH "
-        + RAW_BAD_DATES
-        + f""",
+    return f"concat_ws('; ', {', '.join(rules)})"
+
+
+FILLED = """
 filled AS (
   SELECT * REPLACE (coalesce(customer_id, 'UNKNOWN') AS customer_id, coalesce(opened, 0) AS opened,
                     coalesce(engagement_score, 0.5e0) AS engagement_score)
   FROM raw
-)
+)"""
+
+
+def _admission() -> str:
+    return f"""WITH {RAW_BAD_DATES},{FILLED}
 SELECT customer_id, CASE WHEN length(sent_date) = 10 THEN TRY_CAST(sent_date AS DATE) END AS sent_date, opened, engagement_score,
-       concat_ws('; ', {', '.join(rules)}) = '' AS admitted, concat_ws('; ', {', '.join(rules)}) AS reasons
+       {_rules()} = '' AS admitted, {_rules()} AS reasons
 FROM filled"""
-    )
+
+
+def _requests() -> str:
+    """The rule over the admitted fields."""
+    return f"""WITH {RAW_BAD_DATES},{FILLED}
+SELECT customer_id, CAST(y AS DOUBLE) AS intervention_score, y AS needs_intervention,
+       CASE WHEN y = 1 THEN 'High' ELSE 'Low' END AS risk_band
+FROM (
+  SELECT customer_id,
+    CASE WHEN (engagement_score < 0.25e0 AND opened = 0 AND days_since_last_contact < 45)
+           OR complaint_flag = 1 OR escalation_flag = 1
+           OR (days_since_last_contact > 120 AND response_flag = 0 AND opt_out_flag = 0 AND engagement_score < 0.5e0)
+         THEN 1 ELSE 0 END AS y
+  FROM filled WHERE {_rules()} = '')"""
 
 
 STRIPPED = """
@@ -312,6 +329,12 @@ PASSED = (
     " days_since_last_contact, opt_out_flag"
 )
 
+FEATURES = [
+    *(c.strip() for c in PASSED.split(",")),
+    "contact_but_no_response", "high_risk_combo", "engagement_x_tenure", "low_engagement_long_silence",
+    *(f"{c}_{level}" for c, levels in ENCODED.items() for level in levels),
+]
+
 SPLIT = """
 ranked AS (
   SELECT customer_id, needs_intervention,
@@ -331,6 +354,21 @@ slotted AS (
   FROM sized
 )"""
 
+# the rule as a score: what a tree with pure leaves gives
+RULED = """
+banded AS (
+  SELECT *, CAST(needs_intervention AS DOUBLE) AS p, CAST(needs_intervention AS DOUBLE) AS intervention_score,
+    needs_intervention AS predicted_intervention,
+    CASE WHEN needs_intervention = 1 THEN 'High' ELSE 'Low' END AS risk_band
+  FROM comm
+)"""
+TESTED = """
+tested AS (
+  SELECT count(*) AS rows, count(*) FILTER (WHERE needs_intervention = 1) AS positives,
+    count(*) FILTER (WHERE needs_intervention = 0) AS negatives
+  FROM slotted WHERE slot = 0
+)"""
+
 MATRIX = """
 matrix AS (
   SELECT count(*) FILTER (WHERE needs_intervention = 0 AND predicted_intervention = 0) AS tn,
@@ -672,4 +710,33 @@ ORACLES: dict[str, str] = {
     "case_context": raw(_CONTEXT),
     "case_prompts": cases(_PROMPT, STAND_IN, *DETECTORS),
     "case_summaries": cases(_SUMMARY, STAND_IN, *DETECTORS),
+    "train_metrics": cases(
+        "SELECT rows, positives, CASE WHEN positives > 0 AND negatives > 0 THEN 1e0 END AS roc_auc, 1e0 AS accuracy,"
+        " 1e0 AS precision, 1e0 AS recall, 1e0 AS f1, 0.45e0 AS threshold FROM tested",
+        SPLIT,
+        TESTED,
+    ),
+    "cross_validation": cases(
+        "SELECT slot AS fold, count(*) AS rows, count(*) FILTER (WHERE needs_intervention = 1) AS positives,"
+        " true AS ranks_well FROM slotted WHERE slot > 0 GROUP BY slot",
+        SPLIT,
+    ),
+    "feature_importance": "SELECT name AS feature, CAST(position AS BIGINT) AS position, true AS is_share FROM ("
+    f"SELECT unnest({FEATURES}) AS name, unnest(range(1, {len(FEATURES) + 1})) AS position)",
+    "forest_checks": cases(
+        f"SELECT 100 AS trees, {len(FEATURES)} AS features, rows, positives, true AS ranks_well, true AS decides_well"
+        " FROM tested",
+        SPLIT,
+        TESTED,
+    ),
+    "score_batch": cases(
+        f"SELECT {', '.join(COLUMNS)}, intervention_score, predicted_intervention, risk_band FROM banded", RULED
+    ),
+    "scored_cases": cases(
+        f"SELECT {CASE_COLUMNS}, intervention_score, risk_band FROM banded WHERE segment IN ('Premium', 'Basic')"
+        " AND channel IN ('Email', 'Phone') ORDER BY customer_id LIMIT 200",
+        RULED,
+    ),
+    "score_requests": _requests(),
+    "scored_summaries": cases(_SUMMARY, RULED, *DETECTORS),
 }

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from commlens.functions.business import (
     engagement_score,
@@ -29,6 +30,7 @@ from commlens.operators import (
 )
 from commlens.plans import requests
 from commlens.schema import ID, TARGET
+from commlens.settings import DEFAULTS, RULE_TREE, Settings
 from commlens.sources import tables
 from commlens.sources.feeds import communications, raw_feed
 
@@ -209,43 +211,73 @@ over_cases("case_summaries", lambda c: narrative.case_summaries(with_stand_in_sc
 
 # --- the forest ------------------------------------------------------------------------------------------------
 
-_training_sets: dict[tuple[str, str], training.TrainingSet] = {}
-_forests: dict[tuple[str, str], scoring.Forest] = {}
+# The target of this feed follows a rule. A tree that separates the classes learns it, so SQL can say what every score has to be.
+# The forest of the default settings has no such answer: ``forest_checks`` states what must hold for any.
+
+_models: dict[tuple, dict] = {}
+
+
+def _model(spark: SparkSession, folder: str) -> dict:
+    """The training set and what was fitted on it, kept for the latest state of the tables, as a service loads its model once."""
+    tables = [spark.read.parquet(f"{folder}/{name}.parquet") for name in ("events", "customer")]
+    files = [F.max("_metadata.file_modification_time").cast("string"), F.max("_metadata.file_size")]
+    key = (spark.sparkContext.applicationId, folder, *[tuple(t.agg(*files).first()) for t in tables])
+    if key not in _models:
+        _models.clear()
+        _models[key] = {"set": training.prepare(communications(spark, folder), RULE_TREE)}
+    return _models[key]
 
 
 def _training_set(spark: SparkSession, folder: str) -> training.TrainingSet:
-    """Prepared once per session and folder, as a service loads its model once."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _training_sets:
-        _training_sets[key] = training.prepare(communications(spark, folder))
-    return _training_sets[key]
+    return _model(spark, folder)["set"]
 
 
-def _forest(spark: SparkSession, folder: str) -> scoring.Forest:
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _forests:
-        _forests[key] = training.fit_forest(_training_set(spark, folder))
-    return _forests[key]
+def _forest(spark: SparkSession, folder: str, settings: Settings = RULE_TREE, all_rows: bool = True) -> scoring.Forest:
+    known, kind = _model(spark, folder), (settings, all_rows)
+    if kind not in known:
+        known[kind] = training.fit_forest(known["set"], settings, all_rows)
+    return known[kind]
 
 
 @register
 def train_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    """Metrics of the forest on the test part."""
-    metrics = training.evaluate(_forest(spark, folder).trees, _training_set(spark, folder).test)
-    return spark.range(1).select(*[F.lit(float(v)).alias(k) for k, v in metrics.items()])
+    """Metrics on the test part of the tree fitted on the training part."""
+    trees = _forest(spark, folder, all_rows=False).trees
+    threshold = F.lit(RULE_TREE.probability_threshold).alias("threshold")
+    return training.evaluation_frame(trees, _training_set(spark, folder).test, RULE_TREE).select("*", threshold)
 
 
 @register
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
-    """AUC of each of the five folds."""
-    scores = training.cross_validate(_training_set(spark, folder), parallelism=5)
-    return spark.createDataFrame(list(enumerate(scores, start=1)), "fold int, roc_auc double")
+    """The five folds, each scored by the default forest fitted on the other four: counts, and whether it ranks well."""
+    folds = training.fold_metrics(_training_set(spark, folder), parallelism=5)
+    return reduce(DataFrame.unionByName, folds).select("fold", "rows", "positives", (F.col("roc_auc") > 0.95).alias("ranks_well"))
 
 
 @register
 def feature_importance(spark: SparkSession, folder: str) -> DataFrame:
-    forest = _forest(spark, folder)
-    return training.top_features(forest, communications(spark, folder))
+    """Every feature with its place in the model, and whether the importances are shares of one."""
+    forest = _forest(spark, folder, DEFAULTS, all_rows=False)
+    shares = forest.importances(spark)
+    total = F.sum("importance").over(Window.partitionBy())
+    place = F.array_position(F.array(*[F.lit(n) for n in forest.feature_names]), F.col("feature"))
+    valid = F.col("importance").between(0.0, 1.0) & (F.abs(total - 1.0) < 1e-9)
+    return shares.select("feature", place.alias("position"), valid.alias("is_share"))
+
+
+@register
+def forest_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """The default forest on the test part: counts, and what any good forest must reach."""
+    forest = _forest(spark, folder, DEFAULTS, all_rows=False)
+    found = training.evaluation_frame(forest.trees, _training_set(spark, folder).test)
+    return found.select(
+        F.lit(forest.trees.getNumTrees).alias("trees"),
+        F.lit(len(forest.feature_names)).alias("features"),
+        "rows",
+        "positives",
+        (F.col("roc_auc") > 0.95).alias("ranks_well"),
+        (F.col("accuracy") > 0.9).alias("decides_well"),
+    )
 
 
 @register
@@ -262,8 +294,17 @@ def scored_cases(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def score_requests(spark: SparkSession, folder: str) -> DataFrame:
-    """Scores of the admitted rows of the untidy feed."""
-    return requests.score_requests(raw_feed(spark, folder, bad_dates=True), _forest(spark, folder)).answered
+    """Scores of the admitted rows of the untidy feed, by a tree that learned the rule on such rows.
+
+    Fields of this feed contradict each other, and a tree fitted on consistent rows may ask any of them.
+    """
+    feed, known = raw_feed(spark, folder, bad_dates=True), _model(spark, folder)
+    if "requests" not in known:
+        admitted = admission.split(feed)[0].withColumn(TARGET, needs_intervention())
+        known["requests"] = training.fit_forest(
+            training.prepare(admitted, RULE_TREE, features.DECLARED_LEVELS), RULE_TREE, all_rows=True
+        )
+    return requests.score_requests(feed, known["requests"]).answered
 
 
 @register

@@ -43,6 +43,8 @@ class Settings:
     # because the forest's bootstrap depends on the layout
     rows_per_fit_partition: int = 1_000_000
     min_fit_partitions: int = 8
+    bootstrap: bool = True
+    feature_subset: str = "sqrt"
 
     def override(self, **changes: Any) -> "Settings":
         """Copy with the given values; an explicit 0 or 0.0 is kept, None means unchanged."""
@@ -64,3 +66,6 @@ class Settings:
 
 
 DEFAULTS = Settings()
+#: One tree on all rows and all features, deep enough to separate the classes: where the target follows a rule, every leaf
+#: is pure and the probability is the rule, 0.0 or 1.0, whatever the seed and the layout.
+RULE_TREE = DEFAULTS.override(trees=1, depth=12, bootstrap=False, feature_subset="all")

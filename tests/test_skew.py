@@ -102,13 +102,13 @@ def test_a_frequent_score_and_a_frequent_bad_value(spark, hot):
     ]
 
 
-def test_a_hot_user_joins_without_a_hint(spark, small):
+def test_a_hot_user_joins_without_a_hint(spark, tiny):
     """Beyond the broadcast threshold the feed falls back to a shuffled join, whose skew AQE handles."""
-    usual = communications(spark, small).agg(F.sum("engagement_score"), F.count("*")).first()
+    usual = communications(spark, tiny).agg(F.sum("engagement_score"), F.count("*")).first()
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        shuffled = communications(spark, small)
+        shuffled = communications(spark, tiny)
         assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
         found = shuffled.agg(F.sum("engagement_score"), F.count("*")).first()
     finally:
