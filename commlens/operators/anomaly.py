@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from commlens.functions.business import true_only
 from commlens.functions.rounding import fixed_text, percent_text, round_even
+from commlens.operators.ordering import with_position
 from commlens.session import durable
 from commlens.settings import DEFAULTS, Settings
 from commlens.sources.files import nan_to_null
@@ -240,17 +241,6 @@ def campaign_underperformance(
 # The summary sentences below.
 
 
-def _items(order: list[Column], fields: list[str]) -> Column:
-    """Flagged rows of an aggregate as an ordered array of text maps. One entry per flagged segment, day or
-    campaign; the rows behind it are long aggregated."""
-    entry = F.struct(
-        *[o.alias(f"o{i}") for i, o in enumerate(order)],
-        *[F.col(f).cast("string").alias(f) for f in fields],
-    )
-    flagged = F.array_sort(F.collect_list(F.when(F.col("flagged"), entry)))
-    return F.transform(flagged, lambda e: F.create_map(*[x for f in fields for x in (F.lit(f), e[f])]))
-
-
 def _metadata(**values: Column) -> Column:
     return F.create_map(*[x for name, v in values.items() for x in (F.lit(name), v.cast("string"))])
 
@@ -264,7 +254,7 @@ def _status(
         flagged.alias("flagged"),
         summary.alias("summary"),
         metadata.alias("metadata"),
-        F.col("anomalies"),
+        F.col("n").alias("n_flagged"),
     )
 
 
@@ -277,12 +267,8 @@ def _segment_status(measures: DataFrame, settings: Settings) -> DataFrame:
     )
     totals = _segment_weeks(measures, threshold).agg(
         F.count_if("flagged").alias("n"),
-        F.array_sort(F.collect_list("segment")).alias("compared"),
+        F.count("*").alias("compared"),
         worst.alias("worst"),
-        _items(
-            [F.col("segment")],
-            ["segment", "current_week_avg", "previous_week_avg", "drop_pct", "drop_pct_label"],
-        ).alias("anomalies"),
     )
     found = F.concat(
         F.col("n").cast("string"),
@@ -294,13 +280,13 @@ def _segment_status(measures: DataFrame, settings: Settings) -> DataFrame:
     )
     clean = F.concat(
         F.lit(f"No segment engagement drops above {threshold:.0%} detected across "),
-        F.size("compared").cast("string"),
+        F.col("compared").cast("string"),
         F.lit(" segment(s)."),
     )
     flagged = F.col("n") > 0
     metadata = _metadata(
         threshold=F.lit(threshold),
-        segments_compared=F.array_join("compared", ", "),
+        segments_compared=F.col("compared"),
         current_week_start=F.date_sub(today, 6),
         previous_week_start=F.date_sub(today, 13),
     )
@@ -319,10 +305,6 @@ def _complaint_status(measures: DataFrame, settings: Settings) -> DataFrame:
         F.max("mean_complaints").alias("mean"),
         F.max("std_complaints").alias("std"),
         worst.alias("worst"),
-        _items(
-            [-F.col("zscore"), F.col("date")],
-            ["date", "complaints", "total_sent", "complaint_rate", "zscore"],
-        ).alias("anomalies"),
     )
     few = F.col("days") < 3
     uniform = F.col("std") == 0
@@ -375,19 +357,6 @@ def _campaign_status(measures: DataFrame, settings: Settings) -> DataFrame:
         F.count_if("flagged").alias("n"),
         F.max("median_raw").alias("median"),
         worst.alias("worst"),
-        _items(
-            [F.col("open_rate"), F.col("campaign_id")],
-            [
-                "campaign_id",
-                "open_rate",
-                "open_rate_label",
-                "median_open_rate",
-                "pct_of_median",
-                "total_sent",
-                "complaint_count",
-                "avg_engagement",
-            ],
-        ).alias("anomalies"),
     )
     flagged = F.col("n") > 0
     found = F.concat(
@@ -431,17 +400,74 @@ def selected(detector: str | None) -> list[str]:
 
 
 def detector_status(df: DataFrame, detector: str | None = ALL, settings: Settings = DEFAULTS) -> DataFrame:
-    """detector, flagged, summary, metadata, anomalies: one row per selected detector.
+    """detector, flagged, summary, metadata, n_flagged: one row per selected detector.
 
-    For several detectors the rollup, a few rows per day, is checkpointed in the shared folder, so the table is read
-    once, every call reads it anew, and nothing is left in memory.
+    The flagged segments, days and campaigns themselves are rows of ``detector_items``. For several detectors the rollup, a
+    few rows per day, is checkpointed in the shared folder, so the table is read once, every call reads it anew, and
+    nothing is left in memory.
     """
     names = selected(detector)
-    measures = measure_rows(df) if len(names) == 1 else durable(rollup(df).repartition(ROLLUP_PARTITIONS))
-    rows = reduce(DataFrame.unionByName, [_STATUS[name](measures, settings) for name in names])
+    return status_of(_measures(df, names), detector, settings)
+
+
+def status_of(measures: DataFrame, detector: str | None = ALL, settings: Settings = DEFAULTS) -> DataFrame:
+    """``detector_status`` from measures or from a stored rollup."""
+    rows = reduce(DataFrame.unionByName, [_STATUS[name](measures, settings) for name in selected(detector)])
     return rows.orderBy("position").drop("position")
 
 
+def _measures(df: DataFrame, names: list[str]) -> DataFrame:
+    return measure_rows(df) if len(names) == 1 else durable(rollup(df).repartition(ROLLUP_PARTITIONS))
+
+
+# --- the flagged items -----------------------------------------------------------------------------------------
+
+
+def _flagged(rows: DataFrame, detector: str, fields: list[str], key: str, rank: Column) -> DataFrame:
+    texts = [F.struct(F.lit(f).alias("key"), F.col(f).cast("string").alias("value")) for f in fields]
+    return rows.where("flagged").select(
+        F.lit(DETECTORS.index(detector)).alias("place"),
+        F.lit(detector).alias("detector"),
+        F.col(key).cast("string").alias("item"),
+        rank.cast("double").alias("rank"),
+        F.map_from_entries(F.array(*texts)).alias("fields"),
+    )
+
+
+def _segment_items(measures: DataFrame, settings: Settings) -> DataFrame:
+    fields = ["segment", "current_week_avg", "previous_week_avg", "drop_pct", "drop_pct_label"]
+    rows = _segment_weeks(measures, settings.engagement_drop_threshold)
+    return _flagged(rows, SEGMENT_DROP, fields, "segment", F.lit(0.0))
+
+
+def _complaint_items(measures: DataFrame, settings: Settings) -> DataFrame:
+    fields = ["date", "complaints", "total_sent", "complaint_rate", "zscore"]
+    rows = _complaint_days(measures, settings.complaint_zscore_threshold)
+    return _flagged(rows, COMPLAINT_SPIKE, fields, "date", -F.col("zscore"))
+
+
+def _campaign_items(measures: DataFrame, settings: Settings) -> DataFrame:
+    fields = ["campaign_id", "open_rate", "open_rate_label", "median_open_rate", "pct_of_median", "total_sent"]
+    rows = _campaigns(measures, settings.campaign_open_rate_ratio)
+    return _flagged(rows, CAMPAIGN, [*fields, "complaint_count", "avg_engagement"], "campaign_id", F.col("open_rate"))
+
+
+_ITEMS = {SEGMENT_DROP: _segment_items, COMPLAINT_SPIKE: _complaint_items, CAMPAIGN: _campaign_items}
+
+
+def detector_items(df: DataFrame, detector: str | None = ALL, settings: Settings = DEFAULTS) -> DataFrame:
+    """detector, position, item, fields: one row per flagged segment, day or campaign.
+
+    Positions count from 1 in the order of each detector: segments by name, days by falling z-score, campaigns by open rate.
+    However many are flagged, they are ordinary rows: nothing is gathered into one value or one task.
+    """
+    names = selected(detector)
+    measures = _measures(df, names)
+    rows = reduce(DataFrame.unionByName, [_ITEMS[name](measures, settings) for name in names])
+    placed = with_position(rows, "place", [F.col("rank"), F.col("item")])
+    return placed.select("detector", "position", "item", "fields")
+
+
 def detector_rollup(status: DataFrame) -> DataFrame:
     return status.agg(
         F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("any_flagged"),
@@ -460,5 +486,6 @@ def anomaly_text(status: DataFrame) -> DataFrame:
         F.col("summary"),
     )
     position = F.array_position(F.array(*[F.lit(d) for d in DETECTORS]), F.col("detector"))
+    # three rows
     lines = F.array_sort(F.collect_list(F.struct(position.alias("p"), line.alias("line"))))
     return status.agg(F.array_join(F.transform(lines, lambda e: e["line"]), "\n").alias("anomaly_text"))

@@ -167,9 +167,13 @@ over_cases(
         "flagged",
         "summary",
         F.to_json("metadata").alias("metadata"),
-        F.to_json("anomalies").alias("anomalies"),
+        "n_flagged",
     ),
 )
+over_cases(
+    "detector_items",
+    lambda c: anomaly.detector_items(c).withColumn("fields", F.to_json("fields")),
+)
 over_cases("detector_rollup", lambda c: anomaly.detector_rollup(anomaly.detector_status(c)))
 over_cases("anomaly_text", lambda c: anomaly.anomaly_text(anomaly.detector_status(c)))
 

@@ -138,6 +138,7 @@ def test_reports(data):
 def test_status_agrees_with_the_rows(data):
     _, df = data
     status = {r["detector"]: r for r in anomaly.detector_status(df).collect()}
+    items = anomaly.detector_items(df).orderBy("detector", "position").collect()
     for detector, rows in (
         (anomaly.SEGMENT_DROP, anomaly.segment_drop(df)),
         (anomaly.COMPLAINT_SPIKE, anomaly.complaint_spike(df)),
@@ -145,4 +146,6 @@ def test_status_agrees_with_the_rows(data):
     ):
         found = [r.asDict() for r in rows.collect()]
         assert status[detector]["flagged"] == bool(found)
-        assert [{k: str(v) for k, v in r.items()} for r in found] == status[detector]["anomalies"]
+        own = [r for r in items if r["detector"] == detector]
+        assert [r["fields"] for r in own] == [{k: str(v) for k, v in r.items()} for r in found]
+        assert [r["position"] for r in own] == list(range(1, status[detector]["n_flagged"] + 1))
