@@ -21,6 +21,7 @@ from commlens.operators.ordering import with_position
 from commlens.session import durable
 from commlens.settings import DEFAULTS, Settings
 from commlens.sources.files import nan_to_null
+from commlens.sources.tables import replace_partitions
 
 SEGMENT_DROP = "segment_engagement_drop"
 COMPLAINT_SPIKE = "complaint_spike"
@@ -468,6 +469,15 @@ def detector_items(df: DataFrame, detector: str | None = ALL, settings: Settings
     return placed.select("detector", "position", "item", "fields")
 
 
+def store_rollup(df: DataFrame, table: str) -> None:
+    """Bring a stored rollup up to date with the cases of some days: each of these days is replaced, the others stay.
+
+    df holds all cases of the days it touches. What is read is these days, not the years before; ``status_of`` and
+    ``detector_status`` then agree.
+    """
+    replace_partitions(rollup(df), table, "day")
+
+
 def detector_rollup(status: DataFrame) -> DataFrame:
     return status.agg(
         F.coalesce(F.bool_or("flagged"), F.lit(False)).alias("any_flagged"),

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from commlens.functions.text import strip
 from commlens.schema import BINARY_COLUMNS, ID, REQUIRED_COLUMNS
+from commlens.session import durable
+
+# hashes of repeated keys that keep_first_of_few broadcasts: 16 MB as a hash table
+REPEATED = 1 << 19
+
 
 def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -31,6 +36,27 @@ def keep_first(df: DataFrame, key: str = ID) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(first)).where(F.col("_rank") == 1).drop("_rank")
 
 
+def keep_first_of_few(df: DataFrame, key: str = ID, most: int = REPEATED) -> DataFrame:
+    """``keep_first`` for a table in which few keys repeat: only rows of repeated keys are shuffled.
+
+    A first pass counts 64-bit hashes of the key, a few bytes a row. The hashes that occur more than once, all repeated keys and
+    by chance some others, are counted before they are broadcast. Rows with another hash pass through as they
+    are; the rest go through the window. Beyond ``most`` such hashes the whole table does. The input is read three times, so
+    it should be stored.
+    """
+    hashed = F.xxhash64(F.col(key))
+    counts = df.select(hashed.alias("_hash")).groupBy("_hash").agg(F.count("*").alias("_n"))
+    repeated = durable(counts.where(F.col("_n") > 1).select("_hash"))
+    if repeated.count() > most:
+        return keep_first(df, key)
+    # at most ``most`` numbers of eight bytes, counted above
+    marked = df.withColumn("_key_hash", hashed)
+    same = marked["_key_hash"] == repeated["_hash"]
+    unique = marked.join(F.broadcast(repeated), same, "left_anti").drop("_key_hash")
+    others = marked.join(F.broadcast(repeated), same, "left_semi").drop("_key_hash")
+    return unique.unionByName(keep_first(others, key))
+
+
 def clean(df: DataFrame) -> DataFrame:
     return keep_first(normalise_rows(df))
 

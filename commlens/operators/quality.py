@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from commlens.functions.rounding import percent_text, round_even
 from commlens.schema import BINARY_COLUMNS, CRITICAL_COLUMNS, DOMAINS, REQUIRED_COLUMNS, TARGET, WARNED_RANGES
@@ -50,8 +51,7 @@ def _outside(name: str, low: float, high: float) -> Column:
 # --- the single pass -------------------------------------------------------------------------------------------
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row with every count and mean the checks need."""
+def _aggregates(df: DataFrame) -> list[Column]:
     present = set(df.columns)
     aggregates = [F.count("*").alias("row_count")]
     aggregates += [F.count_if(_missing(df, c)).alias(f"null_{c}") for c in df.columns]
@@ -69,7 +69,12 @@ def profile(df: DataFrame) -> DataFrame:
     ):
         known = F.when(~_missing(df, column), F.col(column)) if column in present else F.lit(None).cast("double")
         aggregates.append(F.avg(known).alias(name))
-    return df.agg(*aggregates)
+    return aggregates
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """One row with every count and mean the checks need."""
+    return df.agg(*_aggregates(df))
 
 
 def _finding(check: str, name: str | None, severity: str, failures: Column, detail: Column) -> Column:
@@ -263,8 +268,32 @@ def validate(df: DataFrame, settings: Settings = DEFAULTS) -> ValidationReport:
     absent = missing_columns(df)
     if absent:
         return ValidationReport(passed=False, errors=[f"Missing required columns: {absent}"])
+    return _judged(df, profile(df), settings)
+
+
+def observed(df: DataFrame, settings: Settings = DEFAULTS) -> tuple[DataFrame, Callable[[], ValidationReport]]:
+    """df, and a function that gives the report once df has been written or collected.
+
+    The counts of all checks are taken while the rows pass by, so checking costs no read of its own. A missing column
+    is known before.
+    """
+    if missing_columns(df):
+        return df, lambda: validate(df, settings)
+    observation = Observation()
+    aggregates = _aggregates(df)
+    schema = df.limit(0).agg(*aggregates).schema
+
+    def judge() -> ValidationReport:
+        found = observation.get
+        row = df.sparkSession.createDataFrame([tuple(found[f.name] for f in schema)], schema)
+        return _judged(df, row, settings)
+
+    return df.observe(observation, *aggregates), judge
+
+
+def _judged(df: DataFrame, counts: DataFrame, settings: Settings) -> ValidationReport:
     row = (
-        profile(df)
+        counts
         .select(
             F.array_compact(F.array(*_findings(settings))).alias("findings"),
             F.struct(*_stats(df)).alias("stats"),

@@ -607,6 +607,13 @@ def _yes_no(name: str) -> str:
     return f"CASE WHEN {name} <> 0 THEN 'Yes' ELSE 'No' END"
 
 
+_LOOKUP = (
+    "SELECT customer_id, engagement_score, tenure_months, days_since_last_contact,"
+    f" {_yes_no('opt_out_flag')} AS opt_out, {_yes_no('complaint_flag')} AS complaint,"
+    f" {_yes_no('escalation_flag')} AS escalation FROM comm"
+    " WHERE customer_id = (SELECT min(customer_id) FROM comm WHERE needs_intervention = 1)"
+)
+
 ORACLES: dict[str, str] = {
     "comm_scan": cases("SELECT * FROM comm"),
     "row_count": cases("SELECT count(*) AS n FROM comm"),
@@ -707,12 +714,38 @@ ORACLES: dict[str, str] = {
     "candidate_cases": cases(
         "SELECT customer_id FROM comm WHERE needs_intervention = 1 ORDER BY customer_id LIMIT 100"
     ),
-    "case_lookup": cases(
-        "SELECT customer_id, engagement_score, tenure_months, days_since_last_contact,"
-        f" {_yes_no('opt_out_flag')} AS opt_out, {_yes_no('complaint_flag')} AS complaint,"
-        f" {_yes_no('escalation_flag')} AS escalation FROM comm"
-        " WHERE customer_id = (SELECT min(customer_id) FROM comm WHERE needs_intervention = 1)"
+    "case_lookup": cases(_LOOKUP),
+    "csv_cases": cases("SELECT * FROM comm"),
+    "json_cases": cases("SELECT * FROM comm"),
+    "ingested_cases": cases("SELECT * FROM comm"),
+    "append_batches": cases(
+        "SELECT CASE WHEN opened = 1 THEN 'opened' ELSE 'unopened' END AS batch, count(*) AS n,"
+        " CAST(sum(tenure_months) AS BIGINT) AS months FROM comm GROUP BY 1"
+    ),
+    "bucket_lookup": cases(_LOOKUP),
+    "dedup_few": _dedup(),
+    "dq_missing_columns": "SELECT 'required_columns' AS check_name, CAST(NULL AS VARCHAR) AS column_name,"
+    " 'error' AS severity, CAST(2 AS BIGINT) AS failures,"
+    " 'Missing required columns: [''segment'', ''channel'']' AS detail",
+    "lenient_dates": f"WITH {RAW_BAD_DATES} SELECT customer_id, sent_date, TRY_CAST(sent_date AS DATE) AS day FROM raw",
+    "default_columns": cases("SELECT customer_id, 'Auto' AS product_type, segment FROM comm"),
+    "scoring_features": cases(
+        f"SELECT customer_id, {PASSED}, {INTERACTIONS}, {ONE_HOT} FROM (SELECT * REPLACE ('Email' AS channel) FROM comm)"
+    ),
+    "aligned_features": cases(
+        "SELECT customer_id, opened, 0 AS no_such_feature,"
+        " CASE WHEN complaint_flag = 1 AND escalation_flag = 1 THEN 1 ELSE 0 END AS high_risk_combo FROM comm"
+    ),
+    "detector_choice": cases(
+        "SELECT detector, flagged, summary, n_flagged FROM status WHERE detector = 'complaint_spike'", *DETECTORS
+    ),
+    "rollup_status": cases("SELECT detector, flagged, summary, n_flagged FROM status", *DETECTORS),
+    "sample_texts": cases(
+        f"SELECT s.* FROM ({_SUMMARY.replace('banded, anomaly_line', "banded, (SELECT '' AS anomaly_text)")}) s"
+        " WHERE customer_id IN (SELECT min(customer_id) FROM comm GROUP BY needs_intervention)",
+        STAND_IN,
     ),
+    "unscored_cases": cases("SELECT customer_id, 0e0 AS intervention_score, 'Unknown' AS risk_band FROM comm"),
     "case_context": raw(_CONTEXT),
     "case_prompts": cases(_PROMPT, STAND_IN, *DETECTORS),
     "case_summaries": cases(_SUMMARY, STAND_IN, *DETECTORS),

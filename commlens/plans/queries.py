@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -29,9 +30,12 @@ from commlens.operators import (
     training,
 )
 from commlens.plans import requests
-from commlens.schema import ID, TARGET
+from commlens.plans.ingest import ingest
+from commlens.plans.run import sample_texts
+from commlens.schema import COMMUNICATIONS, ID, TARGET
+from commlens.session import durable
 from commlens.settings import DEFAULTS, RULE_TREE, Settings
-from commlens.sources import tables
+from commlens.sources import files, staging, tables
 from commlens.sources.feeds import communications, raw_feed
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +67,17 @@ def with_stand_in_score(cases: DataFrame) -> DataFrame:
     )
 
 
+def scratch_table(name: str) -> str:
+    return f"{name}_{uuid.uuid4().hex[:12]}"
+
+
+def from_scratch_table(spark: SparkSession, table: str, result: DataFrame) -> DataFrame:
+    """A small result, checkpointed; the table it was read from is dropped."""
+    kept = durable(result)
+    spark.sql(f"DROP TABLE {table}")
+    return kept
+
+
 # --- scans -----------------------------------------------------------------------------------------------------
 
 over_cases("comm_scan", lambda cases: cases)
@@ -83,6 +98,48 @@ def param_query(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@register
+def csv_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases written as CSV and read again under the table's types."""
+    path = f"{staging.shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    files.write_csv(communications(spark, folder), path)
+    return spark.read.schema(COMMUNICATIONS).option("header", True).csv(path)
+
+
+@register
+def json_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The cases as JSON records, read under the fixed schema."""
+    path = f"{staging.shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    communications(spark, folder).write.json(path)
+    return files.read_records(spark, path)
+
+
+@register
+def append_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Two batches appended, the first one twice, as by a job that was run again."""
+    cases, table = communications(spark, folder), scratch_table("batches")
+    for name, opened in (("opened", 1), ("unopened", 0), ("opened", 1)):
+        tables.append_batch(cases.where(F.col("opened") == opened), table, name)
+    counts = spark.table(table).groupBy("batch").agg(F.count("*").alias("n"), F.sum("tenure_months").alias("months"))
+    return from_scratch_table(spark, table, counts)
+
+
+@register
+def bucket_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One case of a table that is bucketed by id: one bucket is read."""
+    cases, table = communications(spark, folder), scratch_table("bucketed")
+    tables.write_bucketed(cases, table, ID, 16)
+    wanted = reports.sample_case(cases).select(ID).first()[0]
+    return from_scratch_table(spark, table, reports.case_card(reports.case_lookup(spark.table(table), wanted)))
+
+
+@register
+def ingested_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """The whole ingest: staged, checked on the way, cleaned, published."""
+    settings = DEFAULTS.override(table_name=scratch_table("ingested"))
+    return ingest(communications(spark, folder), settings)
+
+
 # --- quality, admission, cleaning: over the untidy feed ---------------------------------------------------------
 
 over_raw("dq_nulls", quality.null_counts)
@@ -105,6 +162,14 @@ over_raw(
 )
 over_raw("clean_rows", cleaning.normalise_rows)
 over_raw("dedup_cases", cleaning.clean)
+over_raw("dedup_few", lambda feed: cleaning.keep_first_of_few(cleaning.normalise_rows(feed)))
+over_raw("dq_missing_columns", lambda feed: quality.report(feed.drop("segment", "channel")).drop("position"))
+over_raw(
+    "lenient_dates",
+    lambda feed: feed.select(ID, "sent_date", cleaning.lenient_date(F.col("sent_date")).alias("day")),
+    bad_dates=True,
+)
+over_cases("default_columns", lambda c: cleaning.add_missing(c.drop("product_type"), {"product_type": "Auto"}).select(ID, "product_type", "segment"))
 
 # --- business columns ------------------------------------------------------------------------------------------
 
@@ -120,6 +185,16 @@ over_cases(
 
 over_cases("interaction_features", lambda c: features.add_interactions(c).select(ID, *features.INTERACTIONS))
 over_cases("one_hot", lambda c: features.one_hot(c.select(ID, *features.CATEGORICALS)))
+over_cases(
+    "scoring_features",
+    lambda c: features.with_features(c.drop("channel", TARGET), features.DECLARED_LEVELS).select(
+        ID, *features.feature_names(features.DECLARED_LEVELS)
+    ),
+)
+over_cases(
+    "aligned_features",
+    lambda c: cleaning.align(features.add_interactions(c), [ID, "opened", "no_such_feature", "high_risk_combo"]),
+)
 over_cases("features", lambda c: features.build_features(c, features.DECLARED_LEVELS))
 
 # --- split and evaluation --------------------------------------------------------------------------------------
@@ -174,6 +249,23 @@ over_cases(
     "detector_items",
     lambda c: anomaly.detector_items(c).withColumn("fields", F.to_json("fields")),
 )
+over_cases(
+    "detector_choice",
+    lambda c: anomaly.detector_status(c, anomaly.COMPLAINT_SPIKE).select("detector", "flagged", "summary", "n_flagged"),
+)
+
+
+@register
+def rollup_status(spark: SparkSession, folder: str) -> DataFrame:
+    """The status from a stored rollup that took the days in three steps, one day twice."""
+    cases, table = communications(spark, folder), scratch_table("rollup")
+    day = F.dayofmonth("sent_date")
+    for days in (day <= 12, day > 12, day == 15):
+        anomaly.store_rollup(cases.where(days), table)
+    status = anomaly.status_of(spark.table(table)).select("detector", "flagged", "summary", "n_flagged")
+    return from_scratch_table(spark, table, status)
+
+
 over_cases("detector_rollup", lambda c: anomaly.detector_rollup(anomaly.detector_status(c)))
 over_cases("anomaly_text", lambda c: anomaly.anomaly_text(anomaly.detector_status(c)))
 
@@ -206,6 +298,11 @@ def _anomalies(cases: DataFrame):
     return anomaly.anomaly_text(anomaly.detector_status(cases)).scalar()
 
 
+over_cases("sample_texts", lambda c: sample_texts(with_stand_in_score(c)))
+over_cases(
+    "unscored_cases",
+    lambda c: scoring.score_or_unknown(c, "/no/such/model").select(ID, "intervention_score", "risk_band"),
+)
 over_raw("case_context", lambda feed: narrative.case_context(feed, "none"))
 over_cases(
     "case_prompts",

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame
 from commlens.operators.anomaly import anomaly_text, detector_status
 from commlens.operators.narrative import case_summaries
 from commlens.operators.reports import sample_case
-from commlens.operators.scoring import score_batch
+from commlens.operators.scoring import load_forest, score_batch
 from commlens.operators.training import train
 from commlens.plans.ingest import ingest
 from commlens.settings import DEFAULTS, Settings
+from commlens.sources.staging import Manifest
 from commlens.sources.tables import row_count, write_table
 
 
@@ -31,28 +32,44 @@ def run(
     settings: Settings = DEFAULTS,
     skip_texts: bool = False,
     parallelism: int = 1,
+    run_id: str | None = None,
     **ingest_options: Any,
 ) -> RunSummary:
     """One Spark application. Next to the cases table it writes ``_detectors``, ``_scores`` and ``_texts``.
 
     Every stage reads the table the stage before wrote, so no stage repeats another's work and a lost executor
-    costs at most the running stage's tasks.
+    costs at most the running stage's tasks. A run with a ``run_id`` that is started again, in any session, skips the
+    stages it had finished.
     """
-    spark = raw.sparkSession
-    cases = ingest(raw, settings, **ingest_options)
-    training = train(cases, model_path, settings, parallelism=parallelism)
+    spark, name, done = raw.sparkSession, settings.table_name, Manifest(raw.sparkSession, run_id)
 
-    write_table(detector_status(cases, settings=settings), f"{settings.table_name}_detectors")
-    status = spark.table(f"{settings.table_name}_detectors")
-    # three rows, one line of text
-    text = anomaly_text(status).first()["anomaly_text"]
-    flagged = status.where("flagged").count()
+    def ingested() -> int:
+        ingest(raw, settings, **ingest_options)
+        return row_count(spark, name)
 
-    write_table(score_batch(cases, training.forest, settings=settings), f"{settings.table_name}_scores")
+    def trained() -> dict[str, Any]:
+        return train(spark.table(name), model_path, settings, parallelism=parallelism).metrics
+
+    def detected() -> list[Any]:
+        write_table(detector_status(spark.table(name), settings=settings), f"{name}_detectors")
+        status = spark.table(f"{name}_detectors")
+        # three rows, one line of text
+        return [anomaly_text(status).first()["anomaly_text"], status.where("flagged").count()]
+
+    def scored() -> None:
+        forest = load_forest(spark, model_path)
+        write_table(score_batch(spark.table(name), forest, settings=settings), f"{name}_scores")
+
+    def written() -> None:
+        write_table(case_summaries(spark.table(f"{name}_scores"), text), f"{name}_texts")
+
+    rows = done.stage("ingest", ingested)
+    metrics = done.stage("train", trained)
+    text, flagged = done.stage("detect", detected)
+    done.stage("score", scored)
     if not skip_texts:
-        scored = spark.table(f"{settings.table_name}_scores")
-        write_table(case_summaries(scored, text), f"{settings.table_name}_texts")
-    return RunSummary(row_count(spark, settings.table_name), training.metrics, flagged, text)
+        done.stage("texts", written)
+    return RunSummary(rows, metrics, flagged, text)
 
 
 def sample_texts(scored: DataFrame, text: str = "") -> DataFrame:

@@ -45,6 +45,41 @@ def write_table(df: DataFrame, name: str, if_exists: str = "replace", partition_
     writer.saveAsTable(name)
 
 
+def append_batch(df: DataFrame, name: str, batch: str) -> None:
+    """Append the rows as one batch. A job that is run again replaces its own batch, so nothing is inserted twice.
+
+    The table is partitioned by ``batch``; only that partition is written, also when the new batch is empty.
+    """
+    spark = df.sparkSession
+    if not table_exists(spark, name):
+        df.limit(0).withColumn("batch", F.lit(batch)).write.partitionBy("batch").format("parquet").saveAsTable(name)
+    columns = [c for c in spark.table(name).columns if c != "batch"]
+    rows = df.select(*[F.col(f"`{c}`") for c in columns])
+    spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION (batch = :batch) SELECT * FROM {{rows}}", {"batch": batch}, rows=rows)
+
+
+def replace_partitions(df: DataFrame, name: str, partition: str) -> None:
+    """Write the partitions that df has rows of, replacing each, and leave the others."""
+    spark = df.sparkSession
+    if not table_exists(spark, name):
+        df.limit(0).write.partitionBy(partition).format("parquet").saveAsTable(name)
+    columns = spark.table(name).columns
+    rows = df.select(*[F.col(f"`{c}`") for c in columns]).hint("rebalance", partition)
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    usual = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(mode, usual)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> None:
+    """Replace a table with one that is bucketed and sorted by key: a lookup of a key reads one bucket, and joins and groupings
+    by the key need no shuffle. The rows are dealt to the buckets first, so each bucket is one file."""
+    df.repartition(buckets, key).write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
 def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("n"))
 

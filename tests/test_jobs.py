@@ -1,11 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from commlens.operators import anomaly, quality, reports
 from commlens.plans.ingest import ingest
 from commlens.plans.run import run, sample_texts
 from commlens.settings import Settings
 from commlens.sources import files, tables
-from commlens.sources.feeds import raw_feed
+from commlens.sources.feeds import communications, raw_feed
 
 
 def test_table_round_trip(spark):
@@ -57,6 +58,103 @@ def test_ingest_rejects_a_bad_feed(spark, small):
     assert not tables.table_exists(spark, "rejected")
 
 
+def test_a_rejected_feed_leaves_the_old_table(spark, small, cases):
+    settings = Settings(table_name="kept")
+    ingest(cases, settings)
+    with pytest.raises(ValueError, match="Validation FAILED"):
+        ingest(raw_feed(spark, small), settings)
+    assert tables.row_count(spark, "kept") == cases.count()
+    with pytest.raises(ValueError, match="Missing required columns"):
+        ingest(cases.drop("segment"), settings)
+
+
+def test_observed_checks_equal_the_checks_of_a_pass(spark, small):
+    feed = raw_feed(spark, small)
+    watched, judge = quality.observed(feed)
+    watched.write.format("noop").mode("overwrite").save()
+    assert judge() == quality.validate(feed)
+
+
+def test_ingest_reads_the_feed_once(spark, small, tmp_path):
+    """The feed counts the rows that are read from it."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    cases = communications(spark, small)
+    feed = cases.mapInArrow(counted, cases.schema)
+    table = ingest(feed, Settings(table_name="read_once"), raw_csv=str(tmp_path / "raw"))
+    assert read.value == table.count() == cases.count()
+
+
+def test_a_batch_is_appended_once(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, t string")
+    for batch in ("x", "y", "x"):
+        tables.append_batch(df, "batched", batch)
+    assert tables.row_count(spark, "batched") == 4
+    tables.append_batch(df.select("t", "n").limit(1), "batched", "it's")
+    tables.append_batch(df.limit(0), "batched", "y")
+    found = {r["batch"]: r["n"] for r in spark.table("batched").groupBy("batch").agg(F.sum("n").alias("n")).collect()}
+    assert found == {"x": 3, "it's": 1}
+
+
+def test_a_stored_rollup_follows_its_days(spark, cases):
+    day = F.dayofmonth("sent_date")
+    anomaly.store_rollup(cases.where(day <= 20).withColumn("complaint_flag", F.lit(1)), "rolled")
+    anomaly.store_rollup(cases.where(day > 10), "rolled")
+    anomaly.store_rollup(cases.where(day <= 10), "rolled")
+    assert anomaly.status_of(spark.table("rolled")).collect() == anomaly.detector_status(cases).collect()
+
+
+def test_a_lookup_reads_one_bucket(spark, cases):
+    tables.write_bucketed(cases, "looked_up", "customer_id", 8)
+    wanted = cases.select("customer_id").first()[0]
+    found = reports.case_lookup(spark.table("looked_up"), wanted)
+    found = reports.case_lookup(spark.table("looked_up"), wanted)
+    assert found.collect()[0]["customer_id"] == wanted
+    read = []
+
+    def visit(node):
+        if node.nodeName().startswith("Scan"):
+            read.append((node.metrics().apply("numFiles").value(), node.metrics().apply("numOutputRows").value()))
+        for i in range(node.children().size()):
+            visit(node.children().apply(i))
+        if node.nodeName() == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+
+    visit(found._jdf.queryExecution().executedPlan())
+    assert [rows < cases.count() / 4 for _, rows in read] == [True], read
+    assert found.count() == 1
+    assert len(spark.table("looked_up").inputFiles()) == 8
+
+
+def test_a_run_goes_on_where_it_stopped(spark, cases, tmp_path, monkeypatch):
+    from commlens.plans import run as plan
+
+    settings, model, started = Settings(table_name="resumed", trees=5, depth=3), str(tmp_path / "model"), []
+    for name in ("ingest", "train", "detector_status", "score_batch", "case_summaries"):
+        work = getattr(plan, name)
+        monkeypatch.setattr(plan, name, lambda *a, _n=name, _w=work, **k: (started.append(_n), _w(*a, **k))[1])
+
+    def lost(*a, **k):
+        raise RuntimeError("executor lost")
+
+    working = plan.score_batch
+    monkeypatch.setattr(plan, "score_batch", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        run(cases, model, settings, run_id="night", parallelism=5)
+    monkeypatch.setattr(plan, "score_batch", working)
+    assert started == ["ingest", "train", "detector_status"]
+    summary = run(cases, model, settings, run_id="night", parallelism=5)
+    assert started == ["ingest", "train", "detector_status", "score_batch", "case_summaries"]
+    assert summary.rows == cases.count() and summary.detectors_flagged == 3 and "FLAGGED" in summary.anomaly_text
+    assert run(cases, model, settings, run_id="night") == summary and len(started) == 5
+    assert tables.row_count(spark, "resumed_texts") == summary.rows
+
+
 def test_ingest_can_skip_the_checks(spark, small):
     table = ingest(raw_feed(spark, small), Settings(table_name="unchecked"), skip_validation=True)
     assert table.count() == table.select("customer_id").distinct().count()

@@ -58,6 +58,50 @@ def test_a_repeated_id_sends_one_row_per_task_to_the_shuffle(spark, hot):
     assert written and max(written) <= 2000 + 6
 
 
+def shuffled_bytes(df):
+    """Bytes that all exchanges of a collected plan wrote."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    written = []
+
+    def visit(node):
+        if node.nodeName() == "Exchange":
+            written.append(node.metrics().apply("shuffleBytesWritten").value())
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+        if "QueryStage" in node.nodeName():
+            visit(node.plan())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            visit(node.executedPlan())
+
+    visit(df._jdf.queryExecution().executedPlan())
+    return sum(written)
+
+
+@pytest.mark.parametrize("most", [1 << 19, 3])
+def test_few_repeated_ids_leave_the_rest_where_it_is(spark, hot, most):
+    rows = hot.where(F.col("customer_id") != "HOT").unionByName(hot.where("customer_id = 'HOT'").limit(5))
+    rows = rows.unionByName(rows.where("customer_id like 'C0000%'").withColumn("sent_date", F.lit(date(2023, 12, 31))))
+    rows = rows.unionByName(rows.limit(2).withColumn("customer_id", F.lit(None).cast("string")))
+    general, few = cleaning.keep_first(rows), cleaning.keep_first_of_few(rows, most=most)
+    assert sorted(map(str, few.collect())) == sorted(map(str, general.collect()))
+
+
+def test_few_repeated_ids_shuffle_few_bytes(spark, tmp_path):
+    """One id in a thousand repeated: hashes and the repeated rows are shuffled, the wide rows are not."""
+    columns = [F.md5(F.concat(F.col("id").cast("string"), F.lit(str(i)))).alias(f"text{i}") for i in range(5)]
+    ids = F.when(F.col("id") % 1000 == 1, F.col("id") - 1).otherwise(F.col("id"))
+    wide = spark.range(0, 200_000, 1, 4).select(ids.cast("string").alias("customer_id"), *columns)
+    wide.write.parquet(str(tmp_path / "wide"))
+    wide = spark.read.parquet(str(tmp_path / "wide"))
+    few = cleaning.keep_first_of_few(wide)
+    assert few.count() == 199_800
+    hashes = wide.select(F.xxhash64("customer_id").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    general, counted = shuffled_bytes(cleaning.keep_first(wide)), shuffled_bytes(hashes.where("n > 1"))
+    assert shuffled_bytes(few) + counted < 0.1 * general
+
+
 def test_groups_agree_with_brute_force(hot):
     rows = hot.collect()
     sent, opened = Counter(), Counter()
