@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -69,6 +70,33 @@ def in_slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.Reco
             yield batch.slice(a, b - a)
 
 
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives freed memory back to the system at its end: Spark keeps idle Python workers, and what they hold
+    counts against the executor in later stages."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
+
+
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with underscores added until no column has it; names are compared without case, as Spark does."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty. Pure ASCII text takes the faster built-in."""
     text = F.coalesce(text, F.lit(""))

@@ -6,16 +6,18 @@ broadcast (at most CANDIDATES rows of three columns), so that their rows never e
 frequent nowhere and go through an ordinary shuffle. Both ways are exact: the sketch decides only which way a digest takes.
 
 Rows that repeat a doc_id: one of them stays if that doc_id is the largest of its group. A null doc_id is smaller than any
-other; a group of nulls alone keeps one row, its keep_id is null. An empty table gives an empty result.
+other; a group of nulls alone keeps one row, its keep_id is null. An empty table gives an empty result. Other columns may have any
+name and type: own columns take names that are free, and columns with maps are ordered by their JSON.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, stored
+from .common import ascii_lower, free_name, stored
 
 CANDIDATES = 512
 TRACKED = 8192
@@ -62,17 +64,21 @@ def groups(documents: DataFrame) -> DataFrame:
 def deduplicated(documents: DataFrame) -> DataFrame:
     """The rows of documents that stay, all columns. Rows alike in doc_id and text: the first by the other columns."""
     columns = documents.columns
-    rest = [F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")]
-    by = Window.partitionBy("_digest", "doc_id").orderBy(*(rest or [F.lit(0)]))
-    keyed = documents.withColumn("_digest", F.sha2(ascii_lower(F.col("text")), 256))
-    single = keyed.withColumn("_place", F.row_number().over(by)).where("_place = 1")
+    digest, place, gone, other = (free_name(n, columns) for n in ("_digest", "_place", "_dropped", "_of"))
+    rest = [_orderable(f) for f in documents.schema if f.name not in ("doc_id", "text")]
+    by = Window.partitionBy(digest, "doc_id").orderBy(*(rest or [F.lit(0)]))
+    keyed = documents.withColumn(digest, F.sha2(ascii_lower(F.col("text")), 256))
+    single = keyed.withColumn(place, F.row_number().over(by)).where(F.col(place) == 1)
     dropped = (
         groups(documents)
         .where(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-        .select(F.col("doc_id").alias("_dropped"), F.col("text_sha256").alias("_digest"))
+        .select(F.col("doc_id").alias(gone), F.col("text_sha256").alias(other))
     )
-    return single.join(
-        dropped,
-        (single["_digest"] == dropped["_digest"]) & single["doc_id"].eqNullSafe(dropped["_dropped"]),
-        "left_anti",
-    ).select(*(F.col(f"`{c}`") for c in columns))
+    same = (F.col(digest) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(gone))
+    return single.join(dropped, same, "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+
+
+def _orderable(field: T.StructField) -> Column:
+    """The column itself, or its JSON where it holds a map, which Spark cannot order."""
+    column = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(column)) if "map<" in field.dataType.simpleString() else column

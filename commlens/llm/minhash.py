@@ -22,7 +22,7 @@ bucket, until each bucket has one component. So a
 bucket of n copies costs n pairs and no link is given up.
 
 Rows without doc_id link with nothing: component null, kept. Rows that share a doc_id are separate nodes. Repeated rows are linked by equal
-sets. An empty table gives an empty result.
+sets. An empty table gives an empty result. Other columns may have any name; `kept` takes a free name for its own.
 """
 
 from __future__ import annotations
@@ -35,12 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, mix, shingles, stored, words
+from .common import GOLDEN, WordHashes, free_name, in_slices, mix, shingles, stored, tidy, words
 from .graph import components
 
 SHINGLE, NEED = 5, 75
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
+#: Bytes of text a task holds as strings.
+HELD = 1 << 20
 #: Classes of distance, as wide as the distance of a link.
 QUARTERS = 100 // (100 - NEED)
 _EDGES = (np.arange(1, BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
@@ -76,7 +78,7 @@ def bands(hashes: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in (some for whole in batches for some in in_slices(whole, 1, HELD)):
         n, digest, keys = [], [], []
         for text in batch.column(1).to_pylist():
             own = shingle_set(text, hashes)
@@ -92,7 +94,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of the nodes' texts, where the text is the node's."""
     hashes = WordHashes()
-    for batch in batches:
+    for batch in (some for whole in batches for some in in_slices(whole, 2, HELD)):
         nodes, found = [], []
         for node, digest, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             own = shingle_set(text, hashes)
@@ -127,7 +129,7 @@ def _tested(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     of_hub = sets.select(F.col("node").alias("hub"), F.col("set").alias("x"))
     of_node = sets.select("node", F.col("set").alias("y"))
     found = pairs.where(possible).select("hub", "node").join(of_node, "node").join(of_hub, "hub").select("hub", "node", "x", "y")
-    found = found.mapInArrow(_compared, "hub long, node long, both long, either long").withColumn("known", F.lit(True))
+    found = found.mapInArrow(tidy(_compared), "hub long, node long, both long, either long").withColumn("known", F.lit(True))
     return stored(found.unionByName(ruled_out), "tested")
 
 
@@ -201,7 +203,7 @@ def _beyond_hubs(rows: DataFrame, sets: DataFrame, size: DataFrame) -> DataFrame
     of_hub = sets.select(F.col("node").alias("hub"), F.col("set").alias("x"))
     of_node = sets.select("node", F.col("set").alias("y"))
     pairs = pairs.join(of_node, "node").join(of_hub, "hub").select("hub", "node", "n", "least", "x", "y")
-    pairs = stored(pairs.mapInArrow(_beyond, "hub long, node long, n long, common long, beyond array<long>"), "beyond")
+    pairs = stored(pairs.mapInArrow(tidy(_beyond), "hub long, node long, n long, common long, beyond array<long>"), "beyond")
     dealt = pairs.select("hub", "node", "n", F.explode("beyond").alias("shingle"))
     dealt = dealt.select(F.xxhash64("hub", "shingle").alias("key"), "node", "n").distinct()
     # the largest set that could be linked with the node without a shingle beyond the hub: smaller than the hub
@@ -218,7 +220,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_shingles long, digest binary, keys array<long>"
-    signed = stored(documents.select("doc_id", "text").mapInArrow(_signatures, schema), "signatures")
+    signed = stored(documents.select("doc_id", "text").mapInArrow(tidy(_signatures), schema), "signatures")
     named = signed.where("doc_id is not null and digest is not null")
     # one node for each distinct set; the node's number is that of its row in this table
     nodes = stored(
@@ -234,7 +236,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     weight = stored(weight, "weights")
     wanted = nodes.join(weight.select("node"), "node").select("node", "digest", "doc_id")
     texts = documents.select("doc_id", "text").where("doc_id is not null")
-    sets = texts.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(_sets, "node long, set binary")
+    sets = texts.join(wanted, "doc_id").select("node", "digest", "text").mapInArrow(tidy(_sets), "node long, set binary")
     sets = stored(sets.dropDuplicates(["node"]), "sets")
     size = weight.select(F.col("node").alias("hub"), F.col("n").alias("n_hub"))
 
@@ -320,6 +322,7 @@ def kept(documents: DataFrame) -> DataFrame:
     """One document of each component, all columns: that with the smallest doc_id. A doc_id with several rows stays, with all of
     them, if one of them stays."""
     columns = documents.columns
-    found = near_duplicates(documents).groupBy(F.col("doc_id").alias("_dropped")).agg(F.max("kept").alias("_kept"))
-    dropped = found.where("not _kept").select("_dropped")
-    return documents.join(dropped, documents["doc_id"] == dropped["_dropped"], "left_anti").select(*(F.col(f"`{c}`") for c in columns))
+    gone = free_name("_dropped", columns)
+    found = near_duplicates(documents).groupBy(F.col("doc_id").alias(gone)).agg(F.max("kept").alias("kept"))
+    dropped = found.where("not kept").select(gone)
+    return documents.join(dropped, F.col("doc_id") == F.col(gone), "left_anti").select(*(F.col(f"`{c}`") for c in columns))

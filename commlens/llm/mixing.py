@@ -33,7 +33,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_name, stored
 
 TARGETS = {"en": 0.5, "fr": 0.15, "de": 0.15, "es": 0.15, "junk": 0.05}
 MAX_LABELLED = 50_000
@@ -218,7 +218,11 @@ def copies(seed: int = 0):
 
 
 def resampled(documents: DataFrame, mix: Mix) -> DataFrame:
-    """Each document as often as its rate says, columns unchanged."""
+    """Each document as often as its rate says, columns unchanged, whatever their names."""
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    rows = mixed(documents, mix).withColumn("_copies", copies()).where("_copies > 0")
-    return rows.select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("_copies"))).alias("_copy")).select(*columns)
+    count, copy = (free_name(n, documents.columns) for n in ("_copies", "_copy"))
+    # the caller's columns are set aside in a struct, so none of them can be taken for one of the operator's
+    whole = documents.select(F.struct(*columns).alias("given"), F.col("doc_id"), F.col("text"))
+    rows = mixed(whole, mix).withColumn(count, copies()).where(F.col(count) > 0)
+    repeated = rows.select("given", F.explode(F.array_repeat(F.lit(0), F.col(count))).alias(copy))
+    return repeated.select(*(F.col("given").getField(c).alias(c) for c in documents.columns))

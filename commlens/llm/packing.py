@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import in_slices, stored
+from .common import in_slices, stored, tidy
 
 SIZE = 2048
 SEPARATOR = 1
@@ -135,7 +135,7 @@ def tokenized(documents: DataFrame, path: str, special_tokens: bool = False) ->
         known.forget()
 
     schema = f"part int, start long, doc_id {id_type}, doc_tokens long, ids binary"
-    return stored(documents.select("doc_id", "text").mapInArrow(encode, schema), "tokens")
+    return stored(documents.select("doc_id", "text").mapInArrow(tidy(encode), schema), "tokens")
 
 
 def packed(
@@ -182,7 +182,7 @@ def packed(
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     schema = f"doc_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(cut, schema + ", ids array<int>" * with_ids)
+    return placed.mapInArrow(tidy(cut), schema + ", ids array<int>" * with_ids)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:

@@ -37,6 +37,15 @@ ACCOUNT = re.compile(r"[ \t]*(?:no|nr|number|num)?[ \t.:#=]*([A-Z]{2}[0-9]{2}(?:
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = "0123456789"
 SCHEMES = ("https", "http", "ftp")
+# Lengths of IBANs by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21,
+    "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "DO": 28, "EE": 20, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27,
+    "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
 
 
@@ -68,6 +77,15 @@ def iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def iban_length(text: str) -> int:
+    """Length of the IBAN that text begins with, with its spaces; 0 if there is none. Capitals that follow are not part of it: a listed
+    country's length is fixed; for another country the longest end that passes the check digits counts."""
+    ends = [i + 1 for i, c in enumerate(text) if c != " "]
+    own = IBAN_LENGTHS.get(text[:2])
+    sizes = [own] if own else range(min(len(ends), 34), 14, -1)
+    return next((ends[n - 1] for n in sizes if n <= len(ends) and iban(text[: ends[n - 1]])), 0)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
@@ -107,9 +125,10 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 if end > last + 1:
                     out.append((at - len(scheme), 4, end))
         elif at >= done[5] and (at == 0 or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)):
-            done[5] = m.end()
-            if m[1][0] in DIGITS or iban(m[1]):
-                out.append((m.start(1), 5, m.end()))
+            length = len(m[1]) if m[1][0] in DIGITS else iban_length(m[1])
+            done[5] = m.start(1) + length if length else m.end()
+            if length:
+                out.append((m.start(1), 5, m.start(1) + length))
     return sorted(out)
 
 

@@ -29,13 +29,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, stored
+from .common import in_slices, release, stored, tidy
 
-BUCKETS = 1 << 19
+BUCKETS = 1 << 20
 PREFIX = 4
 FOLDS = 4
 MAX_LABELLED = 200_000
 THRESHOLD = 0.7
+#: Words a task remembers, and bytes of text it holds as strings; they bound memory and change no result.
+KNOWN_WORDS, HELD = 150_000, 1 << 20
 #: Prior: as many words of the background distribution, plus SMOOTH for each bucket.
 PRIOR, SMOOTH = 500.0, 0.5
 ERRORS = 1.4
@@ -61,7 +63,7 @@ def features(word: str) -> tuple[int, int]:
 
 class _Features(dict):
     def __missing__(self, word: str) -> tuple[int, int]:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = value = features(word)
         return value
@@ -75,20 +77,20 @@ class WordScores(dict):
         self.table = table
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         own, prefix = (float(self.table[b]) for b in features(word))
         self[word] = value = (own if abs(own) >= abs(prefix) else prefix) - DRIFT
         return value
 
 
-def log_odds(toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
-    """Per bucket: shrunk log-odds of toxic against clean documents."""
-    both = toxic + clean
-    prior = PRIOR * both / max(both.sum(), 1.0) + SMOOTH
-    total = prior.sum()
+def log_odds(toxic: np.ndarray, clean: np.ndarray, all_toxic: float, all_clean: float) -> np.ndarray:
+    """Shrunk log-odds of toxic against clean documents, for any of the buckets; the sums are over all buckets."""
+    everything = all_toxic + all_clean
+    prior = PRIOR * (toxic + clean) / max(everything, 1.0) + SMOOTH
+    total = PRIOR * (everything > 0) + SMOOTH * BUCKETS
     a, b = toxic + prior, clean + prior
-    delta = np.log(a / (toxic.sum() + total - a)) - np.log(b / (clean.sum() + total - b))
+    delta = np.log(a / (all_toxic + total - a)) - np.log(b / (all_clean + total - b))
     error = np.sqrt(1 / a + 1 / b)
     return (np.sign(delta) * np.maximum(0, np.abs(delta) - ERRORS * error)).astype(np.float32)
 
@@ -156,7 +158,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((2 * FOLDS, BUCKETS), np.int32)
     documents = np.zeros(2 * FOLDS, np.int64)
     known = _Features()
-    for batch in batches:
+    for batch in (some for whole in batches for some in in_slices(whole, 0, HELD)):
         for text, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             group = 2 * fold + toxic
             documents[group] += 1
@@ -168,6 +170,38 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(buckets), *columns], names=["bucket", *COUNTS])
 
 
+def _tables(sums: DataFrame, totals: np.ndarray) -> list[np.ndarray]:
+    """Score of each bucket, taught by all folds, and by all but one. Scores are computed where the counts are, and only those that differ
+    from the score of a bucket without any count come to the driver."""
+
+    def score(counts: np.ndarray) -> np.ndarray:
+        """One row for each table, from counts of 2 * FOLDS rows."""
+        out = []
+        for left in [None, *range(FOLDS)]:
+            taught = [f for f in range(FOLDS) if f != left]
+            clean, toxic = counts[0::2][taught].sum(axis=0), counts[1::2][taught].sum(axis=0)
+            out.append(log_odds(toxic, clean, totals[1::2][taught].sum(), totals[0::2][taught].sum()))
+        return np.stack(out)
+
+    usual = score(np.zeros((2 * FOLDS, 1)))[:, 0]
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = score(np.stack([batch.column(g + 1).to_numpy() for g in range(2 * FOLDS)]).astype(float))
+            other = np.flatnonzero((found != usual[:, None]).any(axis=0))
+            columns = [pa.array(found[t][other]) for t in range(1 + FOLDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(other)).cast(pa.int32()), *columns], names=names)
+
+    names = ["bucket", *(f"t{t}" for t in range(1 + FOLDS))]
+    rows = sums.select("bucket", *COUNTS).mapInArrow(scored, "bucket int, " + ", ".join(f"{n} float" for n in names[1:]))
+    rows = rows.toArrow()  # at most BUCKETS rows of 24 bytes
+    place = rows["bucket"].to_numpy()
+    tables = [np.full(BUCKETS, u, np.float32) for u in usual]
+    for t, values in enumerate(tables):
+        values[place] = rows[f"t{t}"].to_numpy()
+    return tables
+
+
 def _newton(z: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float, float]:
     """Logistic curve through weighted points (Platt's smoothed targets)."""
     high, low = (ones.sum() + 1) / (ones.sum() + 2), 1 / (zeros.sum() + 2)
@@ -189,26 +223,21 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
     """Learn from the labelled rows whose remainder is not 1."""
     spark = documents.sparkSession
     rows = _labelled(documents, labels, max_labelled)
-    counted = rows.mapInArrow(_counts, "bucket long, " + ", ".join(f"{c} long" for c in COUNTS))
-    sums = counted.groupBy("bucket").agg(*(F.sum(c).cast("int").alias(c) for c in COUNTS))
-    sums = sums.withColumn("bucket", F.col("bucket").cast("int")).toArrow()  # at most BUCKETS rows
-    place = sums["bucket"].to_numpy()
-    counts = np.zeros((2 * FOLDS, BUCKETS + 1), np.int32)
-    for g, c in enumerate(COUNTS):
-        counts[g][place] = sums[c].to_numpy()
-    del sums, place
-    n_texts, counts = counts[:, -1].astype(float), counts[:, :-1]
+    counted = rows.mapInArrow(tidy(_counts), "bucket long, " + ", ".join(f"{c} long" for c in COUNTS))
+    sums = stored(counted.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in COUNTS)), "toxicity-counts")
+    totals = sums.groupBy((F.col("bucket") < 0).alias("texts")).agg(*(F.sum(c).alias(c) for c in COUNTS))
+    totals = {r["texts"]: np.array(r[1:], float) for r in totals.collect()}
+    n_texts = totals.get(True, np.zeros(2 * FOLDS))
     n_clean, n_toxic = n_texts[0::2].sum(), n_texts[1::2].sum()
     if not n_clean or not n_toxic:
         return Model(None, share=float(n_toxic / max(n_clean + n_toxic, 1)))
-    clean, toxic = counts[0::2].sum(axis=0), counts[1::2].sum(axis=0)
-    table = log_odds(toxic, clean)
+    table, *others = _tables(sums.where("bucket >= 0"), totals.get(False, np.zeros(2 * FOLDS)))
     # each fold is scored with what the others have taught
-    shared = spark.sparkContext.broadcast([log_odds(toxic - counts[2 * f + 1], clean - counts[2 * f]) for f in range(FOLDS)])
+    shared = spark.sparkContext.broadcast(others)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [WordScores(t) for t in shared.value]
-        for batch in batches:
+        for batch in (some for whole in batches for some in in_slices(whole, 0, HELD)):
             out: list[tuple] = []
             for text, toxic, fold in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 n, found = scan(text, known[fold])
@@ -222,7 +251,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLE
                 names=["toxic", "n", "found"],
             )
 
-    seen = stored(rows.mapInArrow(scored, "toxic int, n long, found array<double>"), "toxicity-calibration")
+    seen = stored(rows.mapInArrow(tidy(scored), "toxic int, n long, found array<double>"), "toxicity-calibration")
     best = F.coalesce(F.array_max("found"), F.lit(0.0))
     clean = seen.where("toxic = 0 and n > 0").select(best.alias("x"), F.log(F.col("n")).alias("l"))
     moments = clean.agg(
@@ -289,6 +318,8 @@ def scorer(model: Model, spark):
                 passages = [{"first": f, "end": e, "score": s} for f, e, s in found if s > floor]
                 rows.append((probability(model, n, found), n, passages))
             yield pd.DataFrame(rows, columns=["score", "n_words", "passages"])
+        del known
+        release()
 
     return score
 
