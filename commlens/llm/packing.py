@@ -30,9 +30,9 @@ from .common import in_slices, stored, tidy
 
 SIZE = 2048
 SEPARATOR = 1
-#: Words and pieces of words whose ids a worker remembers (about 120 and 15 MB), and bytes of text held at once. They bound
-#: memory and never change a result.
-KNOWN_WORDS, KNOWN_PIECES, HELD = 800_000, 100_000, 1 << 20
+#: Words whose ids a worker remembers (about 120 MB), pieces of words across tasks and within one (60 and 15 MB), and bytes of text
+#: held at once. They bound memory and never change a result.
+KNOWN_WORDS, KNOWN_PIECES, PIECES_OF_A_TASK, HELD = 800_000, 400_000, 100_000, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 
 #: How the tokenizer splits a text before its merges.
@@ -57,6 +57,7 @@ class Encoder:
         self.model = self.whole.model
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.most_pieces = KNOWN_PIECES
         # byte-level alphabet: printable bytes stand for themselves, the others for characters from 256 on
         plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         others = iter(range(256, 512))
@@ -69,7 +70,7 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= KNOWN_PIECES:
+            if len(self.pieces) >= self.most_pieces:
                 self.pieces.clear()
             letters = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
             ids = [t.id for t in self.model.tokenize(letters)]
@@ -109,12 +110,13 @@ def encoder(path: str, special_tokens: bool) -> Encoder:
     return _ENCODERS[key]
 
 
-def tokenized(documents: DataFrame, path: str, special_tokens: bool = False) -> DataFrame:
+def tokenized(documents: DataFrame, path: str, special_tokens: bool = False, remember: bool = True) -> DataFrame:
     """part, start (in the part), doc_id, doc_tokens, ids (16 bits each)."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, part, total = encoder(path, special_tokens), TaskContext.get().partitionId(), 0
+        known.most_pieces = KNOWN_PIECES if remember else PIECES_OF_A_TASK
         end = np.array([SEPARATOR], "<u2").tobytes()
         last, last_ids = "", end
         for batch in (some for whole in batches for some in in_slices(whole, 1, HELD)):
@@ -132,17 +134,27 @@ def tokenized(documents: DataFrame, path: str, special_tokens: bool = False) ->
                 [pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), batch.column(0), pa.array(sizes), pa.array(ids, pa.binary())],
                 names=["part", "start", "doc_id", "doc_tokens", "ids"],
             )
-        known.forget()
+        if not remember:
+            known.forget()
 
     schema = f"part int, start long, doc_id {id_type}, doc_tokens long, ids binary"
     return stored(documents.select("doc_id", "text").mapInArrow(tidy(encode), schema), "tokens")
 
 
 def packed(
-    documents: DataFrame, size: int = SIZE, path: str | None = None, with_ids: bool = True, special_tokens: bool = False
+    documents: DataFrame,
+    size: int = SIZE,
+    path: str | None = None,
+    with_ids: bool = True,
+    special_tokens: bool = False,
+    remember: bool = True,
 ) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array) if asked for."""
-    tokens = tokenized(documents, path or public_tokenizers.path(VOCABULARY), special_tokens)
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids (array) if asked for.
+
+    A worker remembers the words of its earlier tasks, which is faster; in a job with other Python stages, `remember` = False gives that
+    memory back after each task.
+    """
+    tokens = tokenized(documents, path or public_tokenizers.path(VOCABULARY), special_tokens, remember)
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # one row for each task of pass one, and never more
