@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences with their token ids."""
-    return packing.packed(docs, special_tokens=True)
+    return packing.packed(docs, special_tokens=True, remember=False)
 
 
 STAGES = [
