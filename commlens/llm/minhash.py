@@ -15,11 +15,11 @@ differs from its own by at most the distance of a link are in its component, bec
 
 What is left is dealt anew. Let a node x have no link with its hub h. If x has a link with m, and m is not smaller than h, then x and m
 share a shingle that h lacks: otherwise x and m would have no more in common than x and h, which is too little. So nodes meet in buckets
-named by a hub and a shingle beyond it; x leaves out all but one of the shingles that such a link must share at least. The few nodes
-that a smaller m could link without such a shingle stay in their old bucket. From then on the hubs of a bucket, four at first and
-up to 16 times as many in each round, are nodes outside its most frequent component, are tested against other components only, and leave the
-bucket, until each bucket has one component. So a
-bucket of n copies costs n pairs and no link is given up.
+named by a hub and a shingle beyond it, the rarest first; x leaves out all but one of the shingles that such a link must share at least.
+The few nodes that a smaller m could link without such a shingle stay in their old bucket. From then on the hub of a bucket is its
+smallest node, so that no m is smaller, and leaves it; the others are tested against it and dealt anew in the same way, until each bucket
+has one component. The hubs that two nodes meet one after another grow, so this ends. A bucket of n nodes has n - 1 pairs in every
+round, whatever links there are among them, and no link is given up.
 
 Rows without doc_id link with nothing: component null, kept. Rows that share a doc_id are separate nodes. Repeated rows are linked by equal
 sets. An empty table gives an empty result. Other columns may have any name; `kept` takes a free name for its own.
@@ -146,14 +146,8 @@ def _joined(linked: DataFrame, links: DataFrame) -> DataFrame:
     return stored(named.unionByName(alone), "components")
 
 
-def _ordered(tested: DataFrame) -> DataFrame:
-    """The tested pairs, smaller node first."""
-    return tested.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
-
-
-def _several(rows: DataFrame, linked: DataFrame) -> DataFrame:
-    """key, node, n, component of rows(key, node, n) in buckets of several components; one bucket of those with the same nodes."""
-    rows = rows.join(linked, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows (key, node, n, component) in buckets of several components; one bucket of those with the same nodes."""
     buckets = rows.groupBy("key").agg(
         F.min("component").alias("x"),
         F.max("component").alias("y"),
@@ -164,56 +158,67 @@ def _several(rows: DataFrame, linked: DataFrame) -> DataFrame:
     return rows.join(single, "key", "left_semi")
 
 
-def _rarest(pending: DataFrame, weight: DataFrame, slots: int) -> DataFrame:
-    """key, hub, n_hub, of_hub: of each of so many slots of a bucket, a node of the component with the fewest nodes in the bucket, and
-    none of the component with the most."""
-    counted = pending.groupBy("key", "component").agg(F.count(F.lit(1)).alias("peers"))
-    most = counted.groupBy("key").agg(F.max(F.struct("peers", "component")).alias("most"))
-    few = counted.join(most, "key").where("component <> most.component").select("key", "component", "peers")
-    rows = pending.join(few, ["key", "component"]).join(weight.select("node", "weight"), "node")
-    slot = F.pmod(F.xxhash64("node", F.lit(slots)), F.lit(slots))
-    best = F.max(F.struct(-F.col("peers"), "weight", "node", "n", "component")).alias("top")
-    rows = rows.groupBy("key", slot.alias("slot")).agg(best)
-    return rows.select("key", F.col("top.node").alias("hub"), F.col("top.n").alias("n_hub"), F.col("top.component").alias("of_hub"))
+def _labelled(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """rows(node, ...) with the node's component."""
+    return rows.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What hub and node have in common, and the node's shingles beyond the hub, as many as a link of the node must meet."""
+    """How much hub and node have in common, and the node's shingles beyond the hub."""
     for batch in batches:
         common, beyond = [], []
-        for least, x, y in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+        for x, y in zip(*(batch.column(i).to_pylist() for i in (4, 5)), strict=True):
             x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            rest = np.setdiff1d(y, x, assume_unique=True)  # in order, as y
-            shared = len(y) - len(rest)
-            # a linked set has at least `least` shingles, and NEED per cent of the node's
-            smallest = max(least, -(-NEED * len(y) // 100))
-            must = max(1, -(-NEED * (len(y) + smallest) // (100 + NEED)) - shared)
-            common.append(shared)
-            beyond.append(rest[: max(0, len(rest) - must + 1)].view(np.int64))
+            rest = np.setdiff1d(y, x, assume_unique=True)
+            common.append(len(y) - len(rest))
+            beyond.append(rest.view(np.int64))
         yield pa.RecordBatch.from_arrays(
-            [*(batch.column(i) for i in range(3)), pa.array(common, pa.int64()), pa.array(beyond, pa.list_(pa.int64()))],
-            names=["hub", "node", "n", "common", "beyond"],
+            [*(batch.column(i) for i in range(4)), pa.array(common, pa.int64()), pa.array(beyond, pa.list_(pa.int64()))],
+            names=["hub", "node", "n_hub", "n", "common", "beyond"],
         )
 
 
-def _beyond_hubs(rows: DataFrame, sets: DataFrame, size: DataFrame) -> DataFrame:
-    """key, node, n of the new buckets for rows(key, hub, node, n), where no node is its bucket's hub."""
-    least = rows.groupBy("hub").agg(F.min("n").alias("least"))
-    pairs = rows.groupBy("hub", "node").agg(F.first("n").alias("n")).join(least, "hub")
+def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """hub, node, n_hub, n, common, beyond of pairs(hub, node, n_hub, n)."""
     of_hub = sets.select(F.col("node").alias("hub"), F.col("set").alias("x"))
     of_node = sets.select("node", F.col("set").alias("y"))
-    pairs = pairs.join(of_node, "node").join(of_hub, "hub").select("hub", "node", "n", "least", "x", "y")
-    pairs = stored(pairs.mapInArrow(tidy(_beyond), "hub long, node long, n long, common long, beyond array<long>"), "beyond")
-    dealt = pairs.select("hub", "node", "n", F.explode("beyond").alias("shingle"))
-    dealt = dealt.select(F.xxhash64("hub", "shingle").alias("key"), "node", "n").distinct()
+    pairs = pairs.join(of_node, "node").join(of_hub, "hub").select("hub", "node", "n_hub", "n", "x", "y")
+    schema = "hub long, node long, n_hub long, n long, common long, beyond array<long>"
+    return stored(pairs.mapInArrow(tidy(_beyond), schema), "beyond")
+
+
+def _dealt(measured: DataFrame) -> DataFrame:
+    """key, node, n, component of the new buckets: one for each hub and shingle beyond it that its nodes share.
+
+    A link of two nodes of a hub shares at least `must` shingles beyond it. With a node's shingles ordered by how many nodes of the
+    hub have them, rarest first, the first one they share is among all but the last `must` - 1 of either.
+    """
+    groups = measured.groupBy("hub").agg(
+        F.min("n").alias("least"), F.min("component").alias("first"), F.max("component").alias("last")
+    )
+    rows = measured.join(groups.where("first <> last").select("hub", "least"), "hub")
+    smallest = f"greatest(least, ({NEED} * n + 99) div 100)"
+    must = f"greatest(1L, ({NEED} * (n + {smallest}) + {99 + NEED}) div {100 + NEED} - common)"
+    rows = rows.select("hub", "node", "n", "component", "beyond", F.expr(f"size(beyond) - {must} + 1").alias("take")).where("take > 0")
+    each = rows.select("hub", "node", F.explode("beyond").alias("shingle"))
+    met = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
+    # of one document's own shingles
+    shared = each.join(met, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("met", "shingle"))).alias("shared"))
+    rows = rows.withColumn("alone", F.size("beyond")).drop("beyond").join(shared, ["hub", "node"])
+    rows = rows.withColumn("take", F.expr("cast(take - alone + size(shared) as int)")).where("take > 0")
+    rows = rows.select("hub", "node", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("at"))
+    return rows.select(F.xxhash64("hub", "at.shingle").alias("key"), "node", "n", "component")
+
+
+def _kept_back(rows: DataFrame, measured: DataFrame) -> DataFrame:
+    """key, node, n, component of the nodes of rows(key, hub, node) that a node smaller than the hub could link without a shingle
+    beyond it: these stay in their bucket."""
     # the largest set that could be linked with the node without a shingle beyond the hub: smaller than the hub
     reach = F.floor(((100 + NEED) * F.col("common") - NEED * F.col("n")) / NEED)
     apart = (100 + NEED) * F.col("common") < NEED * (F.col("n") + F.col("n_hub"))
-    known = rows.join(pairs.select("hub", "node", "common"), ["hub", "node"]).join(size, "hub")
-    known = known.select("key", "node", "n", F.when(apart, reach).alias("reach"))
+    known = rows.join(measured.select("hub", "node", "n", "component", F.when(apart, reach).alias("reach")), ["hub", "node"])
     bound = known.groupBy("key").agg(F.max("reach").alias("largest"), F.min("n").alias("smallest")).where("largest >= smallest")
-    old = known.join(bound, "key").where("n <= largest or reach >= smallest").select("key", "node", "n")
-    return dealt.unionByName(old)
+    return known.join(bound, "key").where("n <= largest or reach >= smallest").select("key", "node", "n", "component")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -246,33 +251,25 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     rows = pending.join(hubs, "key")
     pairs = rows.where("node <> hub").groupBy("hub", "node").agg(F.first("n").alias("n_node")).join(size, "hub")
     now = _tested(pairs, sets)
-    tested = _ordered(now)
     linked = stored(components(_links(now)), "components")
-    left = stored(_left(pending, hubs, now, linked), "buckets")
-    pending = stored(_several(_beyond_hubs(left.join(hubs, "key"), sets, size), linked), "buckets")
-    slots = 4
+    rows = stored(_left(pending, hubs, now, linked), "buckets").join(hubs, "key")
+    pairs = rows.groupBy("hub", "node").agg(F.first("n").alias("n")).join(size, "hub")
+    measured = _labelled(_measured(pairs, sets), linked)
+    again = _kept_back(rows.select("key", "hub", "node"), measured)
+    pending = stored(_several(_dealt(measured).unionByName(again)), "buckets")
+    sets = stored(sets.join(pending.select("node").distinct(), "node", "left_semi"), "sets")
     while not pending.isEmpty():
-        hubs = stored(_rarest(pending, weight, slots), "hubs")
-        rows = pending.join(hubs, "key").where("component <> of_hub").withColumnRenamed("n", "n_node")
-        hub_first = F.col("hub") < F.col("node")
-        rows = rows.select(
-            F.least("hub", "node").alias("hub"),
-            F.greatest("hub", "node").alias("node"),
-            F.when(hub_first, F.col("n_hub")).otherwise(F.col("n_node")).alias("n_hub"),
-            F.when(hub_first, F.col("n_node")).otherwise(F.col("n_hub")).alias("n_node"),
-            F.when(hub_first, F.col("of_hub")).otherwise(F.col("component")).alias("x"),
-            F.when(hub_first, F.col("component")).otherwise(F.col("of_hub")).alias("y"),
-        )
-        pairs = stored(rows.distinct().join(tested, ["hub", "node"], "left_anti"), "pairs")
-        now = _tested(pairs, sets)
-        tested = tested.unionByName(_ordered(now))
-        links = _links(now)
+        smallest = pending.groupBy("key").agg(F.min(F.struct("n", "node", "component")).alias("hub"))
+        rows = pending.join(smallest.select("key", "hub.*").toDF("key", "n_hub", "hub", "of_hub"), "key").where("node <> hub")
+        pairs = rows.groupBy("hub", "node").agg(*(F.first(c).alias(c) for c in ("n_hub", "n", "of_hub", "component")))
+        pairs = stored(pairs, "pairs")
+        measured = _measured(pairs, sets)
+        links = measured.where(f"100 * common >= {NEED} * (n + n_hub - common)").select("hub", "node")
+        ends = pairs.where("component <> of_hub").select("hub", "node", F.col("of_hub").alias("a"), F.col("component").alias("b"))
+        links = stored(links.join(ends, ["hub", "node"]).select("a", "b").distinct(), "links")
         if not links.isEmpty():
-            ends = pairs.select(F.col("hub").alias("a"), F.col("node").alias("b"), "x", "y")
-            linked = _joined(linked, links.join(ends, ["a", "b"]).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        done = hubs.select("key", F.col("hub").alias("node"))
-        pending = stored(_several(pending.drop("component").join(done, ["key", "node"], "left_anti"), linked), "buckets")
-        slots *= 16
+            linked = _joined(linked, links)
+        pending = stored(_several(_dealt(_labelled(measured, linked))), "buckets")
     found = nodes.select("node", "digest", "doc_id").join(linked, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
