@@ -108,8 +108,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes of intersection and union of two sets."""
     for batch in batches:
         both, either = [], []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column(2), batch.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             joint = np.sort(np.concatenate((x, y)), kind="stable")
             n = int(np.count_nonzero(joint[1:] == joint[:-1]))
             both.append(n)
@@ -165,10 +165,10 @@ def _labelled(rows: DataFrame, linked: DataFrame) -> DataFrame:
 
 def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How much hub and node have in common, and the node's shingles beyond the hub."""
-    for batch in batches:
+    for batch in (some for whole in batches for some in in_slices(whole, 5, HELD)):
         common, beyond = [], []
-        for x, y in zip(*(batch.column(i).to_pylist() for i in (4, 5)), strict=True):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        for x, y in zip(batch.column(4), batch.column(5), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
             rest = np.setdiff1d(y, x, assume_unique=True)
             common.append(len(y) - len(rest))
             beyond.append(rest.view(np.int64))
