@@ -19,7 +19,8 @@ named by a hub and a shingle beyond it, the rarest first; x leaves out all but o
 The few nodes that a smaller m could link without such a shingle stay in their old bucket. From then on the hub of a bucket is its
 smallest node, so that no m is smaller, and leaves it; the others are tested against it and dealt anew in the same way, until each bucket
 has one component. The hubs that two nodes meet one after another grow, so this ends. A bucket of n nodes has n - 1 pairs in every
-round, whatever links there are among them, and no link is given up.
+round, whatever links there are among them, and no link is given up. A bucket with few nodes outside its most frequent component (FEW)
+is finished at once: each of these is a hub, so that the pairs grow with n.
 
 Rows without doc_id link with nothing: component null, kept. Rows that share a doc_id are separate nodes. Repeated rows are linked by equal
 sets. An empty table gives an empty result. Other columns may have any name; `kept` takes a free name for its own.
@@ -43,6 +44,8 @@ BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 #: Bytes of text a task holds as strings.
 HELD = 1 << 20
+#: A bucket with at most so many nodes outside its most frequent component is finished by as many stars.
+FEW = 32
 #: Classes of distance, as wide as the distance of a link.
 QUARTERS = 100 // (100 - NEED)
 _EDGES = (np.arange(1, BINS, dtype=object) * (1 << 64) // BINS).astype(np.uint64)
@@ -221,6 +224,33 @@ def _kept_back(rows: DataFrame, measured: DataFrame) -> DataFrame:
     return known.join(bound, "key").where("n <= largest or reach >= smallest").select("key", "node", "n", "component")
 
 
+def _counted(pending: DataFrame) -> DataFrame:
+    """key, component, others: the most frequent component of each bucket and the number of nodes outside it."""
+    sizes = pending.groupBy("key", "component").agg(F.count(F.lit(1)).alias("nodes"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("nodes", "component")).alias("most"), F.sum("nodes").alias("all"))
+    return most.select("key", "most.component", (F.col("all") - F.col("most.nodes")).alias("others"))
+
+
+def _crossing(pending: DataFrame, few: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between components in buckets of few(key, component, others): each node outside the component is a hub."""
+    rows = pending.join(few.select("key", F.col("component").alias("common")), "key")
+    hubs = rows.where("component <> common").select(
+        "key", F.col("node").alias("hub"), F.col("n").alias("n_hub"), F.col("component").alias("of_hub")
+    )
+    # two hubs meet once
+    pairs = rows.join(hubs, "key").where("component <> of_hub and (component = common or hub < node)")
+    pairs = pairs.groupBy("hub", "node").agg(*(F.first(c).alias(c) for c in ("n_hub", "n", "of_hub", "component")))
+    pairs = stored(pairs, "pairs")
+    tested = _tested(pairs.select("hub", "node", "n_hub", F.col("n").alias("n_node")), sets)
+    return _named(_links(tested).toDF("hub", "node"), pairs)
+
+
+def _named(links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """links(hub, node) of pairs(hub, node, of_hub, component) as links (a, b) of components."""
+    ends = pairs.where("component <> of_hub").select("hub", "node", F.col("of_hub").alias("a"), F.col("component").alias("b"))
+    return links.join(ends, ["hub", "node"]).select("a", "b").distinct()
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, kept."""
     id_type = documents.schema["doc_id"].dataType.simpleString()
@@ -259,16 +289,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     pending = stored(_several(_dealt(measured).unionByName(again)), "buckets")
     sets = stored(sets.join(pending.select("node").distinct(), "node", "left_semi"), "sets")
     while not pending.isEmpty():
-        smallest = pending.groupBy("key").agg(F.min(F.struct("n", "node", "component")).alias("hub"))
-        rows = pending.join(smallest.select("key", "hub.*").toDF("key", "n_hub", "hub", "of_hub"), "key").where("node <> hub")
+        few = stored(_counted(pending).where(f"others <= {FEW}"), "few")
+        links = _crossing(pending, few, sets)
+        many = stored(pending.join(few, "key", "left_anti"), "buckets")
+        if many.isEmpty():
+            linked = _joined(linked, links)
+            break
+        smallest = many.groupBy("key").agg(F.min(F.struct("n", "node", "component")).alias("hub"))
+        rows = many.join(smallest.select("key", "hub.*").toDF("key", "n_hub", "hub", "of_hub"), "key").where("node <> hub")
         pairs = rows.groupBy("hub", "node").agg(*(F.first(c).alias(c) for c in ("n_hub", "n", "of_hub", "component")))
         pairs = stored(pairs, "pairs")
         measured = _measured(pairs, sets)
-        links = measured.where(f"100 * common >= {NEED} * (n + n_hub - common)").select("hub", "node")
-        ends = pairs.where("component <> of_hub").select("hub", "node", F.col("of_hub").alias("a"), F.col("component").alias("b"))
-        links = stored(links.join(ends, ["hub", "node"]).select("a", "b").distinct(), "links")
-        if not links.isEmpty():
-            linked = _joined(linked, links)
+        found = measured.where(f"100 * common >= {NEED} * (n + n_hub - common)").select("hub", "node")
+        linked = _joined(linked, links.unionByName(_named(found, pairs)))
         pending = stored(_several(_dealt(_labelled(measured, linked))), "buckets")
     found = nodes.select("node", "digest", "doc_id").join(linked, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
