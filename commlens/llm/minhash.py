@@ -142,6 +142,9 @@ def _links(tested: DataFrame) -> DataFrame:
 
 def _joined(linked: DataFrame, links: DataFrame) -> DataFrame:
     """linked(node, component) after links(a, b) between components: only the linked components' names are a graph, not all nodes."""
+    links = stored(links, "links")
+    if links.isEmpty():
+        return linked
     merged = stored(components(links), "merged")
     to = merged.select(F.col("node").alias("component"), F.col("component").alias("to"))
     named = linked.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))

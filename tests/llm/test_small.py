@@ -91,6 +91,27 @@ def test_near_chain_needs_no_common_hub(spark):
     assert all(linked) and set(got.values()) == {100}
 
 
+def test_near_large_group_against_brute_force(spark):
+    """300 near copies of one base that drift, so that few are linked with each other, in few rounds and with no link lost."""
+    base = prose(5, 300)
+    texts = []
+    for k in range(300):
+        words = list(base)
+        for j in range(2 + k % 9):
+            words[(37 * k + 61 * j + k * j) % 300] = f"x{k}y{j}"
+        texts.append(" ".join(words[: 300 - k % 40]))
+    frame = documents(spark, [(1000 + k, t) for k, t in enumerate(texts)])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame).collect()}
+    sets, least = [shingle_set(t) for t in texts], list(range(300))
+    pairs = [(a, b) for a in range(300) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        if least[a] != least[b]:
+            low, high = sorted((least[a], least[b]))
+            least = [low if x == high else x for x in least]
+    assert len(pairs) > 1000 and 1 < len(set(least)) < 290
+    assert [got[1000 + k] for k in range(300)] == [1000 + x for x in least]
+
+
 def test_repeats(spark, docs):
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring.repeats(docs).collect()), key=str)
     rows = [(i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in awkward()]
