@@ -2,18 +2,28 @@
 
 Words are 64-bit hashes. A text is parsed like this: each run of one word becomes a symbol; then, in LEVELS rounds, each symbol
 tosses a coin that depends on its name only, and a "heads" symbol followed by a "tails" symbol becomes one new symbol. Names are hashes
-of what they stand for, so they agree in all documents and rounds without a table of names. Symbols of runs take no part in pairs.
+of what they stand for, so they agree in all documents and rounds without a table of names. Two different stretches with one name cost
+candidates, never a wrong result: what is equal is decided by the words. Symbols of runs take no part in pairs.
 
 Equal passages are parsed alike except near their ends: a round changes at most one symbol at each end, of at most 2^round words, and
 the run step one word; so all symbols of a window of SIZE words that lie MARGIN words or more inside it are the same wherever the
 window occurs (runs apart). A window's anchor is the longest pair of neighbours among these, or else the longest of them, the largest
-name deciding ties. Windows that are equal have equal anchors; a window whose anchor occurs in one document only is not repeated. The others, and those without a
-symbol inside, are verified: their hashes are compared, and only these few windows are shuffled.
+name deciding ties. Windows that are equal have equal anchors; a window whose anchor occurs in one document only is not repeated. The
+others, and those without a symbol inside, are verified:
+
+1. Neighbouring windows with one anchor are a stretch of the text, of at most STRETCH windows. Stretches are grouped by the digest of
+   their words, so a passage that is repeated in full is one group for each of its stretches, however often it occurs.
+2. One stretch of each group is cut into windows, and these are grouped by the digests of their words. What is found goes back to all
+   occurrences of the stretch.
+
+Digests are the first 16 bytes of the SHA-256 of the words joined by spaces: with 10^13 windows, two different ones are equal with a
+probability of about 10^-13. Digests of many rows are joined by broadcasting them: there are fewer than HOT.
 
 A window is removed if its words also start in a document with a smaller doc_id. Of documents with equal word sequences, the one with
 the smallest doc_id stands for all: the others are removed whole, if they have SIZE words. A null text has no words; fewer than SIZE
 words give no window. Rows with a null doc_id are neither compared nor cut. Rows that share a doc_id are one document for comparing (none
-is cut because of another) and each is cut for itself. An empty table gives an empty result.
+is cut because of another) and each is cut for itself. An empty table gives an empty result. Columns other than doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,20 +37,27 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, mix, stored, words
+from .common import GOLDEN, WordHashes, in_slices, mix, stored, tidy, words
 
 SIZE, LEVELS = 50, 4
 MARGIN = 1 << LEVELS
+#: Windows of a stretch, at most.
+STRETCH = 64
+#: A digest with more than one of HOT rows is joined by broadcast.
+HOT = 2000
+#: Bytes of text, or of compressed text, that a task parses at once.
+SLICE, PACKED_SLICE = 1 << 20, 1 << 18
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
-def parse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, names of the symbols, and whether they are runs."""
+def parse(hashes: np.ndarray, barrier: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, names of the symbols, and whether they are runs. Places of `barrier` belong to no text and join no symbol."""
     n = len(hashes)
-    start = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    barrier = np.zeros(n, bool) if barrier is None else barrier
+    start = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | barrier[1:] | barrier[:-1])))
     end = np.append(start[1:], n)
     length = end - start
-    run = length > 1
+    run = (length > 1) | barrier[start]
     name = np.where(run, mix(hashes[start] + length.astype(np.uint64) * GOLDEN), hashes[start])
     for level in range(LEVELS):
         coin = (mix(name + np.array([level + 1], np.uint64) * GOLDEN) & np.uint64(1)).astype(bool) & ~run
@@ -56,9 +73,9 @@ def parse(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return start, end, name, run
 
 
-def anchors(hashes: np.ndarray) -> np.ndarray:
+def anchors(hashes: np.ndarray, barrier: np.ndarray | None = None) -> np.ndarray:
     """The anchor of each window; 0 for a window without one."""
-    start, end, name, run = parse(hashes)
+    start, end, name, run = parse(hashes, barrier)
     pairs = mix(name[:-1] * GOLDEN + name[1:])
     best = _longest(len(hashes), start[:-1], end[1:], pairs, run[:-1] | run[1:])
     none = best == 0
@@ -67,6 +84,21 @@ def anchors(hashes: np.ndarray) -> np.ndarray:
     return best
 
 
+def anchors_of(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """The anchors of several texts of SIZE words or more, parsed in one go with a barrier after each."""
+    if not parts:
+        return []
+    size = np.array([len(p) for p in parts])
+    first = np.cumsum(size + 1) - size - 1
+    whole = np.zeros(int(size.sum()) + len(parts), np.uint64)
+    for a, part in zip(first.tolist(), parts, strict=True):
+        whole[a : a + len(part)] = part
+    barrier = np.zeros(len(whole), bool)
+    barrier[first + size] = True
+    marks = anchors(whole, barrier)
+    return [marks[a : a + n - SIZE + 1] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+
+
 def _longest(n_words: int, start: np.ndarray, end: np.ndarray, name: np.ndarray, run: np.ndarray) -> np.ndarray:
     """For each window the length and name of the longest stretch well inside it; 0 without one."""
     n = n_words - SIZE + 1
@@ -91,34 +123,30 @@ def _longest(n_words: int, start: np.ndarray, end: np.ndarray, name: np.ndarray,
     return best
 
 
-def window_hashes(hashes: np.ndarray, size: int = SIZE) -> np.ndarray:
-    """Hash of each window of size words: by doubling, then one overlapping pair."""
-    value, width = mix(hashes), 1
-    while 2 * width <= size:
-        value = mix(value[: len(value) - width] * GOLDEN + value[width:])
-        width *= 2
-    if width < size:
-        shift = size - width
-        value = mix(value[: len(value) - shift] * GOLDEN + value[shift:])
-    return value
+def _digest(flat: bytes) -> bytes:
+    return hashlib.sha256(flat).digest()[:16]
+
+
+def _offsets(found: list[bytes]) -> np.ndarray:
+    """Where each word starts in the words joined by spaces, and one past the end of that text."""
+    return np.concatenate(([0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)))
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
-        n, digest, found, open_ended = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            own = words(text)
-            n.append(len(own))
-            digest.append(hashlib.sha256(b" ".join(own)).hexdigest())
-            marks = anchors(hashes.of(own)) if len(own) >= SIZE else np.zeros(0, np.uint64)
-            open_ended.append(bool((marks == 0).any()))
-            found.append(np.unique(marks[marks > 0]).view(np.int64))
+    for batch in (piece for whole in batches for piece in in_slices(whole, 1, SLICE)):
+        own = [words(text) for text in batch.column(1).to_pylist()]
+        found, open_ended = [[]] * len(own), [False] * len(own)
+        large = [i for i, w in enumerate(own) if len(w) >= SIZE]
+        for i, marks in zip(large, anchors_of([hashes.of(own[i]) for i in large]), strict=True):
+            some = np.unique(marks[np.concatenate(([True], marks[1:] != marks[:-1]))])
+            open_ended[i] = bool(some[0] == 0)
+            found[i] = some[some > 0].view(np.int64)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
-                pa.array(n, pa.int64()),
-                pa.array(digest, pa.string()),
+                pa.array([len(w) for w in own], pa.int64()),
+                pa.array([hashlib.sha256(b" ".join(w)).digest() for w in own], pa.binary()),
                 pa.array(found, pa.list_(pa.int64())),
                 pa.array(open_ended, pa.bool_()),
             ],
@@ -129,50 +157,105 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of texts with a window, the digest and the compressed words: this is what shuffles move."""
     packer = zstandard.ZstdCompressor()
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in in_slices(whole, 1, SLICE)):
         at, digest, packed = [], [], []
         for i, text in enumerate(batch.column(1).to_pylist()):
             own = words(text)
             if len(own) >= SIZE:
                 flat = b" ".join(own)
                 at.append(i)
-                digest.append(hashlib.sha256(flat).hexdigest())
+                digest.append(hashlib.sha256(flat).digest())
                 packed.append(packer.compress(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.string()), pa.array(packed, pa.binary())],
+            [batch.column(0).take(pa.array(at, pa.int64())), pa.array(digest, pa.binary()), pa.array(packed, pa.binary())],
             names=["doc_id", "digest", "packed"],
         )
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hash, row, doc_id and place of the windows whose anchor is shared, or that have none."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digest, row, doc_id, first window and number of windows of the stretches whose anchor is shared, or that have none."""
     hashes, unpacker = WordHashes(), zstandard.ZstdDecompressor()
-    for batch in batches:
-        row, doc, shared, texts = (batch.column(i) for i in range(4))
-        for i, packed in enumerate(texts.to_pylist()):
-            own = hashes.of(unpacker.decompress(packed).split())
-            marks = anchors(own).view(np.int64)
-            known = np.array(shared[i].as_py() or [], np.int64)
-            place = np.flatnonzero((marks == 0) | np.isin(marks, known))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(window_hashes(own)[place].view(np.int64)),
-                    pa.array(np.full(len(place), row[i].as_py(), np.int64)),
-                    doc.take(pa.array(np.full(len(place), i))),
-                    pa.array(place.astype(np.int32)),
-                ],
-                names=["window", "row", "doc_id", "place"],
-            )
+    for batch in (piece for whole in batches for piece in in_slices(whole, 3, PACKED_SLICE)):
+        texts = [unpacker.decompress(packed) for packed in batch.column(3).to_pylist()]
+        own = [flat.split() for flat in texts]
+        digest, at, places, sizes = [], [], [], []
+        for i, marks in enumerate(anchors_of([hashes.of(w) for w in own])):
+            known = np.array(batch.column(2)[i].as_py() or [], np.int64)
+            cut = np.concatenate(([True], marks[1:] != marks[:-1]))
+            first = np.flatnonzero(cut)
+            # long stretches are cut every STRETCH windows from their own start
+            since = np.arange(len(marks)) - first[np.cumsum(cut) - 1]
+            first = np.flatnonzero(since % STRETCH == 0)
+            end = np.append(first[1:], len(marks))
+            some = (marks[first] == 0) | np.isin(marks[first].view(np.int64), known)
+            first, end = first[some], end[some]
+            byte = _offsets(own[i])
+            flat = texts[i]
+            digest += [_digest(flat[a:b]) for a, b in zip(byte[first].tolist(), (byte[end + SIZE - 1] - 1).tolist(), strict=True)]
+            at.append(np.full(len(first), i))
+            places.append(first)
+            sizes.append(end - first)
+        of = pa.array(np.concatenate(at))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(digest, pa.binary()),
+                batch.column(0).take(of),
+                batch.column(1).take(of),
+                pa.array(np.concatenate(places).astype(np.int32)),
+                pa.array(np.concatenate(sizes).astype(np.int32)),
+            ],
+            names=["stretch", "row", "doc_id", "first", "size"],
+        )
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of stretches: digest, stretch, place in the stretch; and the stretch's smallest and largest doc_id and rows."""
+    unpacker = zstandard.ZstdDecompressor()
+    for batch in (piece for whole in batches for piece in in_slices(whole, 0, PACKED_SLICE)):
+        lists = batch.column(1)
+        fields = lists.values if isinstance(lists, pa.ListArray) else lists.flatten()
+        bounds = lists.offsets.to_numpy()
+        first, size = (fields.field(c).to_numpy() for c in ("first", "size"))
+        digest, of, place = [], [], []
+        for i, packed in enumerate(batch.column(0).to_pylist()):
+            flat = unpacker.decompress(packed)
+            byte = _offsets(flat.split())
+            begin, end = byte[:-SIZE].tolist(), (byte[SIZE:] - 1).tolist()
+            for j in range(bounds[i], bounds[i + 1]):
+                a, n = int(first[j]), int(size[j])
+                digest += [_digest(flat[x:y]) for x, y in zip(begin[a : a + n], end[a : a + n], strict=True)]
+                of.append(np.full(n, j))
+                place.append(np.arange(n, dtype=np.int32))
+        at = pa.array(np.concatenate(of))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(digest, pa.binary()), fields.field("stretch").take(at), pa.array(np.concatenate(place))]
+            + [fields.field(c).take(at) for c in ("least", "most", "rows")],
+            names=["window", "stretch", "place", "least", "most", "rows"],
+        )
+
+
+def meet(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left joined by key with right, which has `n`, the rows of left (of `total`) with that key.
+
+    Keys with more than a HOT-th of the rows, so fewer than HOT, are broadcast; no other key is large."""
+    frequent = F.col("n") > max(total // HOT, HOT)
+    often = F.broadcast(right.where(frequent).select(F.col(key).alias("_often"), F.struct(*right.columns).alias("_found")))
+    marked = left.join(often, left[key] == F.col("_often"), "left")
+    more = [c for c in right.columns if c != key]
+    hot = marked.where("_often is not null").select(*left.columns, *(F.col("_found")[c].alias(c) for c in more))
+    cold = marked.where("_often is null").select(*left.columns).join(right.where(~frequent), key)
+    return hot.unionByName(cold.select(*left.columns, *more))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digest of the kept words, their text, and the removed runs of words."""
     unpacker = zstandard.ZstdDecompressor()
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in in_slices(whole, 2, PACKED_SLICE)):
         out = []
         for packed, places in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             own = unpacker.decompress(packed).split()
             edge = np.zeros(len(own) + 1, np.int64)
+            places = [p for some in places for p in some]
             np.add.at(edge, np.array(places), 1)
             np.add.at(edge, np.array(places) + SIZE, -1)
             gone = np.cumsum(edge[:-1]) > 0
@@ -201,7 +284,7 @@ def repeats(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType.simpleString()
     parsed = stored(
         documents.select("doc_id", "text").mapInArrow(
-            _parsed, f"doc_id {kind}, n_words long, digest string, anchors array<long>, open_ended boolean"
+            tidy(_parsed), f"doc_id {kind}, n_words long, digest binary, anchors array<long>, open_ended boolean"
         ).withColumn("entry", F.monotonically_increasing_id()),
         "parsed",
     )
@@ -221,26 +304,42 @@ def repeats(documents: DataFrame) -> DataFrame:
     found = known.select("entry", "doc_id", "digest").join(found, "entry").drop("entry")
     found = found.dropDuplicates(["doc_id", "digest"])
     texts = documents.select("doc_id", "text").where("doc_id is not null")
-    texts = texts.mapInArrow(_packed, f"doc_id {kind}, digest string, packed binary")
+    texts = texts.mapInArrow(tidy(_packed), f"doc_id {kind}, digest binary, packed binary")
     joined = texts.join(found, ["doc_id", "digest"])
     suspects = stored(
         joined.select(F.monotonically_increasing_id().alias("row"), "doc_id", "shared", "packed", "digest"), "suspects"
     )
-    windows = stored(
+    stretches = stored(
         suspects.select("row", "doc_id", "shared", "packed").mapInArrow(
-            _windows, f"window long, row long, doc_id {kind}, place int"
+            tidy(_stretches), f"stretch binary, row long, doc_id {kind}, first int, size int"
+        ),
+        "stretches",
+    )
+    # equal words have equal sizes, and any occurrence in the smallest row will do
+    distinct = stretches.groupBy("stretch").agg(
+        F.min("row").alias("row"), F.min_by("first", "row").alias("first"), F.min("size").alias("size"),
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("rows"),
+    )
+    distinct = distinct.groupBy("row").agg(F.collect_list(F.struct("stretch", "first", "size", "least", "most", "rows")).alias("some"))
+    windows = stored(
+        suspects.select("row", "packed").join(distinct, "row").select("packed", "some").mapInArrow(  # of one document's own stretches
+            tidy(_windows), f"window binary, stretch binary, place int, least {kind}, most {kind}, rows long"
         ),
         "windows",
     )
-    twice = windows.groupBy("window").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y")
-    hits = windows.join(twice.select("window", "x"), "window").where("doc_id > x")
-    places = hits.groupBy("row").agg(F.collect_list("place").alias("places"))  # of one document's own windows
+    twice = windows.groupBy("window").agg(F.min("least").alias("x"), F.max("most").alias("y"), F.count(F.lit(1)).alias("n"))
+    hits = meet(windows, twice.where("x < y").drop("y"), "window", windows.count()).where("most > x")
+    # at most STRETCH windows of each
+    hits = hits.groupBy("stretch").agg(F.max("rows").alias("n"), F.collect_list(F.struct("place", "x")).alias("hits"))
+    own = meet(stretches.select("stretch", "row", "doc_id", "first"), hits, "stretch", stretches.count())
+    own = own.select("row", F.expr("transform(filter(hits, h -> h.x < doc_id), h -> first + h.place)").alias("some")).where("size(some) > 0")
+    places = own.groupBy("row").agg(F.collect_list("some").alias("places"))  # of one document's own windows
     cut = (
         suspects.join(places, "row")
         .select("doc_id", "digest", "packed", "places")
         .mapInArrow(
-            _cut,
-            f"doc_id {kind}, digest string, n_cut long, cut_sha256 string, cut_text string, "
+            tidy(_cut),
+            f"doc_id {kind}, digest binary, n_cut long, cut_sha256 string, cut_text string, "
             "cut_runs array<struct<first:int,end:int>>",
         )
         .dropDuplicates(["doc_id", "digest"])
@@ -252,7 +351,7 @@ def repeats(documents: DataFrame) -> DataFrame:
         "doc_id",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_cut", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("cut_sha256", "digest")).alias("kept_sha256"),
+        F.when(copy, F.lit(EMPTY)).otherwise(F.coalesce("cut_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
         F.when(copy, whole).otherwise(F.coalesce("cut_runs", F.expr("cast(array() as array<struct<first:int,end:int>>)"))).alias("removed"),
         F.when(~copy, F.col("cut_text")).alias("kept_text"),
     )
