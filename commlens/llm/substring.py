@@ -8,10 +8,11 @@ candidates, never a wrong result: what is equal is decided by the words. Symbols
 Equal passages are parsed alike except near their ends: a round changes at most one symbol at each end, of at most 2^round words, and
 the run step one word; so all symbols of a window of SIZE words that lie MARGIN words or more inside it are the same wherever the
 window occurs (runs apart). A window's anchor is the longest pair of neighbours among these, or else the longest of them, the largest
-name deciding ties. Windows that are equal have equal anchors; a window whose anchor occurs in one document only is not repeated. The
-others, and those without a symbol inside, are verified:
+name deciding ties, then the leftmost. Every window with this anchor holds the MARGIN words before and after it, too: the hash of all
+these words is the window's mark. Windows that are equal have equal marks; a window whose mark occurs in one document only is not
+repeated. The others, and those without a symbol inside, are verified:
 
-1. Neighbouring windows with one anchor are a stretch of the text, of at most STRETCH windows. Stretches are grouped by the digest of
+1. Neighbouring windows with one mark are a stretch of the text, of at most STRETCH windows. Stretches are grouped by the digest of
    their words, so a passage that is repeated in full is one group for each of its stretches, however often it occurs.
 2. One stretch of each group is cut into windows, and these are grouped by the digests of their words. What is found goes back to all
    occurrences of the stretch.
@@ -41,6 +42,8 @@ from .common import GOLDEN, WordHashes, in_slices, mix, stored, tidy, words
 
 SIZE, LEVELS = 50, 4
 MARGIN = 1 << LEVELS
+#: GOLDEN's inverse modulo 2^64.
+INVERSE = np.uint64(pow(int(GOLDEN), -1, 1 << 64))
 #: Windows of a stretch, at most.
 STRETCH = 64
 #: A digest with more than one of HOT rows is joined by broadcast.
@@ -74,18 +77,27 @@ def parse(hashes: np.ndarray, barrier: np.ndarray | None = None) -> tuple[np.nda
 
 
 def anchors(hashes: np.ndarray, barrier: np.ndarray | None = None) -> np.ndarray:
-    """The anchor of each window; 0 for a window without one."""
+    """The mark of each window; 0 for a window without an anchor."""
     start, end, name, run = parse(hashes, barrier)
-    pairs = mix(name[:-1] * GOLDEN + name[1:])
-    best = _longest(len(hashes), start[:-1], end[1:], pairs, run[:-1] | run[1:])
+    # sums of hashes times powers: divided by the power of its start, a difference depends on the stretch's words only
+    n = len(hashes)
+    power, inverse = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, x, np.uint64)))) for x in (GOLDEN, INVERSE))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:n], dtype=np.uint64)))
+
+    def marks(start: np.ndarray, end: np.ndarray, name: np.ndarray, run: np.ndarray) -> np.ndarray:
+        low, high = np.maximum(start - MARGIN, 0), np.minimum(end + MARGIN, n)
+        value = mix((sums[high] - sums[low]) * inverse[low] + (end - start).astype(np.uint64)) | np.uint64(1)
+        return np.append(value, np.uint64(0))[_longest(n, start, end, name, run)]
+
+    best = marks(start[:-1], end[1:], mix(name[:-1] * GOLDEN + name[1:]), run[:-1] | run[1:])
     none = best == 0
     if none.any():
-        best[none] = _longest(len(hashes), start, end, name, run)[none]
+        best[none] = marks(start, end, name, run)[none]
     return best
 
 
 def anchors_of(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """The anchors of several texts of SIZE words or more, parsed in one go with a barrier after each."""
+    """The marks of several texts of SIZE words or more, parsed in one go with a barrier after each."""
     if not parts:
         return []
     size = np.array([len(p) for p in parts])
@@ -100,29 +112,34 @@ def anchors_of(parts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def _longest(n_words: int, start: np.ndarray, end: np.ndarray, name: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """For each window the length and name of the longest stretch well inside it; 0 without one."""
+    """For each window the longest symbol well inside it, by largest name, then the leftmost; -1 without one."""
     n = n_words - SIZE + 1
+    best = np.full(n, -1)
     if not len(start):
-        return np.zeros(n, np.uint64)
+        return best
     rank = ((end - start).astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
     rank[run] = 0
     first = np.arange(n)
     low = np.searchsorted(start, first + MARGIN)
     high = np.searchsorted(end, first + SIZE - MARGIN, side="right")
     count = high - low
-    best = np.zeros(n, np.uint64)
-    # maxima over 1, 2, 4, ... symbols; two of them cover a window's symbols
-    width, table = 1, rank
+    # largest of 1, 2, 4, ... symbols; two of these stretches cover a window's symbols
+    width, table = 1, np.arange(len(rank))
     while True:
-        some = (count >= width) & (count < 2 * width)
-        best[some] = np.maximum(table[low[some]], table[high[some] - width])
+        some = np.flatnonzero((count >= width) & (count < 2 * width))
+        best[some] = _larger(rank, table[low[some]], table[high[some] - width])
         if 2 * width > len(table) or not (count >= 2 * width).any():
             break
-        table = np.concatenate((np.maximum(table[:-width], table[width:]), table[-width:]))
+        table = np.concatenate((_larger(rank, table[:-width], table[width:]), table[-width:]))
         width *= 2
+    best[(best >= 0) & (rank[best] == 0)] = -1
     return best
 
 
+def _larger(rank: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return np.where(rank[left] >= rank[right], left, right)
+
+
 def _digest(flat: bytes) -> bytes:
     return hashlib.sha256(flat).digest()[:16]
 
@@ -173,7 +190,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digest, row, doc_id, first window and number of windows of the stretches whose anchor is shared, or that have none."""
+    """Digest, row, doc_id, first window and number of windows of the stretches whose mark is shared, or that have none."""
     hashes, unpacker = WordHashes(), zstandard.ZstdDecompressor()
     for batch in (piece for whole in batches for piece in in_slices(whole, 3, PACKED_SLICE)):
         texts = [unpacker.decompress(packed) for packed in batch.column(3).to_pylist()]
