@@ -1,9 +1,12 @@
 """Personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, "://", plus signs, digits and cue words of accounts. At each anchor a
+One Aho-Corasick pass over a text finds anchors: at-signs, "://", plus signs, digits, cue words and prefixes of keys. At each anchor a
 local parser expands the span to both sides and validates it. Kinds, in the order used for ties:
-email, ip, card, phone (their exact rules are those of the reference patterns below), and the method's own: url (http, https, ftp)
-and account (a cue such as IBAN, account, Konto, compte, cuenta, then a number; an IBAN must pass its check digits).
+email, ip, card, phone (their exact rules are those of the reference patterns below), and the method's own: url (http, https, ftp);
+after a cue, account (a number; an IBAN must pass its check digits), ssn (no unused area, group or serial number), passport (six to nine
+capitals and digits, at least four of them digits), tax (an EIN, a German number with its check digit, a Spanish one with its letter, or
+a VAT number of a country that has them) and secret (a value of eight characters or more with letters and digits, behind ":" or "=");
+and, without a cue, secrets of well-known formats. A cue stands at the start of a word; cues in prose without such a value give nothing.
 
 Matches of a kind do not overlap and are the leftmost ones; a match that fails its validation is dropped, and the search goes on
 after it. Offsets are code points, ends exclusive. A null text is empty and has no spans. Each row is handled by itself, so repeated
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "url", "account")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "ssn", "passport", "tax", "secret")
 BASE_KINDS = KINDS[:4]
 SPANS = T.ArrayType(
     T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
@@ -34,6 +37,11 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 ACCOUNT = re.compile(r"[ \t]*(?:no|nr|number|num)?[ \t.:#=]*([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){10,30}|[0-9](?:[ -]?[0-9]){7,33})")
+FILLER = r"[ \t]*(?:(?i:no|nr|number|nummer|num|id|is|card)\b)?[ \t.:#=]{1,4}"
+SSN = re.compile(FILLER + r"([0-9]{3}([- ]?)[0-9]{2}\2[0-9]{4})(?![A-Za-z0-9])")
+PASSPORT = re.compile(FILLER + r"([A-Z0-9]{6,9})(?![A-Za-z0-9])")
+TAX = re.compile(FILLER + r"([0-9]{2}-[0-9]{7}|[0-9]{2}(?: ?[0-9]{3}){3}|[0-9]{8}-?[A-Z]|[A-Z]{2} ?[A-Z0-9]{8,12})(?![A-Za-z0-9])")
+SECRET = re.compile(r"[\"']?[ \t]{0,4}(?::|=|=>)[ \t]{0,4}(?:(?i:bearer) )?[\"']?([A-Za-z0-9_./+~!@#$%^&*-]{8,512}={0,2})")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = "0123456789"
 SCHEMES = ("https", "http", "ftp")
@@ -46,7 +54,33 @@ IBAN_LENGTHS = {
     "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24,
     "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
 }
-CUES = ("iban", "account", "acct", "konto", "compte", "cuenta")
+# Cues by kind, countries with VAT numbers, letters of Spanish tax numbers, public formats of keys.
+CUES = {
+    "account": ("iban", "account", "acct", "konto", "compte", "cuenta"),
+    "ssn": ("ssn", "social security"),
+    "passport": ("passport", "reisepass", "passeport", "pasaporte"),
+    "tax": ("tax id", "tax number", "taxpayer id", "ein", "vat", "vat id", "steuer-id", "steuernummer", "ust-idnr", "nif", "tva"),
+    "secret": (
+        "api key", "api_key", "api-key", "apikey", "access key", "access_key", "access-key", "secret key", "secret_key", "secret-key",
+        "secret", "token", "password", "passwd", "pwd", "passphrase", "authorization", "passwort", "kennwort", "mot de passe", "contraseña",
+    ),
+}
+VAT_COUNTRIES = frozenset("AT BE BG CY CZ DE DK EE EL ES FI FR GB HR HU IE IT LT LU LV MT NL PL PT RO SE SI SK XI".split())
+NIF_LETTERS = "TRWAGMYFPDXBNJZSQVHLCKE"
+FORMATS = {
+    "AKIA": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "ASIA": re.compile(r"ASIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "AIza": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z])"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "gho_": re.compile(r"gho_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "ghs_": re.compile(r"ghs_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "glpat-": re.compile(r"glpat-[0-9A-Za-z_-]{20}(?![0-9A-Za-z])"),
+    "xoxb-": re.compile(r"xoxb-[0-9A-Za-z-]{10,250}"),
+    "xoxp-": re.compile(r"xoxp-[0-9A-Za-z-]{10,250}"),
+    "sk_live_": re.compile(r"sk_live_[0-9A-Za-z]{16,250}"),
+    "eyJ": re.compile(r"eyJ[0-9A-Za-z_-]{8,2000}\.eyJ[0-9A-Za-z_-]{8,4000}\.[0-9A-Za-z_-]{8,2000}"),
+    "-----BEGIN ": re.compile(r"-----BEGIN (?:[A-Z]{2,10} )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,20000}(?:-----END (?:[A-Z]{2,10} )?PRIVATE KEY-----)?"),
+}
 
 
 def automaton() -> ahocorasick.Automaton:
@@ -57,9 +91,13 @@ def automaton() -> ahocorasick.Automaton:
     found.add_word("@", ("at", 1))
     found.add_word("+", ("plus", 1))
     found.add_word("://", ("scheme", 3))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.title()}:
-            found.add_word(form, ("cue", len(form)))
+    for kind, cues in CUES.items():
+        for cue in cues:
+            forms = {cue, cue.upper(), cue.title(), cue.capitalize(), cue.replace("api", "API")}
+            for form in forms | {re.sub(r"\b[Ii]d\b", "ID", f) for f in forms}:
+                found.add_word(form, (kind, len(form)))
+    for prefix in FORMATS:
+        found.add_word(prefix, ("format", len(prefix)))
     found.make_automaton()
     return found
 
@@ -90,6 +128,40 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if c in DIGITS)
 
 
+def ssn(text: str) -> bool:
+    d = _digits(text)
+    return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+
+def passport(text: str) -> bool:
+    return len(_digits(text)) >= 4
+
+
+def german_tax(digits: str) -> bool:
+    """ISO 7064, MOD 11, 10."""
+    rest = 10
+    for c in digits[:-1]:
+        rest = ((rest + int(c)) % 10 or 10) * 2 % 11
+    return digits[0] != "0" and (11 - rest) % 10 == int(digits[-1])
+
+
+def tax(text: str) -> bool:
+    d = _digits(text)
+    if text[0] not in DIGITS:
+        return text[:2] in VAT_COUNTRIES and len(d) >= 7
+    if text[-1] not in DIGITS:
+        return NIF_LETTERS[int(d) % 23] == text[-1]
+    return text[2] == "-" or german_tax(d)
+
+
+def secret(text: str) -> bool:
+    return any(c in DIGITS for c in text) and any(c.isalpha() for c in text)
+
+
+#: Pattern and validation of what follows a cue; accounts have a rule of their own.
+AFTER = {"ssn": (SSN, ssn), "passport": (PASSPORT, passport), "tax": (TAX, tax), "secret": (SECRET, secret)}
+
+
 def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]]:
     """(start, place of the kind in KINDS, end) of all spans, in order."""
     out: list[tuple[int, int, int]] = []
@@ -124,11 +196,23 @@ def find(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, int]
                 done[4] = m.end()
                 if end > last + 1:
                     out.append((at - len(scheme), 4, end))
-        elif at >= done[5] and (at == 0 or not text[at - 1].isalnum()) and (m := ACCOUNT.match(text, last + 1)):
-            length = len(m[1]) if m[1][0] in DIGITS else iban_length(m[1])
-            done[5] = m.start(1) + length if length else m.end()
-            if length:
-                out.append((m.start(1), 5, m.start(1) + length))
+        elif at and text[at - 1].isalnum():
+            continue  # inside a word
+        elif anchor == "account":
+            if at >= done[5] and (m := ACCOUNT.match(text, last + 1)):
+                length = len(m[1]) if m[1][0] in DIGITS else iban_length(m[1])
+                done[5] = m.start(1) + length if length else m.end()
+                if length:
+                    out.append((m.start(1), 5, m.start(1) + length))
+        elif anchor == "format":
+            if at >= done[9] and (m := FORMATS[text[at : last + 1]].match(text, at)):
+                done[9] = m.end()
+                out.append((at, 9, m.end()))
+        else:
+            place, (pattern, valid) = KINDS.index(anchor), AFTER[anchor]
+            if at >= done[place] and (m := pattern.match(text, last + 1)) and valid(value := m[1].rstrip(".!")):
+                done[place] = m.start(1) + len(value)
+                out.append((m.start(1), place, done[place]))
     return sorted(out)
 
 

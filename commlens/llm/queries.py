@@ -51,6 +51,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(k) for k in pii.BASE_KINDS),
         F.sha2(pii.listed(base), 256).alias("base_sha256"),
         pii.listed(F.col("spans")).alias("spans"),
+        *(count(k) for k in pii.KINDS[len(pii.BASE_KINDS) :]),
     )
 
 
