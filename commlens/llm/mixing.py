@@ -5,7 +5,7 @@ that the expected tokens of each domain, sum over documents of tokens * posterio
 from a start rate (least squares, weighted by tokens). The rates of that optimum are max(lowest, start + posterior . slope) with one
 slope for each domain, found by damped Newton steps on the convex dual. Each step is one distributed sum of some k * k numbers for k
 domains. A rate is a function of its document's posterior and of the slopes only, so no state per document is kept between steps,
-and nothing of a document's size reaches the driver.
+and nothing of a document's size reaches the driver. The sums are exact over tasks: their order, or a retried task, cannot change a rate.
 
 Steps end when no domain misses its target by more than TOLERANCE of all tokens, or when the largest miss stops falling (by less than
 a hundredth in PATIENCE steps): no rates meet the targets then. `Mix.missing` has what each domain misses, and it is logged.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import logging
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from decimal import Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -38,6 +39,8 @@ from .common import free_name, stored
 TARGETS = {"en": 0.5, "fr": 0.15, "de": 0.15, "es": 0.15, "junk": 0.05}
 MAX_LABELLED = 50_000
 TOLERANCE, PATIENCE = 1e-4, 20
+#: Sums over tasks are of decimals of this unit, so that their order, or a retried task, cannot change them.
+UNIT, EXACT = Decimal(1).scaleb(-18), Context(prec=38)
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 log = logging.getLogger(__name__)
@@ -158,12 +161,12 @@ def fit(
                     dual = np.where(above, start * z + z * z / 2, lowest * z - (lowest - start) ** 2 / 2)
                     own = (np.maximum(lowest, start + z) * n) @ p
                     out += np.concatenate([[n @ dual], own, ((q * (n * above)[:, None]).T @ q).ravel()])
-            yield pd.DataFrame({"place": range(len(out)), "value": out})
+            yield pd.DataFrame({"place": range(len(out)), "value": [EXACT.quantize(Decimal(x), UNIT) for x in out / n_tokens]})
 
-        sums = rows.mapInPandas(partial, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
+        sums = rows.mapInPandas(partial, "place int, value decimal(38,18)").groupBy("place").agg(F.sum("value").alias("value"))
         out = np.zeros(1 + k + k * k)
         for r in sums.collect():  # 1 + k + k * k rows
-            out[r.place] = r.value / n_tokens
+            out[r.place] = float(r.value)
         own = out[1 : 1 + k]
         return out[0] - aim @ slopes, aim - (own - centre * own.sum()), out[1 + k :].reshape(k, k), own
 

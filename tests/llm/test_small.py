@@ -386,6 +386,28 @@ def test_mixing_meets_far_targets(spark, letters):
     assert np.allclose(left, mix.missing, atol=1e-6)
 
 
+def test_mixing_against_projected_gradient(spark):
+    """Rates equal those of plain projected gradient steps on every document's rate, run until they stand still."""
+    alphabet = {"en": "abcdef", "fr": "efghij", "de": "ijklmn", "es": "mnopqa", "junk": "#%&a"}
+    rng, rows, labels = random.Random(11), [], []
+    for i in range(400):
+        lang = list(alphabet)[min(i % 8, 4)]
+        rows.append((i, " ".join("".join(rng.choices(alphabet[lang], k=5)) for _ in range(rng.randrange(1, 30))), "en" if lang == "junk" else lang))
+        labels.append((i, int(lang != "junk")))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    mix = mixing.fit(frame, spark.createDataFrame(labels, "doc_id long, quality int"))
+    found = mixing.mixed(frame.repartition(7), mix).select("_mix.*").collect()
+    p, n, rate = (np.array([r[c] for r in found]) for c in ("posteriors", "n_tokens", "rate"))
+    aim, plain = np.array(list(mixing.TARGETS.values())), np.ones(len(n))
+    share = n / n.sum()
+    step = 1 / np.linalg.eigvalsh((p * share[:, None]).T @ p).max()
+    for _ in range(30_000):
+        plain = np.maximum(0, plain - step * p @ ((plain * share) @ p - aim))
+    assert np.abs((plain * share) @ p - aim).max() < 1e-6
+    # both meet the targets; steps from 1 that are cut at 0 end near, not at, the nearest such rates
+    assert share @ (rate - 1) ** 2 <= share @ (plain - 1) ** 2 + 1e-4 and share @ (rate - plain) ** 2 < 0.01
+
+
 def test_mixing_reports_what_it_cannot_meet(spark):
     """Without a document in Spanish the others keep their proportions, and the share of Spanish is reported."""
     rows = [(i, "abc abd " * 5 if i % 3 else "xyz xxy " * 5, "en" if i % 3 else "fr") for i in range(60)]
