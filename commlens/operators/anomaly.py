@@ -239,7 +239,31 @@ def campaign_underperformance(
 
 
 # --- one status row per detector -------------------------------------------------------------------------------
-# The summary sentences below.
+# The summary sentences below, and the columns of flagged items.
+
+SEGMENT_FIELDS = ["segment", "current_week_avg", "previous_week_avg", "drop_pct", "drop_pct_label"]
+COMPLAINT_FIELDS = ["date", "complaints", "total_sent", "complaint_rate", "zscore"]
+CAMPAIGN_FIELDS = [
+    "campaign_id",
+    "open_rate",
+    "open_rate_label",
+    "median_open_rate",
+    "pct_of_median",
+    "total_sent",
+    "complaint_count",
+    "avg_engagement",
+]
+
+
+def _items(order: list[Column], fields: list[str]) -> Column:
+    """Flagged rows of an aggregate as an ordered array of text maps. One entry per flagged segment, day or
+    campaign; the rows behind it are long aggregated."""
+    entry = F.struct(
+        *[o.alias(f"o{i}") for i, o in enumerate(order)],
+        *[F.col(f).cast("string").alias(f) for f in fields],
+    )
+    flagged = F.array_sort(F.collect_list(F.when(F.col("flagged"), entry)))
+    return F.transform(flagged, lambda e: F.create_map(*[x for f in fields for x in (F.lit(f), e[f])]))
 
 
 def _metadata(**values: Column) -> Column:
@@ -247,8 +271,15 @@ def _metadata(**values: Column) -> Column:
 
 
 def _status(
-    totals: DataFrame, position: int, detector: str, summary: Column, metadata: Column, flagged: Column
+    totals: DataFrame,
+    position: int,
+    detector: str,
+    summary: Column,
+    metadata: Column,
+    flagged: Column,
+    segments: Column | None = None,
 ) -> DataFrame:
+    names = F.lit(None) if segments is None else segments
     return totals.select(
         F.lit(position).alias("position"),
         F.lit(detector).alias("detector"),
@@ -256,6 +287,8 @@ def _status(
         summary.alias("summary"),
         metadata.alias("metadata"),
         F.col("n").alias("n_flagged"),
+        "anomalies",
+        names.cast("array<string>").alias("segments"),
     )
 
 
@@ -269,7 +302,9 @@ def _segment_status(measures: DataFrame, settings: Settings) -> DataFrame:
     totals = _segment_weeks(measures, threshold).agg(
         F.count_if("flagged").alias("n"),
         F.count("*").alias("compared"),
+        F.array_sort(F.collect_list("segment")).alias("segments"),
         worst.alias("worst"),
+        _items([F.col("segment")], SEGMENT_FIELDS).alias("anomalies"),
     )
     found = F.concat(
         F.col("n").cast("string"),
@@ -291,7 +326,7 @@ def _segment_status(measures: DataFrame, settings: Settings) -> DataFrame:
         current_week_start=F.date_sub(today, 6),
         previous_week_start=F.date_sub(today, 13),
     )
-    return _status(totals, 0, SEGMENT_DROP, F.when(flagged, found).otherwise(clean), metadata, flagged)
+    return _status(totals, 0, SEGMENT_DROP, F.when(flagged, found).otherwise(clean), metadata, flagged, F.col("segments"))
 
 
 def _complaint_status(measures: DataFrame, settings: Settings) -> DataFrame:
@@ -306,6 +341,7 @@ def _complaint_status(measures: DataFrame, settings: Settings) -> DataFrame:
         F.max("mean_complaints").alias("mean"),
         F.max("std_complaints").alias("std"),
         worst.alias("worst"),
+        _items([-F.col("zscore"), F.col("date")], COMPLAINT_FIELDS).alias("anomalies"),
     )
     few = F.col("days") < 3
     uniform = F.col("std") == 0
@@ -358,6 +394,7 @@ def _campaign_status(measures: DataFrame, settings: Settings) -> DataFrame:
         F.count_if("flagged").alias("n"),
         F.max("median_raw").alias("median"),
         worst.alias("worst"),
+        _items([F.col("open_rate"), F.col("campaign_id")], CAMPAIGN_FIELDS).alias("anomalies"),
     )
     flagged = F.col("n") > 0
     found = F.concat(
@@ -401,11 +438,12 @@ def selected(detector: str | None) -> list[str]:
 
 
 def detector_status(df: DataFrame, detector: str | None = ALL, settings: Settings = DEFAULTS) -> DataFrame:
-    """detector, flagged, summary, metadata, n_flagged: one row per selected detector.
+    """detector, flagged, summary, metadata, n_flagged, anomalies, segments: one row per selected detector.
 
-    The flagged segments, days and campaigns themselves are rows of ``detector_items``. For several detectors the rollup, a
-    few rows per day, is checkpointed in the shared folder, so the table is read once, every call reads it anew, and
-    nothing is left in memory.
+    ``anomalies`` lists the flagged segments, days or campaigns in the detector's order, ``segments`` the names of those compared
+    (NULL for the other detectors); where they are many, ``detector_items`` has them as rows, and columns that are not selected are
+    not collected. For several detectors the rollup, a few rows per day, is checkpointed in the shared folder, so the table is read
+    once, every call reads it anew, and nothing is left in memory.
     """
     names = selected(detector)
     return status_of(_measures(df, names), detector, settings)
@@ -436,21 +474,18 @@ def _flagged(rows: DataFrame, detector: str, fields: list[str], key: str, rank:
 
 
 def _segment_items(measures: DataFrame, settings: Settings) -> DataFrame:
-    fields = ["segment", "current_week_avg", "previous_week_avg", "drop_pct", "drop_pct_label"]
     rows = _segment_weeks(measures, settings.engagement_drop_threshold)
-    return _flagged(rows, SEGMENT_DROP, fields, "segment", F.lit(0.0))
+    return _flagged(rows, SEGMENT_DROP, SEGMENT_FIELDS, "segment", F.lit(0.0))
 
 
 def _complaint_items(measures: DataFrame, settings: Settings) -> DataFrame:
-    fields = ["date", "complaints", "total_sent", "complaint_rate", "zscore"]
     rows = _complaint_days(measures, settings.complaint_zscore_threshold)
-    return _flagged(rows, COMPLAINT_SPIKE, fields, "date", -F.col("zscore"))
+    return _flagged(rows, COMPLAINT_SPIKE, COMPLAINT_FIELDS, "date", -F.col("zscore"))
 
 
 def _campaign_items(measures: DataFrame, settings: Settings) -> DataFrame:
-    fields = ["campaign_id", "open_rate", "open_rate_label", "median_open_rate", "pct_of_median", "total_sent"]
     rows = _campaigns(measures, settings.campaign_open_rate_ratio)
-    return _flagged(rows, CAMPAIGN, [*fields, "complaint_count", "avg_engagement"], "campaign_id", F.col("open_rate"))
+    return _flagged(rows, CAMPAIGN, CAMPAIGN_FIELDS, "campaign_id", F.col("open_rate"))
 
 
 _ITEMS = {SEGMENT_DROP: _segment_items, COMPLAINT_SPIKE: _complaint_items, CAMPAIGN: _campaign_items}

@@ -220,6 +220,17 @@ def test_one_detector_agrees_with_all(spark, cases, detector):
     assert alone == [r for r in records(anomaly.detector_status(cases)) if r["detector"] == detector]
 
 
+def test_status_lists_what_it_counts(spark):
+    df = never_opened(dated(spark, rows_per_day=15, drop_segment="Premium", spike_day=5), "CAMP_002")
+    status = {r["detector"]: r for r in records(anomaly.detector_status(df))}
+    items = sorted(records(anomaly.detector_items(df)), key=lambda r: r["position"])
+    for detector, row in status.items():
+        assert row["anomalies"] == [r["fields"] for r in items if r["detector"] == detector]
+        assert len(row["anomalies"]) == row["n_flagged"] > 0
+    assert status[anomaly.SEGMENT_DROP]["segments"] == ["Basic", "Premium", "Standard"]
+    assert status[anomaly.CAMPAIGN]["segments"] is None
+
+
 def test_detector_selection():
     assert anomaly.selected(None) == anomaly.selected("all") == anomaly.DETECTORS
     with pytest.raises(ValueError, match="not_a_real_detector"):
