@@ -49,6 +49,10 @@ class Training:
     metrics: dict[str, Any]
 
 
+def _fit_partitions(train_rows: int, settings: Settings) -> int:
+    return max(settings.min_fit_partitions, -(-train_rows // settings.rows_per_fit_partition))
+
+
 def prepare(df: DataFrame, settings: Settings = DEFAULTS, levels: Levels | None = None) -> TrainingSet:
     """Features, split and balanced weights, laid out by id and checkpointed.
 
@@ -72,7 +76,7 @@ def prepare(df: DataFrame, settings: Settings = DEFAULTS, levels: Levels | None
     cuts = df.sparkSession.createDataFrame(found, classes.schema)
     featured = build_features(df, levels)
     slotted = assign_slots(featured, cuts, settings)
-    partitions = max(settings.min_fit_partitions, -(-train_rows // settings.rows_per_fit_partition))
+    partitions = _fit_partitions(train_rows, settings)
     rows = (
         slotted.select(
             ID,
@@ -114,15 +118,29 @@ def cross_validate(
     return [float("nan") if area is None else area for area in areas]
 
 
+def fits_at_once(training_set: TrainingSet, settings: Settings = DEFAULTS, parallelism: int = 1) -> int:
+    """How many of ``parallelism`` fits to run at once: those whose rows fit in memory together, or as many as it takes to
+    give every core a task.
+
+    A fit keeps its rows, with a count per tree, in memory and reads them once per level of the trees. Five fits at
+    once hold four times the training part; what does not fit is serialized to disk and read back at every level.
+    """
+    rows = max(1, training_set.train_rows * (settings.folds - 1) // settings.folds)
+    cores = training_set.rows.sparkSession.sparkContext.defaultParallelism
+    busy = -(-cores // _fit_partitions(training_set.train_rows, settings))
+    return max(1, min(parallelism, max(busy, settings.rows_fitted_at_once // rows)))
+
+
 def fold_metrics(training_set: TrainingSet, settings: Settings = DEFAULTS, parallelism: int = 1) -> list[DataFrame]:
-    """One lazy row per fold: fold, rows, positives, roc_auc. The fits run at once, the scoring and ranking when a row is read."""
+    """One lazy row per fold: fold, rows, positives, roc_auc. The fits run now, at most ``parallelism`` at once, the scoring and
+    ranking when a row is read."""
 
     def one(fold: int) -> DataFrame:
         model = fit(training_set.train.where(F.col("slot") != fold), settings)
         found = ranking(_scored(model, training_set.train.where(F.col("slot") == fold)), "score", "label")
         return found.select(F.lit(fold).alias("fold"), "*")
 
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+    with ThreadPoolExecutor(max_workers=fits_at_once(training_set, settings, parallelism)) as pool:
         return list(pool.map(one, range(1, settings.folds + 1)))
 
 

@@ -43,6 +43,9 @@ class Settings:
     # because the forest's bootstrap depends on the layout
     rows_per_fit_partition: int = 1_000_000
     min_fit_partitions: int = 8
+    # rows that the folds' fits may hold in memory together (0.61 KB each with 100 trees): fits that overflow it
+    # read their rows back from disk at every level. Changes the time only, never the result
+    rows_fitted_at_once: int = 12_000_000
     bootstrap: bool = True
     feature_subset: str = "sqrt"
 

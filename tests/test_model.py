@@ -1,3 +1,6 @@
+from dataclasses import replace
+from threading import Lock
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +167,42 @@ def test_the_forest_does_not_depend_on_the_layout(cases):
     assert one.trees.toDebugString.split("\n", 1)[1] == other.trees.toDebugString.split("\n", 1)[1]
 
 
+def test_folds_fitted_at_once_fit_in_memory_together(cases, monkeypatch):
+    settings = Settings(trees=3, depth=3)
+    training_set, fit = training.prepare(cases, settings), training.fit
+    lock, running, peaks = Lock(), [0], []
+
+    def counted(rows, settings):
+        with lock:
+            running[0] += 1
+            peaks[-1] = max(peaks[-1], running[0])
+        try:
+            return fit(rows, settings)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    def areas(at_once):
+        peaks.append(0)
+        return training.cross_validate(training_set, settings.override(rows_fitted_at_once=at_once), parallelism=5)
+
+    monkeypatch.setattr(training, "fit", counted)
+    # a fit reads four fifths of the 8,000 training rows
+    one, five = areas(6_399), areas(32_000)
+    assert peaks[0] == 1 and len(one) == 5 and one == five
+
+
+def test_fits_at_once_follow_the_rows(cases):
+    small = training.prepare(cases)
+    # the session has 8 cores and a fit at least 8 tasks
+    assert training.fits_at_once(small, parallelism=5) == 5 and training.fits_at_once(small) == 1
+    gb, six_gb = replace(small, train_rows=4_800_000), replace(small, train_rows=28_800_000)
+    assert training.fits_at_once(gb, parallelism=5) == 3 and training.fits_at_once(six_gb, parallelism=5) == 1
+    # with fewer tasks than cores, idle cores take another fit
+    few = Settings(min_fit_partitions=2, rows_fitted_at_once=1)
+    assert training.fits_at_once(small, few, parallelism=5) == 4
+
+
 def test_one_class_cannot_be_trained(spark):
     df = frame(spark, *[case(customer_id=f"C{i}") for i in range(10)])
     with pytest.raises(ValueError, match="both classes"):
