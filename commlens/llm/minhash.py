@@ -24,6 +24,8 @@ is finished at once: each of these is a hub, so that the pairs grow with n.
 
 Rows without doc_id link with nothing: component null, kept. Rows that share a doc_id are separate nodes. Repeated rows are linked by equal
 sets. An empty table gives an empty result. Other columns may have any name; `kept` takes a free name for its own.
+
+What a step reads more than once is a table, so that a plan holds few shuffles: the driver's memory goes by the size of its plans.
 """
 
 from __future__ import annotations
@@ -169,6 +171,12 @@ def _labelled(rows: DataFrame, linked: DataFrame) -> DataFrame:
     return rows.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
+def _components_of(measured: DataFrame, linked: DataFrame) -> DataFrame:
+    """hub, node, n_hub, n, common, alone (shingles beyond the hub) and component of the measured pairs."""
+    pairs = measured.select("hub", "node", "n_hub", "n", "common", F.size("beyond").alias("alone"))
+    return stored(_labelled(pairs, linked), "labelled")
+
+
 def _beyond(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How much hub and node have in common, and the node's shingles beyond the hub."""
     for batch in (some for whole in batches for some in in_slices(whole, 5, HELD)):
@@ -193,36 +201,40 @@ def _measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return stored(pairs.mapInArrow(tidy(_beyond), schema), "beyond")
 
 
-def _dealt(measured: DataFrame) -> DataFrame:
-    """key, node, n, component of the new buckets: one for each hub and shingle beyond it that its nodes share.
+def _dealt(measured: DataFrame, labelled: DataFrame) -> DataFrame:
+    """key, node, n, component of the new buckets: one for each hub and shingle beyond it that its nodes share. labelled: as from
+    _components_of(measured).
 
     A link of two nodes of a hub shares at least `must` shingles beyond it. With a node's shingles ordered by how many nodes of the
     hub have them, rarest first, the first one they share is among all but the last `must` - 1 of either.
     """
-    groups = measured.groupBy("hub").agg(
+    groups = labelled.groupBy("hub").agg(
         F.min("n").alias("least"), F.min("component").alias("first"), F.max("component").alias("last")
     )
-    rows = measured.join(groups.where("first <> last").select("hub", "least"), "hub")
+    rows = labelled.join(groups.where("first <> last").select("hub", "least"), "hub")
     smallest = f"greatest(least, ({NEED} * n + 99) div 100)"
     must = f"greatest(1L, ({NEED} * (n + {smallest}) + {99 + NEED}) div {100 + NEED} - common)"
-    rows = rows.select("hub", "node", "n", "component", "beyond", F.expr(f"size(beyond) - {must} + 1").alias("take")).where("take > 0")
-    each = rows.select("hub", "node", F.explode("beyond").alias("shingle"))
+    rows = rows.select("hub", "node", "n", "component", "alone", F.expr(f"alone - {must} + 1").alias("take")).where("take > 0")
+    rows = stored(rows, "dealt")
+    beyond = measured.select("hub", "node", "beyond").join(rows.select("hub", "node"), ["hub", "node"], "left_semi")
+    each = beyond.select("hub", "node", F.explode("beyond").alias("shingle"))
     met = each.groupBy("hub", "shingle").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     # of one document's own shingles
     shared = each.join(met, ["hub", "shingle"]).groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("met", "shingle"))).alias("shared"))
-    rows = rows.withColumn("alone", F.size("beyond")).drop("beyond").join(shared, ["hub", "node"])
+    rows = rows.join(shared, ["hub", "node"])
     rows = rows.withColumn("take", F.expr("cast(take - alone + size(shared) as int)")).where("take > 0")
     rows = rows.select("hub", "node", "n", "component", F.explode(F.slice("shared", F.lit(1), F.col("take"))).alias("at"))
     return rows.select(F.xxhash64("hub", "at.shingle").alias("key"), "node", "n", "component")
 
 
-def _kept_back(rows: DataFrame, measured: DataFrame) -> DataFrame:
+def _kept_back(rows: DataFrame, labelled: DataFrame) -> DataFrame:
     """key, node, n, component of the nodes of rows(key, hub, node) that a node smaller than the hub could link without a shingle
     beyond it: these stay in their bucket."""
     # the largest set that could be linked with the node without a shingle beyond the hub: smaller than the hub
     reach = F.floor(((100 + NEED) * F.col("common") - NEED * F.col("n")) / NEED)
     apart = (100 + NEED) * F.col("common") < NEED * (F.col("n") + F.col("n_hub"))
-    known = rows.join(measured.select("hub", "node", "n", "component", F.when(apart, reach).alias("reach")), ["hub", "node"])
+    known = rows.join(labelled.select("hub", "node", "n", "component", F.when(apart, reach).alias("reach")), ["hub", "node"])
+    known = stored(known, "known")
     bound = known.groupBy("key").agg(F.max("reach").alias("largest"), F.min("n").alias("smallest")).where("largest >= smallest")
     return known.join(bound, "key").where("n <= largest or reach >= smallest").select("key", "node", "n", "component")
 
@@ -283,13 +295,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     hubs = stored(heaviest.select("key", F.col("top.node").alias("hub")), "hubs")
     rows = pending.join(hubs, "key")
     pairs = rows.where("node <> hub").groupBy("hub", "node").agg(F.first("n").alias("n_node")).join(size, "hub")
-    now = _tested(pairs, sets)
+    now = _tested(stored(pairs, "pairs"), sets)
     linked = stored(components(_links(now)), "components")
     rows = stored(_left(pending, hubs, now, linked), "buckets").join(hubs, "key")
     pairs = rows.groupBy("hub", "node").agg(F.first("n").alias("n")).join(size, "hub")
-    measured = _labelled(_measured(pairs, sets), linked)
-    again = _kept_back(rows.select("key", "hub", "node"), measured)
-    pending = stored(_several(_dealt(measured).unionByName(again)), "buckets")
+    measured = _measured(pairs, sets)
+    labelled = _components_of(measured, linked)
+    again = _kept_back(rows.select("key", "hub", "node"), labelled)
+    dealt = stored(_dealt(measured, labelled).unionByName(again), "dealt")
+    pending = stored(_several(dealt), "buckets")
     sets = stored(sets.join(pending.select("node").distinct(), "node", "left_semi"), "sets")
     while not pending.isEmpty():
         few = stored(_counted(pending).where(f"others <= {FEW}"), "few")
@@ -305,7 +319,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         measured = _measured(pairs, sets)
         found = measured.where(f"100 * common >= {NEED} * (n + n_hub - common)").select("hub", "node")
         linked = _joined(linked, links.unionByName(_named(found, pairs)))
-        pending = stored(_several(_dealt(_labelled(measured, linked))), "buckets")
+        dealt = stored(_dealt(measured, _components_of(measured, linked)), "dealt")
+        pending = stored(_several(dealt), "buckets")
     found = nodes.select("node", "digest", "doc_id").join(linked, "node", "left")
     found = found.withColumn("component", F.coalesce("component", "node"))
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -332,6 +347,7 @@ def _left(pending: DataFrame, hubs: DataFrame, tested: DataFrame, linked: DataFr
     low = F.when(own, F.lit(0)).otherwise(F.coalesce(low, F.lit(0)))
     high = F.when(own | F.coalesce("known", F.lit(False)), low).otherwise(F.lit(QUARTERS - 1))
     rows = rows.select("key", "hub", "node", "n", "component", low.alias("low"), high.alias("high"), own.alias("own"))
+    rows = stored(rows, "distances")
     inside = [F.when((F.col("low") <= q) & (F.col("high") >= q), F.col("component")) for q in range(QUARTERS)]
     ranges = rows.groupBy("key", "hub").agg(
         *(F.min(c).alias(f"min{q}") for q, c in enumerate(inside)), *(F.max(c).alias(f"max{q}") for q, c in enumerate(inside))
@@ -347,6 +363,7 @@ def _left(pending: DataFrame, hubs: DataFrame, tested: DataFrame, linked: DataFr
         .agg(F.max(F.col("own") | settled).alias("done"), F.first("n").alias("n"), F.first("component").alias("component"))
         .where("not done")
     )
+    rest = stored(rest, "open")
     several = rest.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     return rest.join(several, "key", "left_semi").select("key", "node", "n")
 
